@@ -1,10 +1,10 @@
 """Toxicity: a cumulative-link (ordinal logistic) model of severity grades over sparse word features.
 
 P(grade <= k) = sigmoid(cut_k - w.x): one weight vector for all thresholds, ordered cuts. x_j is log(1 + count) of a
-vocabulary word. The severity of a document is the expected grade, and it is toxic if P(grade >= 1) is at least half.
+vocabulary word; one more feature says whether any is there. Weights are not negative. The severity of a document is the expected grade, and it is toxic if P(grade >= 1) is at least half.
 
 Labels say only toxic or not. Grades are made from them: 0 for clean documents; toxic ones get 1 to ``GRADES`` - 1 by
-the share of vocabulary words among their words, cut at equal parts of the toxic sample.
+their number of vocabulary words, cut at equal parts of those toxic documents of the sample that have any.
 
 Fitting uses a bounded sample, the ``fit_rows`` labelled documents first by a hash of their id; of these, Spark counts
 in how many toxic and clean documents each word stands, and the vocabulary is the words that at least ``least_share`` of the
@@ -45,19 +45,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     words: dict[bytes, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))  # by word, and at last of having any
     cuts: np.ndarray = field(default_factory=lambda: np.full(GRADES - 1, np.inf))
 
     def above(self, found: list[bytes]) -> np.ndarray:
         """P(grade > k) for k = 0, 1, ..., given the vocabulary words of a document with their repeats."""
         counts = Counter(found)
-        x = sum(self.weights[self.words[w]] * np.log1p(n) for w, n in sorted(counts.items()))
+        x = sum(self.weights[self.words[w]] * np.log1p(n) for w, n in sorted(counts.items())) + (self.weights[-1] if found else 0)
         return _sigmoid(x - self.cuts)
 
 
-def fit(x: np.ndarray, grade: np.ndarray, penalty: float = 1e-3, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: np.ndarray, grade: np.ndarray, penalty: float = 2e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood with an L2 penalty, by gradient steps with momentum and scaling. Cuts stay ordered, as the
-    first one and the logarithms of the gaps between them are the free parameters."""
+    first one and the logarithms of the gaps between them are the free parameters; weights stay at 0 or above."""
     n, k = x.shape
     cuts = GRADES - 1
     z = np.concatenate([np.zeros(k), [2.0], np.zeros(cuts - 1)])
@@ -77,6 +77,7 @@ def fit(x: np.ndarray, grade: np.ndarray, penalty: float = 1e-3, steps: int = 60
         g = np.concatenate([x.T @ (up - low) / n + penalty * w, tail[:1], tail[1:] * np.exp(z[k + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         z = z - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        z[:k] = np.maximum(z[:k], 0)
     return z[:k], np.cumsum(np.concatenate([z[k : k + 1], np.exp(z[k + 1 :])]))
 
 
@@ -115,21 +116,22 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_words
         for batch in in_slices(batches, "text", SLICE_BYTES):
             out = []
             for text in texts(batch.column(0)):
-                all_words = words_of(text)
-                hits = Counter(words[w] for w in all_words if w in words)
-                out.append((len(all_words), sorted(hits), [hits[j] for j in sorted(hits)]))
-            n, at, hits = zip(*out)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "n", "at", "hits"])
+                hits = Counter(words[w] for w in words_of(text) if w in words)
+                out.append((sorted(hits), [hits[j] for j in sorted(hits)]))
+            at, hits = zip(*out)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "at", "hits"])
 
     # At most fit_rows rows of a few numbers each.
-    got = sorted((r["toxic"], r["n"], r["at"], r["hits"]) for r in rows.mapInArrow(features, "toxic boolean, n long, at array<int>, hits array<int>").limit(2 * fit_rows).collect())
-    x, share = np.zeros((len(got), len(words))), np.zeros(len(got))
-    for i, (_, n, at, hits) in enumerate(got):
+    got = sorted((r["toxic"], r["at"], r["hits"]) for r in rows.mapInArrow(features, "toxic boolean, at array<int>, hits array<int>").limit(2 * fit_rows).collect())
+    x, total = np.zeros((len(got), len(words) + 1)), np.zeros(len(got))
+    for i, (_, at, hits) in enumerate(got):
         x[i, at] = np.log1p(hits)
-        share[i] = sum(hits) / max(n, 1)
+        x[i, -1] = bool(hits)
+        total[i] = sum(hits)
     toxic = np.array([r[0] for r in got], bool)
-    steps = np.quantile(share[toxic], np.arange(1, GRADES - 1) / (GRADES - 1)) if toxic.any() else np.zeros(GRADES - 2)
-    grade = np.where(toxic, 1 + np.searchsorted(steps, share, "right"), 0)
+    some = total[toxic & (total > 0)]
+    steps = np.quantile(some, np.arange(1, GRADES - 1) / (GRADES - 1)) if len(some) else np.zeros(GRADES - 2)
+    grade = np.where(toxic, 1 + np.searchsorted(steps, total, "left"), 0)
     weights, cuts = fit(x, grade)
     return Model(words, weights, cuts)
 
