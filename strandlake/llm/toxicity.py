@@ -26,18 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, texts
+from .common import in_slices, texts, words_of
 
 GRADES = 4
 SLICE_BYTES = 8 << 20
-#: ASCII letters in lower case and digits stay, other ASCII characters part words; the rest is part of words.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
