@@ -95,13 +95,16 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its base counts, ``base_failed``, ``score`` (nats an n-gram) and ``kept``.
 
-    ``labels`` (doc_id, quality) names the trusted documents: those with quality 1.
+    ``labels`` (doc_id, quality) names the trusted documents: those with quality 1. The trusted multinomial is fitted on
+    the ``fit_rows`` of them that come first by a hash of their id, so their ids (8 bytes each) can be held by every
+    task and no text is shuffled; the raw multinomial counts every document.
     """
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
+    named = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
+    trusted = named.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(fit_rows)
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(trusted), F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
     counts = ngram_counts(marked, "trusted")
     table = docs.sparkSession.sparkContext.broadcast(weights(counts[True], counts[False] + counts[True]))
     least = round(threshold * SCALE)
