@@ -210,15 +210,24 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, base {_SPANS}, spans {_SPANS}").withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns; secrets in ``text_col`` are replaced by their kind. Clean texts stay as they are."""
+def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """The same rows and columns; secrets in ``text_col`` are replaced by their kind. Clean texts stay as they are.
+
+    ``count_col`` names a column with the number of characters, which is set anew in the rows that change.
+    """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, text_col, SLICE_BYTES):
-            at, found = batch.schema.get_field_index(text_col), []
+            at, found, changed = batch.schema.get_field_index(text_col), [], []
             for text in batch.column(at).to_pylist():
                 spans = all_spans(text)[1] if text else []
                 found.append(redacted(text, spans) if spans else text)
-            yield batch.set_column(at, text_col, pa.array(found, pa.string()))
+                changed.append(bool(spans))
+            batch = batch.set_column(at, text_col, pa.array(found, pa.string()))
+            if count_col in batch.schema.names:
+                k = batch.schema.get_field_index(count_col)
+                counts = [len(t) if c else n for t, c, n in zip(found, changed, batch.column(k).to_pylist())]
+                batch = batch.set_column(k, count_col, pa.array(counts, batch.schema.field(k).type))
+            yield batch
 
     return docs.mapInArrow(clean, docs.schema)
