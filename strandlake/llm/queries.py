@@ -35,6 +35,41 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    first, last = (f("places").cast("long") for f in (F.array_min, F.array_max))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), first.alias("first_word"), last.alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def _op6_sql() -> str:
+    from .licenses import PHRASES, TEMPLATES, THRESHOLD
+
+    folded = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = f"regexp_extract_all({folded}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {split.format('text')} AS w FROM documents),
+p(phrase, k, label) AS (VALUES {phrases}),
+places AS (SELECT r, label, i - 1 AS pos FROM (SELECT r, w, phrase, k, label, unnest(range(1, len(w) - k + 2)) AS i FROM d, p WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')) WHERE array_to_string(w[i : i + k - 1], ' ') = phrase),
+base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+t0(k, label, text) AS (VALUES {templates}),
+t AS (SELECT DISTINCT k, label, unnest({split.format('text')}) AS word FROM t0),
+n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
+blocks AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+bw AS (SELECT DISTINCT r, b, word FROM (SELECT r, row_number() OVER () AS b, unnest({split.format('line')}) AS word FROM blocks)),
+met AS (SELECT r, b, k, label, count(*) AS c FROM bw JOIN t USING (word) GROUP BY ALL),
+ok AS (SELECT r, label, c / n AS containment FROM met JOIN n USING (k) WHERE c >= ceil({THRESHOLD} * n)),
+labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM ok UNION SELECT r, label FROM places) GROUP BY r),
+best AS (SELECT r, max(containment) AS score FROM ok GROUP BY r)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_base, 0) AS bigint) AS n_base, cast(first_word AS bigint) AS first_word, cast(last_word AS bigint) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::double AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN labels USING (r) LEFT JOIN best USING (r)
+"""
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import search
 
@@ -75,12 +110,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op6_license_scans": op6_license_scans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 SQL: dict[str, str] = {
+    "op6_license_scans": _op6_sql(),
     "op7_benchmark_decontamination": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(cast(item_id AS varchar), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
