@@ -16,6 +16,65 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A dated list for the pages of the test tables, whose hosts are invented.
+URL_ENTRIES = [
+    ("casino-win.example.com", "block", "2024-02-01"),
+    ("casino-win.example.com", "remove", "2024-09-15"),
+    ("free-bets.example.com", "block", "2024-01-01"),
+    ("cheap-pills.example.com", "block", "2024-03-10"),
+    ("cheap-pills.example.com", "allow", "2024-06-01"),
+    ("cheap-pills.example.com", "block", "2024-11-01"),
+    ("example.org", "block", "2024-05-01"),
+    ("example.org", "remove", "2024-05-20"),
+    ("blog.tionsh.example.com/en", "block", "2024-04-01"),
+    ("tionsh.example.com", "allow", "2024-01-01"),
+    ("example.net", "allow", "2024-01-01"),
+    ("m.ththth.example.net", "block", "2024-07-01"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no fetch times; each page gets a day of 2024 by its id."""
+    from .urls import judge
+
+    entries = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(a).alias("action"), F.lit(d).cast("date").alias("since")) for p, a, d in URL_ENTRIES))))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_at"))
+    return judge(pages, entries).withColumn("fetched_at", F.col("fetched_at").cast("string"))
+
+
+def _op1_sql() -> str:
+    entries = ", ".join(f"('{p}', '{a}', date '{d}')" for p, a, d in URL_ENTRIES)
+    return f"""
+WITH e(pattern, action, since) AS (VALUES {entries}),
+i AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM e),
+c AS (SELECT page_id, url, date '2024-01-01' + cast((page_id * 37) % 365 AS int) AS day,
+        lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+m AS (SELECT page_id, pattern, action, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC) AS rn FROM c JOIN i
+        ON action <> 'remove' AND since <= day AND (until IS NULL OR day < until)
+       AND (host = pattern OR ends_with(host, '.' || pattern) OR starts_with(rtrim(host || path, '/') || '/', pattern || '/')))
+SELECT c.page_id, url, cast(day AS date)::varchar AS fetched_at, pattern, action, coalesce(action = 'block', false) AS blocked FROM c LEFT JOIN m ON c.page_id = m.page_id AND rn = 1
+"""
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import render
+
+    return render(table(spark, sf_dir, "conversations"))
+
+
+_OP5_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM t),
+c AS (SELECT conv_id, list(role || chr(10) || text ORDER BY place) AS l, count(*) AS n FROM s GROUP BY conv_id),
+shorter AS (SELECT DISTINCT l[1 : k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM c)),
+kept AS (SELECT min(conv_id) AS conv_id FROM c ANTI JOIN shorter USING (l) GROUP BY l)
+SELECT conv_id, cast((place - 1) // 1024 AS int) AS part, count(*) AS n_turns,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM s JOIN kept USING (conv_id) GROUP BY 1, 2
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -107,6 +166,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op5_chat_formatting": op5_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
@@ -117,6 +178,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scans": op10_secret_scans,
 }
 SQL: dict[str, str] = {
+    "op1_url_filters": _op1_sql(),
+    "op5_chat_formatting": _OP5_SQL,
     "op6_license_scans": _op6_sql(),
     "op7_benchmark_decontamination": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
