@@ -8,12 +8,15 @@ similar as the threshold asks, fewer than one in a million meet in none.
 A bucket is never expanded into its pairs:
 
 1. Equal sets are one node (the smallest id stands for them).
-2. Each member of a bucket is compared with the bucket's smallest member. Confirmed links give components.
-3. Buckets whose members still are in several components are cut into tiles of bounded size. Each member proposes its
-   nearest few members (by signature) of other components; confirmed links merge components. A second turn proposes
-   all pairs of different components that the signatures leave possible, so no link is lost.
+2. Each member of a bucket is compared by size and signature with the bucket's smallest member. Buckets whose members
+   still are apart are cut into tiles of bounded size, and a tile sends a spanning forest of what sizes and signatures
+   leave possible. The components of this coarse graph are families: only within one can there be links.
+3. Pairs of the first step are confirmed on full sets. A family that this leaves in several components is cut into tiles
+   of at most about 2 * ``TILE`` members; a tile compares the full sets of all its members that are not connected yet,
+   and sends the links it finds between components. Two tiles of one large component are never compared.
 
-Components are found by alternating star contractions on stored tables. Nothing but counts reaches the driver.
+Components are found by alternating star contractions on stored tables. Nothing but counts reaches the driver. Joins
+whose sides grow with the corpus are sort-merge joins at every size.
 
 Defined cases: a text without words (or null) has an empty set, is linked with nothing and is its own component; a row
 without an id is never linked, its component is null and it is kept; rows that share an id are one document, linked by any of their texts;
@@ -40,7 +43,6 @@ SYMBOLS = CHUNKS * WIDTH
 FAR = 24
 #: Members of a tile come from two groups of about this many.
 TILE = 256
-NEAREST = 4
 SLICE_BYTES = 8 << 20
 
 _RNG = np.random.default_rng(20240229)
@@ -121,7 +123,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of pairs (a, b), those that sizes and signatures leave possible."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sign").alias("sign_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b"))
-    both = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    both = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,15 +134,20 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are as similar as asked. Sets are made again, for these documents only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+def _full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, items): the sets of the wanted documents (node), made again from their texts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in texts(batch.column(1))], pa.binary())], names=["id", "items"])
 
+    return rows.mapInArrow(make, "id long, items binary").where("octet_length(items) > 0")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose full sets are as similar as asked."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -150,9 +157,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                 ok.append(common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = stored(rows.mapInArrow(make, "id long, items binary"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    return pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,42 +183,90 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
 
 
-def _open_pairs(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, nearest: int | None) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and that sizes and signatures leave possible; for each
-    node of a tile the ``nearest`` ones, or all."""
-    placed = buckets.join(comps, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("component"))
+class _Forest:
+    """Union of components within a tile; an edge is kept if it joins two."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int, comp_a: int, comp_b: int) -> None:
+        x, y = self.root(comp_a), self.root(comp_b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.edges.append((a, b))
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame(self.edges, columns=["a", "b"]).astype("int64")
+
+
+def _open_edges(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Edges (a, b) that join members of a bucket in different components where sizes and signatures allow a link."""
+    placed = buckets.hint("merge").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     # Buckets with the same members need one look.
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("lo <> hi and size > 2")
     keys = several.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("groups"))
-    members = placed.join(keys, "key").join(nodes.select("node", "n", "sign"), "node").withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
-    tiled = members.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("key", F.least("g", "h").alias("g1"), F.greatest("g", "h").alias("g2"), "g", "node", "pivot", "component", "n", "sign")
+    members = placed.hint("merge").join(keys, "key").hint("merge").join(nodes.select("node", "n", "sign"), "node").withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
+    tiled = members.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("key", F.least("g", "h").alias("g1"), F.greatest("g", "h").alias("g2"), "node", "component", "n", "sign")
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("node", ignore_index=True)
-        node, comp, n, g = (t[c].to_numpy() for c in ("node", "component", "n", "g"))
-        sign = np.frombuffer(b"".join(t["sign"]), np.uint16).reshape(-1, SYMBOLS)
-        across = t["g1"].iloc[0] != t["g2"].iloc[0]
-        a, b = [], []
+        node, comp, n = (t[c].to_numpy() for c in ("node", "component", "n"))
+        sign, forest = np.frombuffer(b"".join(t["sign"]), np.uint16).reshape(-1, SYMBOLS), _Forest()
         for i in range(len(node)):
-            ok = (comp != comp[i]) & (node != t["pivot"].iloc[0]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
-            if node[i] == t["pivot"].iloc[0] or not ok.any():
-                continue
-            ok &= (g != g[i]) if across else (g == g[i])
-            at = np.flatnonzero(ok)
-            far = (sign[at] != sign[i]).sum(axis=1)
-            at, far = at[far <= FAR], far[far <= FAR]
-            if nearest is None:
-                at = at[at > i]
-            else:
-                at = at[np.argsort(far, kind="stable")[:nearest]]
-            a += [node[i]] * len(at)
-            b += list(node[at])
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            at = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i])))
+            for j in at[(sign[at] != sign[i]).sum(axis=1) <= FAR] if len(at) else ():
+                forest.join(node[i], node[j], comp[i], comp[j])
+        return forest.frame()
 
     return tiled.groupBy("key", "g1", "g2").applyInPandas(run, "a long, b long").distinct()
 
 
+def _family_links(families: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) on full sets between different components of a family; (node, family) gives the families."""
+    placed = families.hint("merge").join(comps, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+    parts = placed.groupBy("family", "component").agg(F.count("*").alias("size"))
+    open_ = parts.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family")
+    # Large components have groups of their own, the others share mixed ones (label -1).
+    labels = parts.join(open_, "family").select("family", "component", "size", F.when(F.col("size") >= TILE, F.col("component")).otherwise(F.lit(-1).cast("long")).alias("label"))
+    widths = labels.groupBy("family", "label").agg(F.ceil(F.sum("size") / TILE).cast("int").alias("groups"))
+    members = placed.hint("merge").join(labels.join(widths, ["family", "label"]).select("family", "component", "label", "groups"), ["family", "component"]).select("node", "family", "component", "label", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("g"))
+    groups = widths.select("family", "label", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
+    one, two = groups.select("family", F.col("label").alias("l1"), F.col("g").alias("g1")), groups.select("family", F.col("label").alias("l2"), F.col("g").alias("g2"))
+    tiles = one.join(two, "family").where("(l1 < l2 or (l1 = l2 and g1 <= g2)) and (l1 <> l2 or l1 = -1)")
+    sides = F.array_distinct(F.array(F.struct(F.col("l1").alias("label"), F.col("g1").alias("g")), F.struct(F.col("l2").alias("label"), F.col("g2").alias("g"))))
+    dealt = tiles.select("family", "l1", "g1", "l2", "g2", F.inline(sides))
+    rows = members.hint("merge").join(dealt, ["family", "label", "g"]).hint("merge").join(sets.withColumnRenamed("id", "node"), "node")
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("node", ignore_index=True)
+        node, comp, label, g = (t[c].to_numpy() for c in ("node", "component", "label", "g"))
+        items = [np.frombuffer(x, np.uint64) for x in t["items"]]
+        size = np.array([len(x) for x in items])
+        starts, forest = np.cumsum(np.append(0, size[:-1])), _Forest()
+        _, flat = np.unique(np.concatenate(items), return_inverse=True)
+        mark = np.zeros(len(flat) + 1, bool)
+        for i in range(len(node)):
+            if not (comp != comp[i]).any() or not size[i]:
+                continue
+            own = flat[starts[i] : starts[i] + size[i]]
+            mark[own] = True
+            common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = False
+            linked = (comp != comp[i]) & (100 * common >= PERCENT * (size + size[i] - common))
+            for j in np.flatnonzero(linked):
+                forest.join(node[i], node[j], comp[i], comp[j])
+        return forest.frame()
+
+    return rows.select("family", "l1", "g1", "l2", "g2", "node", "component", "label", "g", "items").groupBy("family", "l1", "g1", "l2", "g2").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row with ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept``."""
     rows = stored(sketch(docs, id_col, text_col), "sketch")
@@ -220,30 +274,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(sets, "nodes")
     keys = _keys(nodes)
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
-    buckets = stored(keys.join(shared, "key"), "buckets")
+    buckets = stored(keys.hint("merge").join(shared, "key"), "buckets")
     # Ids with several texts join their nodes.
     named = rows.where("n > 0 and id is not null")
     twice = named.groupBy("id").agg(F.min(F.xxhash64("set_id")).alias("lo"), F.max(F.xxhash64("set_id")).alias("hi")).where("lo <> hi").select("id")
     of_id = named.join(twice, "id").join(nodes.select("set_id", "node"), "set_id").select("id", "node").distinct()
     same_id = of_id.join(of_id.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
     pairs = stored(_likely(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes), "pairs")
-    links = stored(_confirmed(pairs, docs, id_col, text_col).union(same_id), "links")
+    coarse = stored(components(pairs), "families")
+    apart = stored(_open_edges(buckets, nodes, coarse), "edges")
+    if not apart.isEmpty():
+        coarse = stored(components(pairs.union(apart)), "families")
+    full = stored(_full_sets(coarse, docs, id_col, text_col), "sets")
+    links = stored(_confirmed(pairs, full).union(same_id), "links")
     comps = stored(components(links), "components")
-    for nearest in (NEAREST, None):
-        pairs = stored(_open_pairs(buckets, nodes, comps, nearest), "pairs")
-        if pairs.isEmpty():
-            break
-        more = stored(_confirmed(pairs, docs, id_col, text_col), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            comps = stored(components(links), "components")
-    of_set = nodes.join(comps, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    more = stored(_family_links(coarse.withColumnRenamed("component", "family"), comps, full), "links")
+    if not more.isEmpty():
+        comps = stored(components(links.union(more)), "components")
+    of_set = nodes.hint("merge").join(comps, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     # An empty set has no set_id, and a row without an id no component.
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return rows.join(of_set, "set_id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return rows.hint("merge").join(of_set, "set_id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the smallest of its component, with all their columns; rows without an id stay."""
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone.hint("merge"), id_col, "left_anti")
