@@ -69,11 +69,15 @@ def ngram_counts(docs: DataFrame, group_col: str) -> dict[bool, np.ndarray]:
 
 
 def weights(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log(p_trusted / p_raw) of each bucket with add-one smoothing, in whole millionths of a nat."""
+    """log(p_trusted / p_raw) of each bucket, in whole millionths of a nat.
+
+    Raw counts are smoothed by one and trusted counts by as much of one as the trusted n-grams are of the raw ones, so that a
+    bucket as frequent in both has exactly 0, however small the samples are.
+    """
     if not trusted.sum():
         return np.zeros(len(raw), np.int64)
-    ratio = np.log((trusted + 1) / (trusted.sum() + len(raw))) - np.log((raw + 1) / (raw.sum() + len(raw)))
-    return np.rint(ratio * SCALE).astype(np.int64)
+    share = trusted.sum() / raw.sum()
+    return np.rint(np.log((trusted + share) / (share * (raw + 1))) * SCALE).astype(np.int64)
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
