@@ -26,9 +26,10 @@ def dense(stats: DataFrame, samples: list[tuple[int, str]], methods: list[str],
     """A row per entry and a column per sample and method; what a sample lacks is 0. ``samples``: (index, name) in order."""
     values = [F.max(F.when(F.col("sample_idx") == i, F.col(m))).alias(f"{name} {METHODS[m]}") for i, name in samples for m in methods]
     wide = stats.groupBy("entry_id", "entry").agg(*values).orderBy("entry_id")
-    kept = [F.coalesce(F.col(f"`{name} {METHODS[m]}`"), F.lit(0)) for _, name in samples for m in methods]
     names = [f"{name} {METHODS[m]}" for _, name in samples for m in methods]
-    return wide.select(F.rtrim("entry", F.lit("\r")).alias(entry), *((plain_text(c) if as_text else c).alias(n) for c, n in zip(kept, names)))
+    blank = F.when(F.col("entry") == "unmapped", F.lit("NA")).otherwise(F.lit("0"))
+    kept = [F.coalesce(plain_text(F.col(f"`{n}`")), blank) if as_text else F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names]
+    return wide.select(F.rtrim("entry", F.lit("\r")).alias(entry), *(c.alias(n) for c, n in zip(kept, names)))
 
 
 def metabat(stats: DataFrame, samples: list[tuple[int, str]]) -> DataFrame:
