@@ -9,8 +9,8 @@ A bucket is never expanded into its pairs:
 
 1. Equal sets are one node (the smallest id stands for them).
 2. Each member of a bucket is compared by size and signature with the bucket's smallest member. Buckets whose members
-   still are apart are cut into tiles of bounded size, and a tile sends a spanning forest of what sizes and signatures
-   leave possible. The components of this coarse graph are families: only within one can there be links.
+   still are apart are cut into tiles of bounded size, none within one large component, and a tile sends a spanning
+   forest of what sizes and signatures leave possible. The components of this coarse graph are families: only within one can there be links.
 3. Pairs of the first step are confirmed on full sets. A family that this leaves in several components is cut into tiles
    of at most about 2 * ``TILE`` members; a tile compares the full sets of all its members that are not connected yet,
    and sends the links it finds between components. Two tiles of one large component are never compared.
@@ -206,14 +206,33 @@ class _Forest:
         return pd.DataFrame(self.edges, columns=["a", "b"]).astype("int64")
 
 
+def _tiles(placed: DataFrame, by: str) -> DataFrame:
+    """The members (node, component) of each group ``by``, dealt to tiles (l1, g1, l2, g2) that bring members of different components together.
+
+    A component with ``TILE`` members of a group or more has parts of its own, labelled by it; the others share mixed parts
+    (label -1). Two parts of one large component never meet, so a member comes once for each part outside its own
+    component: a group that is one component but for a few members costs rows in proportion to its size.
+    """
+    parts = placed.groupBy(by, "component").agg(F.count("*").alias("size"))
+    open_ = parts.groupBy(by).agg(F.count("*").alias("parts")).where("parts > 1").select(by)
+    labels = parts.join(open_, by).select(by, "component", "size", F.when(F.col("size") >= TILE, F.col("component")).otherwise(F.lit(-1).cast("long")).alias("label"))
+    widths = labels.groupBy(by, "label").agg(F.ceil(F.sum("size") / TILE).cast("int").alias("groups"))
+    dealt = labels.join(widths, [by, "label"]).select(by, "component", "label", "groups")
+    members = placed.hint("merge").join(dealt, [by, "component"]).select("node", by, "component", "label", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("g"))
+    groups = widths.select(by, "label", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
+    one, two = groups.select(by, F.col("label").alias("l1"), F.col("g").alias("g1")), groups.select(by, F.col("label").alias("l2"), F.col("g").alias("g2"))
+    tiles = one.join(two, by).where("(l1 < l2 or (l1 = l2 and g1 <= g2)) and (l1 <> l2 or l1 = -1)")
+    sides = F.array_distinct(F.array(F.struct(F.col("l1").alias("label"), F.col("g1").alias("g")), F.struct(F.col("l2").alias("label"), F.col("g2").alias("g"))))
+    return members.hint("merge").join(tiles.select(by, "l1", "g1", "l2", "g2", F.inline(sides)), [by, "label", "g"]).select(by, "l1", "g1", "l2", "g2", "node", "component")
+
+
 def _open_edges(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
     """Edges (a, b) that join members of a bucket in different components where sizes and signatures allow a link."""
     placed = buckets.hint("merge").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     # Buckets with the same members need one look.
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("lo <> hi and size > 2")
-    keys = several.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("groups"))
-    members = placed.hint("merge").join(keys, "key").hint("merge").join(nodes.select("node", "n", "sign"), "node").withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
-    tiled = members.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("key", F.least("g", "h").alias("g1"), F.greatest("g", "h").alias("g2"), "node", "component", "n", "sign")
+    keys = several.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
+    tiled = _tiles(stored(placed.hint("merge").join(keys, "key"), "open"), "key").hint("merge").join(nodes.select("node", "n", "sign"), "node")
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("node", ignore_index=True)
@@ -225,28 +244,17 @@ def _open_edges(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataF
                 forest.join(node[i], node[j], comp[i], comp[j])
         return forest.frame()
 
-    return tiled.groupBy("key", "g1", "g2").applyInPandas(run, "a long, b long").distinct()
+    return tiled.groupBy("key", "l1", "g1", "l2", "g2").applyInPandas(run, "a long, b long").distinct()
 
 
 def _family_links(families: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) on full sets between different components of a family; (node, family) gives the families."""
     placed = families.hint("merge").join(comps, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-    parts = placed.groupBy("family", "component").agg(F.count("*").alias("size"))
-    open_ = parts.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family")
-    # Large components have groups of their own, the others share mixed ones (label -1).
-    labels = parts.join(open_, "family").select("family", "component", "size", F.when(F.col("size") >= TILE, F.col("component")).otherwise(F.lit(-1).cast("long")).alias("label"))
-    widths = labels.groupBy("family", "label").agg(F.ceil(F.sum("size") / TILE).cast("int").alias("groups"))
-    members = placed.hint("merge").join(labels.join(widths, ["family", "label"]).select("family", "component", "label", "groups"), ["family", "component"]).select("node", "family", "component", "label", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("g"))
-    groups = widths.select("family", "label", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
-    one, two = groups.select("family", F.col("label").alias("l1"), F.col("g").alias("g1")), groups.select("family", F.col("label").alias("l2"), F.col("g").alias("g2"))
-    tiles = one.join(two, "family").where("(l1 < l2 or (l1 = l2 and g1 <= g2)) and (l1 <> l2 or l1 = -1)")
-    sides = F.array_distinct(F.array(F.struct(F.col("l1").alias("label"), F.col("g1").alias("g")), F.struct(F.col("l2").alias("label"), F.col("g2").alias("g"))))
-    dealt = tiles.select("family", "l1", "g1", "l2", "g2", F.inline(sides))
-    rows = members.hint("merge").join(dealt, ["family", "label", "g"]).hint("merge").join(sets.withColumnRenamed("id", "node"), "node")
+    rows = _tiles(placed, "family").hint("merge").join(sets.withColumnRenamed("id", "node"), "node")
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("node", ignore_index=True)
-        node, comp, label, g = (t[c].to_numpy() for c in ("node", "component", "label", "g"))
+        node, comp = (t[c].to_numpy() for c in ("node", "component"))
         items = [np.frombuffer(x, np.uint64) for x in t["items"]]
         size = np.array([len(x) for x in items])
         starts, forest = np.cumsum(np.append(0, size[:-1])), _Forest()
@@ -264,7 +272,7 @@ def _family_links(families: DataFrame, comps: DataFrame, sets: DataFrame) -> Dat
                 forest.join(node[i], node[j], comp[i], comp[j])
         return forest.frame()
 
-    return rows.select("family", "l1", "g1", "l2", "g2", "node", "component", "label", "g", "items").groupBy("family", "l1", "g1", "l2", "g2").applyInPandas(run, "a long, b long").distinct()
+    return rows.select("family", "l1", "g1", "l2", "g2", "node", "component", "items").groupBy("family", "l1", "g1", "l2", "g2").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
