@@ -6,8 +6,8 @@ has been seen before is not taken again, so cycles end. A layer knows how its po
 in it are reported as positions in the document.
 
 Defined cases: a null or empty text has no spans; repeated rows are each scanned; positions are code points, ends
-exclusive. Compressed data is expanded up to ``EXPAND_BYTES`` a layer (a guard against decompression bombs); a layer
-that exceeds it is scanned up to there and marked by the span kind ``oversized``, which is never part of ``spans``.
+exclusive. Compressed data is expanded up to ``EXPAND_BYTES`` a layer (a guard against decompression bombs); of a layer
+that exceeds it, what lies beyond is not scanned.
 """
 
 from __future__ import annotations
