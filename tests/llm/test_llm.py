@@ -278,6 +278,19 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert neardup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_tiles_bring_components_together_without_pairs_of_one(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 8)
+    rows = [(i, 1, 0) for i in range(200)] + [(200 + i, 1, 200 + i) for i in range(5)] + [(300 + i, 2, 300) for i in range(20)]
+    got = neardup._tiles(spark.createDataFrame(rows, "node long, family long, component long"), "family").collect()
+    tiles: dict = {}
+    for r in got:
+        tiles.setdefault((r["family"], r["l1"], r["g1"], r["l2"], r["g2"]), []).append((r["node"], r["component"]))
+    met = {(min(x, y), max(x, y)) for t in tiles.values() for x, a in t for y, b in t if a != b}
+    assert met == {(x, y) for x, f, a in rows for y, g, b in rows if x < y and f == g and a != b}
+    # 200 members come once, the 5 others once for each of 25 parts and once among themselves; one component needs nothing.
+    assert len(got) == 200 + 5 * 26
+
+
 def test_signature_distance_guarantee():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 16, (200, neardup.SYMBOLS)).astype(np.uint16)
