@@ -2,7 +2,7 @@
 
 A worklist holds layers of a text. Each is scanned, and everything in it that decodes (percent and Unicode escapes,
 base64 runs, compressed data inside either) becomes a further layer, until nothing new turns up; a layer whose content
-has been seen before is not taken again, so cycles end. A layer knows how its positions map to the layer above, and spans found
+has been seen before at the same place of the document is not taken again, so cycles end and every copy is found. A layer knows how its positions map to the layer above, and spans found
 in it are reported as positions in the document.
 
 Defined cases: a null or empty text has no spans; repeated rows are each scanned; positions are code points, ends
@@ -16,6 +16,7 @@ import base64
 import binascii
 import bisect
 import bz2
+import hashlib
 import html
 import lzma
 import re
@@ -158,22 +159,39 @@ def _base64_layers(text: str) -> Iterator[tuple[str, Up]]:
             yield plain, up
 
 
+def _layers(text: str) -> Iterator[tuple[str, Up]]:
+    yield from _replaced(text)
+    yield from _base64_layers(text)
+
+
+def _in_document(path: tuple[Up, ...], s: int, e: int) -> Span:
+    for up in path:
+        s, e = up(s, e)
+    return s, e
+
+
+def _key(layer: str, start: int, end: int) -> tuple[str | bytes, int, int]:
+    """What a layer holds (long ones by a digest) and where it stands in the document."""
+    return layer if len(layer) < 64 else hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), start, end
+
+
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans): those of the text itself, and with those of every layer, as positions in the text."""
     base = base_spans(text)
-    every, seen, work = set(base), {text}, [(text, ())]
+    every, seen, work = set(base), {_key(text, 0, len(text))}, [(_layers(text), ())]
     while work:
-        layer, ups = work.pop()
-        for inner, up in (*_replaced(layer), *_base64_layers(layer)):
-            if inner in seen:
-                continue
-            seen.add(inner)
-            path = (up, *ups)
-            work.append((inner, path))
-            for s, e, kind in base_spans(inner):
-                for f in path:
-                    s, e = f(s, e)
-                every.add((s, e, kind))
+        inners, ups = work[-1]
+        inner, up = next(inners, (None, None))
+        if up is None:
+            work.pop()
+            continue
+        path = (up, *ups)
+        key = _key(inner, *_in_document(path, 0, len(inner)))
+        if not inner or key in seen:
+            continue
+        seen.add(key)
+        every.update((*_in_document(path, s, e), kind) for s, e, kind in base_spans(inner))
+        work.append((_layers(inner), path))
     return base, sorted(every, key=lambda x: (x[0], x[2], x[1]))
 
 
