@@ -12,16 +12,16 @@ that exceeds it, what lies beyond is not scanned.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bisect
 import bz2
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +37,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of base64 goes on over line breaks, also those spelled out in strings, with what indents the next line.
+_BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*")
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]++(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)*+={{0,2}}")
+#: The shortest secret has 14 characters, and in every encoding it is ASCII characters in a row; base64 makes 19 of 14.
+_LEAST_RUN = 19
+_SOME_TEXT = re.compile(rb"[\t\r\n -~]{14}")
 _MAGIC: dict[bytes, Callable[[], object]] = {
     b"\x1f\x8b": lambda: zlib.decompressobj(47),
     b"x\x01": zlib.decompressobj,
@@ -47,6 +52,7 @@ _MAGIC: dict[bytes, Callable[[], object]] = {
     b"BZh": bz2.BZ2Decompressor,
     b"\xfd7zXZ": lzma.LZMADecompressor,
 }
+_MAGICS = re.compile(b"|".join(map(re.escape, _MAGIC)))
 
 Span = tuple[int, int]
 Up = Callable[[int, int], Span]
@@ -72,12 +78,17 @@ def _expanded(data: bytes) -> bytes | None:
     return None
 
 
-def _as_text(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _as_text(data: bytes) -> str:
+    """The text of any bytes; those that are not UTF-8 become a character each, which ``_offsets`` counts as one byte."""
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _offsets(text: str) -> Sequence[int]:
+    """Where each character of ``_as_text`` begins in the bytes, and where the last one ends."""
+    if text.isascii():
+        return range(len(text) + 1)
+    width = (1 if c < "\x80" or "\udc80" <= c <= "\udcff" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in text)
+    return [*itertools.accumulate(width, initial=0)]
 
 
 def _unescaped(unit: str) -> str | bytes:
@@ -138,25 +149,40 @@ def _replaced(text: str) -> Iterator[tuple[str, Up]]:
 
 
 def _base64_layers(text: str) -> Iterator[tuple[str, Up]]:
+    """What runs of base64 characters decode to. Letters, digits, ``/ - _ +`` and short lines before the data belong to
+    the run, so it is decoded from each of its first four characters: one of them is in step with any data in it."""
     for m in _BASE64.finditer(text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        try:
-            data = base64.b64decode(run[: len(run) - (len(run) % 4 == 1)] + "=" * (-len(run) % 4 % 3), validate=True)
-        except (binascii.Error, ValueError):
+        if m.end() - m.start() < _LEAST_RUN:
             continue
-        whole = _expanded(data)
-        if whole is not None:
-            yield whole.decode("utf-8", "replace"), lambda s, e, a=m.start(), b=m.end(): (a, b)
-            continue
-        plain = _as_text(data)
-        if plain is not None:
-
-            def up(s: int, e: int, a=m.start(), b=m.end(), plain=plain) -> Span:
-                first = len(plain[:s].encode())
-                last = first + len(plain[s:e].encode()) - 1
-                return a + first * 4 // 3, min(b, a + last * 4 // 3 + 2)
-
-            yield plain, up
+        pieces, starts, places, at, size = [], [], [], m.start(), 0
+        for start, end in (*(k.span() for k in _BREAK.finditer(text, m.start(), m.end())), (m.end(), m.end())):
+            pieces.append(text[at:start].rstrip("="))
+            starts.append(size), places.append(at)
+            size += len(pieces[-1])
+            at = end
+        run = "".join(pieces).replace("-", "+").replace("_", "/")
+
+        def place(j: int, starts=starts, places=places) -> int:
+            i = bisect.bisect_right(starts, j) - 1
+            return places[i] + j - starts[i]
+
+        for skip in range(4):
+            if size - skip < _LEAST_RUN:
+                break
+            part = run[skip : size - ((size - skip) % 4 == 1)]
+            data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+            def up(s: int, e: int, skip=skip, last=size - 1, place=place) -> Span:
+                """Places of the bytes from s to e in the text."""
+                return place(skip + s * 4 // 3), place(min(last, skip + (e - 1) * 4 // 3 + 1)) + 1
+
+            for k in _MAGICS.finditer(data):
+                whole = _expanded(data[k.start() :])
+                if whole:
+                    yield _as_text(whole), lambda s, e, a=k.start(), b=len(data), up=up: up(a, b)
+            if _SOME_TEXT.search(data):
+                plain = _as_text(data)
+                yield plain, lambda s, e, at=_offsets(plain), up=up: up(at[s], at[e])
 
 
 def _layers(text: str) -> Iterator[tuple[str, Up]]:
@@ -185,9 +211,11 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         if up is None:
             work.pop()
             continue
+        if not inner:
+            continue
         path = (up, *ups)
         key = _key(inner, *_in_document(path, 0, len(inner)))
-        if not inner or key in seen:
+        if key in seen:
             continue
         seen.add(key)
         every.update((*_in_document(path, s, e), kind) for s, e, kind in base_spans(inner))
