@@ -6,8 +6,9 @@ has been seen before at the same place of the document is not taken again, so cy
 in it are reported as positions in the document.
 
 Defined cases: a null or empty text has no spans; repeated rows are each scanned; positions are code points, ends
-exclusive. Compressed data is expanded up to ``EXPAND_BYTES`` a layer (a guard against decompression bombs); of a layer
-that exceeds it, what lies beyond is not scanned.
+exclusive. Compressed data is read to the end of its last member, in windows of about ``EXPAND_BYTES`` that overlap by a
+quarter, so memory is bounded and no amount is left out; only a single encoded run or inner stream longer than the
+overlap may be cut, where it stands within compressed data. Data that breaks off is scanned as far as it goes.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from __future__ import annotations
 import binascii
 import bisect
 import bz2
+import codecs
 import hashlib
 import html
 import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ from .common import in_slices, texts
 
 KINDS = ("assign", "access", "hex")
 EXPAND_BYTES = 32 << 20
+READ_BYTES = 64 << 10
 SLICE_BYTES = 8 << 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -53,6 +57,16 @@ _MAGIC: dict[bytes, Callable[[], object]] = {
     b"\xfd7zXZ": lzma.LZMADecompressor,
 }
 _MAGICS = re.compile(b"|".join(map(re.escape, _MAGIC)))
+_ZEROS = re.compile(b"\0*")
+#: The same in a layer's text, where a byte that is not UTF-8 is a lone surrogate (x da may begin a valid character).
+_PACKED = re.compile("\x1f\udc8b|x[\x01^\udc9c\udcda\u0680-\u06bf]|BZh|\udcfd7zXZ")
+_LATIN = re.compile("[\0-\xff]+")
+#: In strings with escapes of bytes, other escapes and (in forms) a plus for a space are bytes as well.
+_BYTES = re.compile(r"\\(?:x|u00)[0189A-Fa-f][0-9A-Fa-f]")
+_FORM_BYTES = re.compile(r"%[0189A-Fa-f][0-9A-Fa-f]")
+_STRING = re.compile(_ESCAPE.pattern + r"|\\[0abfnrtv'\"\\/]")
+_FORM = re.compile(_ESCAPE.pattern + r"|\+")
+_SHORT = dict(zip("0abfnrtv'\"\\/", "\0\a\b\f\n\r\t\v'\"\\/"))
 
 Span = tuple[int, int]
 Up = Callable[[int, int], Span]
@@ -66,16 +80,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), m.end(), 2) for m in _HEX.finditer(text)], key=lambda x: (x[0], x[2], x[1]))
 
 
-def _expanded(data: bytes) -> bytes | None:
-    """What compressed ``data`` holds; None if it is not compressed data."""
-    for magic, opener in _MAGIC.items():
-        if data.startswith(magic):
-            try:
-                one = opener()
-                return one.decompress(data, EXPAND_BYTES)
-            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-                return None
-    return None
+def _parts(data: bytes, at: int, ends: list[int | None]) -> Iterator[bytes]:
+    """What compressed data from ``at`` on holds, member after member; ``ends`` gets where each ends, None for one that breaks off."""
+    view = memoryview(data)
+    while k := _MAGICS.match(data, _ZEROS.match(data, at).end() if ends else at):
+        one, read, feed = _MAGIC[k.group()](), k.start(), b""
+        try:
+            while not one.eof:
+                if not feed and getattr(one, "needs_input", True):
+                    feed = view[read : read + READ_BYTES]
+                    read += len(feed)
+                    if not feed:
+                        if hasattr(one, "flush"):
+                            yield one.flush()
+                        break
+                part = one.decompress(feed, min(1 << 20, EXPAND_BYTES // 4))
+                feed = getattr(one, "unconsumed_tail", b"")
+                yield part
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            pass
+        if not one.eof:
+            ends.append(None)
+            return
+        at = read - len(one.unused_data)
+        ends.append(at)
+
+
+def _windows(parts: Iterator[bytes]) -> Iterator[str]:
+    """The text of all parts, in windows of bounded size that overlap."""
+    decode = codecs.getincrementaldecoder("utf-8")("surrogateescape").decode
+    held, size, new = [], 0, 0
+    for text in itertools.chain(map(decode, parts), [None]):
+        text = decode(b"", True) if text is None else text
+        held.append(text)
+        size, new = size + len(text), new + len(text)
+        if size >= EXPAND_BYTES:
+            yield (whole := "".join(held))
+            held, new = [whole[-(EXPAND_BYTES // 4) :]], 0
+            size = len(held[0])
+    if new:
+        yield "".join(held)
+
+
+def _unpacked(data: bytes) -> Iterator[tuple[int, int, Iterator[str]]]:
+    """(start, end, text in windows) of everything compressed in ``data``."""
+    at = 0
+    while k := _MAGICS.search(data, at):
+        ends: list[int | None] = []
+        at = k.start() + 1
+        if sum(map(len, _parts(data, k.start(), ends))):
+            yield k.start(), ends[-1] or len(data), _windows(_parts(data, k.start(), []))
+            at = max([at, *filter(None, ends)])
 
 
 def _as_text(data: bytes) -> str:
@@ -83,41 +138,40 @@ def _as_text(data: bytes) -> str:
     return data.decode("utf-8", "surrogateescape")
 
 
-def _offsets(text: str) -> Sequence[int]:
+def _offsets(text: str) -> range | np.ndarray:
     """Where each character of ``_as_text`` begins in the bytes, and where the last one ends."""
     if text.isascii():
         return range(len(text) + 1)
-    width = (1 if c < "\x80" or "\udc80" <= c <= "\udcff" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in text)
-    return [*itertools.accumulate(width, initial=0)]
-
-
-def _unescaped(unit: str) -> str | bytes:
-    """The text of a run of escapes, or its bytes where they are not text."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = np.ones(len(code) + 1, np.int8)
+    width[0] = 0
+    for least in (0x80, 0x800, 0x10000):
+        width[1:] += code >= least
+    width[1:][(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+    return np.cumsum(width, dtype=np.int64)
+
+
+def _unescaped(unit: str) -> str:
+    """The text of a run of escapes; bytes that are not text stay apart as in ``_as_text``."""
+    if unit == "+":
+        return " "
     if unit[0] == "%":
-        data = bytes.fromhex(unit.replace("%", ""))
-    elif unit[1] == "x":
-        data = bytes.fromhex(unit.replace("\\x", ""))
-    elif unit[0] == "&":
+        return _as_text(bytes.fromhex(unit.replace("%", "")))
+    if unit[0] == "&":
         return html.unescape(unit)
-    else:
+    if unit[1] == "x":
+        return _as_text(bytes.fromhex(unit.replace("\\x", "")))
+    if unit[1] == "u":
         return bytes.fromhex(unit.replace("\\u", "")).decode("utf-16-be", "replace")
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data
+    return _SHORT[unit[1]]
 
 
-def _replaced(text: str) -> Iterator[tuple[str, Up]]:
-    """The whole layer with its escapes undone, and compressed data that escapes spell out."""
+def _replaced(text: str, escape: re.Pattern = _ESCAPE) -> Iterator[tuple[str, Up]]:
+    """The whole layer with its escapes undone."""
     parts, at, shown = [], 0, 0
     from_, to, begin, end = [], [], [], []
-    for m in _ESCAPE.finditer(text):
+    for m in escape.finditer(text):
         plain = _unescaped(m.group())
-        if isinstance(plain, bytes):
-            whole = _expanded(plain)
-            if whole is not None:
-                yield whole.decode("utf-8", "replace"), lambda s, e, a=m.start(), b=m.end(): (a, b)
-            plain = plain.decode("utf-8", "replace")
         parts += [text[at : m.start()], plain]
         shown += m.start() - at
         from_.append(shown), begin.append(m.start())
@@ -176,18 +230,35 @@ def _base64_layers(text: str) -> Iterator[tuple[str, Up]]:
                 """Places of the bytes from s to e in the text."""
                 return place(skip + s * 4 // 3), place(min(last, skip + (e - 1) * 4 // 3 + 1)) + 1
 
-            for k in _MAGICS.finditer(data):
-                whole = _expanded(data[k.start() :])
-                if whole:
-                    yield _as_text(whole), lambda s, e, a=k.start(), b=len(data), up=up: up(a, b)
-            if _SOME_TEXT.search(data):
+            if _SOME_TEXT.search(data) or _MAGICS.search(data):
                 plain = _as_text(data)
-                yield plain, lambda s, e, at=_offsets(plain), up=up: up(at[s], at[e])
+                yield plain, lambda s, e, at=_offsets(plain), up=up: up(int(at[s]), int(at[e]))
+
+
+def _packed_layers(text: str) -> Iterator[tuple[str, Up]]:
+    """What compressed data in a layer holds, whether its bytes are the layer's own or stand as characters up to U+00FF."""
+    if k := _PACKED.search(text):
+        data = text[k.start() :].encode("utf-8", "surrogateescape")
+        for first, last, found in _unpacked(data):
+            a, b = (min(len(text), k.start() + len(_as_text(data[:x]))) for x in (first, last))
+            for inner in found:
+                yield inner, lambda s, e, a=a, b=b: (a, b)
+    if not text.isascii():
+        for k in _LATIN.finditer(text):
+            if not k.group().isascii():
+                for first, last, found in _unpacked(k.group().encode("latin-1")):
+                    for inner in found:
+                        yield inner, lambda s, e, a=k.start() + first, b=k.start() + last: (a, b)
 
 
 def _layers(text: str) -> Iterator[tuple[str, Up]]:
     yield from _replaced(text)
+    if _BYTES.search(text):
+        yield from _replaced(text, _STRING)
+    if "+" in text and _FORM_BYTES.search(text):
+        yield from _replaced(text, _FORM)
     yield from _base64_layers(text)
+    yield from _packed_layers(text)
 
 
 def _in_document(path: tuple[Up, ...], s: int, e: int) -> Span:
