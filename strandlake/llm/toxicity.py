@@ -7,8 +7,10 @@ Labels say only toxic or not. Grades are made from them: 0 for clean documents;
 their number of vocabulary words, cut at equal parts of those toxic documents of the sample that have any.
 
 Fitting uses a bounded sample, the ``fit_rows`` labelled documents first by a hash of their id; of these, Spark counts
-in how many toxic and clean documents each word stands, and the vocabulary is the words that at least ``least_share`` of the
-toxic ones have and that stand out by ``least_z`` standard errors, at most ``most_words``. Every document is scored.
+in how many toxic and clean documents each word stands. The vocabulary is all words of at least ``least_count`` toxic
+documents whose share of these exceeds that of the clean ones by ``least_z`` standard errors. This is judged in Spark, for every
+word, by the signed root of the likelihood ratio, which also holds for rare words and lopsided labels. ``most_words``,
+the highest by that measure, is only a bound for the driver's memory. Every document is scored.
 
 Defined cases: a null or empty text has severity by the cuts alone; repeated rows are each scored; labels with nulls
 count nothing, and of several for an id the largest holds; with no toxic or no clean label every severity is 0 and
@@ -47,7 +49,23 @@ class Model:
         return _sigmoid(x - self.cuts)
 
 
-def fit(x: np.ndarray, grade: np.ndarray, penalty: float = 2e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix as its entries other than zero."""
+
+    shape: tuple[int, int]
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+
+    def by_row(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def by_col(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * u[self.row], self.shape[1])
+
+
+def fit(x: Sparse, grade: np.ndarray, penalty: float = 2e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood with an L2 penalty, by gradient steps with momentum and scaling. Cuts stay ordered, as the
     first one and the logarithms of the gaps between them are the free parameters; weights stay at 0 or above."""
     n, k = x.shape
@@ -57,7 +75,7 @@ def fit(x: np.ndarray, grade: np.ndarray, penalty: float = 2e-5, steps: int = 15
     rows = np.arange(n)
     for step in range(1, steps + 1):
         w, c = z[:k], np.cumsum(np.concatenate([z[k : k + 1], np.exp(z[k + 1 :])]))
-        below = np.concatenate([np.zeros((n, 1)), _sigmoid(c[None, :] - (x @ w)[:, None]), np.ones((n, 1))], axis=1)  # P(grade < g)
+        below = np.concatenate([np.zeros((n, 1)), _sigmoid(c[None, :] - x.by_row(w)[:, None]), np.ones((n, 1))], axis=1)  # P(grade < g)
         slope = below * (1 - below)
         p = np.maximum(below[rows, grade + 1] - below[rows, grade], 1e-12)
         up, low = slope[rows, grade + 1] / p, slope[rows, grade] / p
@@ -66,14 +84,14 @@ def fit(x: np.ndarray, grade: np.ndarray, penalty: float = 2e-5, steps: int = 15
         np.add.at(by_cut, grade, -low)
         d_cut = -by_cut[1:-1] / n
         tail = np.cumsum(d_cut[::-1])[::-1]  # a cut moves with the first one and all gaps before it
-        g = np.concatenate([x.T @ (up - low) / n + penalty * w, tail[:1], tail[1:] * np.exp(z[k + 1 :])])
+        g = np.concatenate([x.by_col(up - low) / n + penalty * w, tail[:1], tail[1:] * np.exp(z[k + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         z = z - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         z[:k] = np.maximum(z[:k], 0)
     return z[:k], np.cumsum(np.concatenate([z[k : k + 1], np.exp(z[k + 1 :])]))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_words: int = 256, least_share: float = 0.05, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_words: int = 1 << 16, least_count: int = 3, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit a model on at most ``fit_rows`` of the labelled documents (labels: doc_id, toxic)."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.max("toxic") > 0).alias("toxic"))
     sample = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
@@ -83,24 +101,21 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_words
         for batch in in_slices(batches, "text", SLICE_BYTES):
             seen: dict[bool, Counter] = {False: Counter(), True: Counter()}
             for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                seen[toxic].update({*words_of(text), b""})
+                seen[toxic].update({*words_of(text)})
             words = [*(seen[False].keys() | seen[True].keys())]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([seen[t][w] for w in words], pa.int64()) for t in (True, False))], names=["word", "toxic", "clean"])
 
     counted = rows.mapInArrow(tally, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # The empty word stands in every document, so its row has the totals; it sorts first.
-    found = counted.where((F.col("word") == F.lit(b"")) | (F.col("toxic") >= 3)).where((F.col("word") == F.lit(b"")) | (F.col("toxic") > F.col("clean"))).orderBy((F.col("word") != F.lit(b"")), F.desc("toxic"), "word").limit(8 * most_words + 1).collect()
-    if not found or not found[0]["toxic"] or not found[0]["clean"]:
+    total_of = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n_toxic, n_clean = total_of.get(True, 0), total_of.get(False, 0)
+    if not n_toxic or not n_clean:
         return Model()
-    n_toxic, n_clean = found[0]["toxic"], found[0]["clean"]
-    scored = []
-    for r in found[1:]:
-        p, q = r["toxic"] / n_toxic, r["clean"] / n_clean
-        both = (r["toxic"] + r["clean"]) / (n_toxic + n_clean)
-        z = (p - q) / max(1e-9, np.sqrt(both * (1 - both) * (1 / n_toxic + 1 / n_clean)))
-        if p >= least_share and z >= least_z:
-            scored.append((-z, bytes(r["word"])))
-    words = {w: j for j, (_, w) in enumerate(sorted(scored)[:most_words])}
+    k, c = F.col("toxic"), F.col("clean")
+    # How much likelier the word's documents are with their own shares of toxic and clean ones than with those of all.
+    ratio = k * F.log(k / ((k + c) * (n_toxic / (n_toxic + n_clean)))) + F.when(c > 0, c * F.log(c / ((k + c) * (n_clean / (n_toxic + n_clean))))).otherwise(0.0)
+    judged = counted.where((k >= least_count) & (k * n_clean > c * n_toxic)).select("word", F.sqrt(2 * F.greatest(ratio, F.lit(0.0))).alias("z"))
+    found = judged.where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(most_words).collect()
+    words = {bytes(r["word"]): j for j, r in enumerate(found)}
     if not words:
         return Model()
 
@@ -115,11 +130,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_words
 
     # At most fit_rows rows of a few numbers each.
     got = sorted((r["toxic"], r["at"], r["hits"]) for r in rows.mapInArrow(features, "toxic boolean, at array<int>, hits array<int>").limit(2 * fit_rows).collect())
-    x, total = np.zeros((len(got), len(words) + 1)), np.zeros(len(got))
-    for i, (_, at, hits) in enumerate(got):
-        x[i, at] = np.log1p(hits)
-        x[i, -1] = bool(hits)
-        total[i] = sum(hits)
+    hits = [np.array(h, float) for *_, h in got]
+    total = np.array([h.sum() for h in hits])
+    some, last = np.flatnonzero(total), len(words)
+    row = np.concatenate([np.repeat(np.arange(len(got)), [len(h) for h in hits]), some])
+    col = np.concatenate([*(np.array(a, int) for _, a, _ in got), np.full(len(some), last)])
+    x = Sparse((len(got), last + 1), row, col, np.concatenate([*map(np.log1p, hits), np.ones(len(some))]))
     toxic = np.array([r[0] for r in got], bool)
     some = total[toxic & (total > 0)]
     steps = np.quantile(some, np.arange(1, GRADES - 1) / (GRADES - 1)) if len(some) else np.zeros(GRADES - 2)

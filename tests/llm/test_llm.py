@@ -147,6 +147,30 @@ def test_toxicity_on_held_out(spark, docs):
     assert toxicity.score(docs, none).where("toxic").count() == 0 and toxicity.score(empty(docs), model).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.01, 0.7])
+def test_toxicity_with_rare_and_with_common_labels(spark, share):
+    rng = random.Random(11)
+    tail = [f"slur{i}" for i in range(24)]
+    n, rows = 3000, []
+    for i in range(n):
+        toxic = i < share * n
+        words = [f"w{rng.randrange(3000)}" for _ in range(20)] + [w for w in WORDS if rng.random() < 0.9]
+        if share < 0.5:  # in most toxic documents, and in more clean ones by number
+            words += ["scum"] * (rng.random() < (0.6 if toxic else 0.012))
+        elif toxic:  # each in fewer than one toxic document in twenty
+            words.append(rng.choice(tail))
+        rows.append((i, " ".join(words), int(toxic)))
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    if share < 0.5:
+        assert {*map(bytes.decode, model.words)} == {"scum"}
+        assert 3 <= sum("scum" in r[1] for r in rows if r[2]) < sum("scum" in r[1] for r in rows if not r[2])
+    else:
+        assert {*map(bytes.decode, model.words)} == {*tail}
+        got = {r["doc_id"]: r["toxic"] for r in toxicity.score(table, model).collect()}
+        assert all(got[i] == bool(t) for i, _, t in rows)
+
+
 def test_chat(spark):
     turns = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", "sure")]
     rows = [(1, k, *t, "x") for k, t in enumerate(turns[:2])] + [(2, k, *t, "x") for k, t in enumerate(turns)] + [(3, k, *t, "x") for k, t in enumerate(turns)]
