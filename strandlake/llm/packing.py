@@ -186,3 +186,18 @@ def sequences(packed: DataFrame) -> DataFrame:
     """Join the pieces of each sequence (at most ``capacity`` ids): (sequence_id, ids). Needs ``keep="ids"``."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
+
+
+def digested(packed: DataFrame) -> DataFrame:
+    """The same rows with ``ids_crc32`` (of the ids as little-endian 32 bits) in the place of ``ids``."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index("ids")
+            ids = batch.column(k)
+            flat, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
+            found = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            yield batch.set_column(k, "ids_crc32", pa.array(found, pa.int64()))
+
+    schema = ", ".join("ids_crc32 long" if f.name == "ids" else f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema)
+    return packed.mapInArrow(digest, schema)

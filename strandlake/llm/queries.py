@@ -76,9 +76,9 @@ FROM s JOIN kept USING (conv_id) GROUP BY 1, 2
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
+    from .packing import digested, pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep="crc32")
+    return digested(pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep="ids"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -490,5 +490,28 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == {i for i, _ in clean} | {202}
 
 
+def test_sequences_of_the_pipelines_result(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words"), (2, "and a few more of them"), (3, "")], "doc_id long, text string")
+    packed = corpus_pipeline.pack_sequences(spark, docs, "")
+    got = packing.sequences(packed).collect()
+    assert sum(len(r["ids"]) for r in got) == sum(r["length"] for r in packed.collect()) and all(r["ids"] for r in got)
+
+
+def test_op2_derives_its_digest_from_ids(spark, docs, tmp_path, monkeypatch):
+    from strandlake.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept, pack = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **b: kept.append(pack(*a, **b)) or kept[-1])
+    got = queries.op2_best_fit_packing(spark, str(tmp_path))
+    assert "ids" in kept[0].columns
+    want = pack(docs, tokenizer_path(), keep="crc32")
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    plain_rows = lambda df: sorted(map(str, df.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert plain_rows(got) == plain_rows(want)
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
