@@ -236,31 +236,71 @@ def test_decontamination(spark, docs, monkeypatch):
     assert decontamination.search(docs, empty(bench)).where("n_hit > 0").count() == 0 and decontamination.search(empty(docs), bench).count() == 0
 
 
-def test_lm(spark, docs, monkeypatch):
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 2000)
-    rows = plain(docs)
-    tokens = [[w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None] for _, t in rows]
+def grams(words, order):
+    """The n-grams of an order that end with each word of a text, padded at its start."""
+    padded = [None] * (order - 1) + words
+    return [tuple(padded[i : i + order]) for i in range(len(words))]
+
+
+def brute_lm(rows, order):
+    tokens = [[x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + ["\n"] for _, t in rows]
     train = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in rows]
-    c, b = collections.Counter(), collections.Counter()
-    for w, t in zip(tokens, train):
-        if t:
-            c.update(w)
-            b.update(zip([0, *w], w))
-    n, v = sum(c.values()), len(c)
-    c[0] = sum(train)
+    c = [collections.Counter(g for w, t in zip(tokens, train) if t for g in grams(w, k + 1)) for k in range(order)]
+    n, v = sum(c[0].values()), len(c[0])
+    t = lm.fitted(np.array([lm.tally(np.array([*x.values()], dtype=np.int64)) for x in c]))
+    for k in range(1, order):  # words that open texts stand before no word
+        c[k - 1][(None,) * k] = sum(train)
+
+    def p(g):
+        if len(g) == 1:
+            return (c[0][g] + 1) / (n + v + 1)
+        k = len(g) - 1
+        return (c[k][g] + t[k - 1] * p(g[1:])) / (c[k - 1][g[:-1]] + t[k - 1])
+
+    return [(not own, len(w), sum(c[0][x,] > 0 for x in w), n, sum(math.log10(p(g)) for g in grams(w, 1)), sum(math.log10(p(g)) for g in grams(w, order))) for w, own in zip(tokens, train)], t
+
+
+@pytest.mark.parametrize("order,keys", [(3, 2 << 20), (3, 500), (2, 2 << 20), (1, 2 << 20)])
+def test_lm(spark, docs, monkeypatch, order, keys):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(lm, "STRETCH", 50)
+    monkeypatch.setattr(lm, "GROUP_KEYS", keys)
+    # Words and phrases that come back, so that arcs of all orders are taken.
+    rng = random.Random(5)
+    more = spark.createDataFrame([(1000 + i, " ".join(rng.choice(["the stone", "a cloud walks", "river", "The stone"]) for _ in range(rng.randrange(60)))) for i in range(40)], "doc_id long, text string")
+    table = docs.select("doc_id", "text").unionByName(more)
+    rows = plain(table)
+    found, t = brute_lm(rows, order)
     want = collections.defaultdict(list)
-    for (i, _), w, t in zip(rows, tokens, train):
-        root = [(c[x] + 1) / (n + v + 1) for x in w]
-        score = sum(math.log10(lm.LAMBDA * b[a, x] / c[a] + (1 - lm.LAMBDA) * r if c[a] else r) for a, x, r in zip([0, *w], w, root))
-        want[i].append((not t, len(w), sum(c[x] > 0 for x in w), n, sum(map(math.log10, root)), score))
-    got = lm.score(docs).collect()
-    assert len(got) == len(rows)
+    for (i, _), x in zip(rows, found):
+        want[i].append(x)
+    got = lm.score(table, order=order).collect()
+    assert len(got) == len(rows) and all(0 < x < 1000 for x in t)
     for r in got:
         w = want[r["doc_id"]][0]
         assert tuple(r)[1:5] == w[:4] and math.isclose(r["base_score"], w[4], rel_tol=1e-9) and math.isclose(r["score"], w[5], rel_tol=1e-9)
     assert lm.score(empty(docs)).count() == 0
 
 
+def test_lm_probabilities_add_up_and_held_out_texts_gain(spark):
+    rng = random.Random(9)
+    said = ["the stone", "a cloud walks", "river", "green paper light"]
+    rows = [(i, " ".join(rng.choice(said) for _ in range(30))) for i in range(200)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r["score"] for r in got) > 0.8 * sum(r["base_score"] for r in got) and len(got) > 10
+    words = sorted({w for _, t in rows for w in t.split()})
+    texts = [[lm.token_hashes(f"the stone {w}")[:-1] for w in words] + [lm.token_hashes("the stone")] + [lm.token_hashes("the stone never")[:-1]]]
+    chunk = lm.Chunk(np.array([len(x) for x in texts[0]]), np.concatenate(texts[0]))
+    corpus = lm.Chunk(np.array([len(lm.token_hashes(t)) for _, t in rows]), np.concatenate([lm.token_hashes(t) for _, t in rows]))
+    every = corpus.counts(np.ones(len(rows), bool))
+    counts = [np.array([dict(zip(k.tolist(), c.tolist())).get(x, 0) for x in own.tolist()]) for k, c, own in zip(corpus.keys, every, chunk.keys)]
+    n, v = int(every[0].sum()), len(every[0])
+    a = lm.Automaton(chunk, counts, n, v, len(rows), lm.fitted(np.array([lm.tally(x) for x in every])))
+    whole, opening = a.read(chunk.starts, chunk.lengths), a.read(chunk.starts[:1], np.array([2]))
+    # All words, the end and one unseen word share the probability after "the stone".
+    assert math.isclose(sum(10 ** (x - opening[0]) for x in whole), 1, rel_tol=1e-9)
+
+
 def brute_components(rows, percent=85):
     sets, up = collections.defaultdict(list), {}
     for i, t in rows:
