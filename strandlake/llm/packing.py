@@ -1,15 +1,19 @@
 """Packing of tokenised documents into sequences of a fixed capacity: matching of large items, then best fit.
 
 The plan depends on nothing but how many pieces have each length, and a length is at most the capacity. So Spark
-counts the lengths, the driver packs the *counts* (at most ``capacity`` times ``SALTS`` numbers, however large the
-corpus is), and Spark deals the plan's slots out to the pieces by their rank within their length.
+counts the lengths, the driver packs the *counts* (at most ``capacity`` numbers, however large the corpus is), and Spark
+deals the plan's slots out to the pieces by their rank within their length. A task numbers its own pieces of each length as
+it makes them; what other tasks have before is a running sum over counts, so no piece is ranked by a sort, however
+frequent its length is. Token ids move once at most, as bytes, and no Python reads them again.
 
 - Pieces above a third of the capacity: at most two fit a sequence. Each takes, from the longest down, the longest
   partner that still fits.
 - Smaller pieces, from the longest down, go to the smallest gap that holds them.
 
 Defined cases: a null or empty text is one piece of length 1 (the end-of-document id); repeated rows are packed each
-on its own; a null id is kept; an empty table gives an empty result; columns besides id and text are ignored.
+on its own; a null id is kept; an empty table gives an empty result; columns besides id and text are ignored. A very long
+text is encoded as a whole and cut by its ids; one with a very long run of white space takes the file's own tokenizer, as
+the faster encoder's split pattern cannot read it.
 """
 
 from __future__ import annotations
@@ -17,26 +21,26 @@ from __future__ import annotations
 import functools
 import json
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_slices, stored, texts
 
-#: Ranks within a length are counted in this many independent groups, so that one frequent length is no hot key.
-SALTS = 32
 #: Bytes of text that a task holds at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 #: The split pattern of byte-level BPE vocabularies of this kind (a fixed, published value).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these scripts, Unicode tables of different libraries may differ; such texts go to the reference tokenizer.
 _RARE = re.compile("[^\x00-ԯ‐-⁞€]")
+#: A split pattern that tries a white-space run from its end needs stack for each character of the run.
+_LONG_SPACE, _LONG_RUN = re.compile(r"(?<!\s)\s{10000}"), 10_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -62,40 +66,41 @@ def _encoder(path: str):
     fast = tiktoken.Encoding("pieces", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special) or not text.isascii() and _RARE.search(text):
+        rare = any(x in text for x in special) or not text.isascii() and _RARE.search(text)
+        if rare or len(text) > _LONG_RUN and _LONG_SPACE.search(text):
             return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise and cut: a row per piece with (id, piece, start, length, salt) and its ids or their checksum.
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenise and cut: a row per piece with (id, task, nth, piece, start, length, ids).
 
     A document is its ids and then ``end_id``. Only one longer than ``capacity`` is cut; its first piece takes what
-    the full pieces leave over. ``keep`` is "ids" (array of int) or "crc32" (of the ids as little-endian 32 bits).
+    the full pieces leave over. ``nth`` numbers the pieces of equal length that a task makes. ``ids`` are
+    little-endian unsigned 32-bit numbers.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    payload = {"ids": "ids array<int>", "crc32": "ids_crc32 long"}[keep]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail, seen = _encoder(tokenizer), np.array([end_id], np.uint32), 0
+        encode, tail, task, seen = _encoder(tokenizer), np.array([end_id], np.uint32), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in in_slices(batches, "text", SLICE_BYTES):
-            rows, piece, start, length, data = [], [], [], [], []
+            rows, nth, piece, start, length, data = [], [], [], [], [], []
             for row, text in enumerate(texts(batch.column(1))):
-                ids = np.concatenate([encode(text), tail])
+                ids = np.concatenate([encode(text), tail]).astype("<u4", copy=False)
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)] if len(ids) > capacity else [0, len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append(row), piece.append(k), start.append(a), length.append(b - a)
-                    data.append(zlib.crc32(ids[a:b].astype("<u4").tobytes()) if keep == "crc32" else ids[a:b].astype(np.int32))
-            salt = (np.arange(seen, seen + len(rows)) % SALTS).astype(np.int32)
-            seen += len(rows)
+                    rows.append(row), nth.append(seen[b - a]), piece.append(k), start.append(a), length.append(b - a), data.append(ids[a:b].tobytes())
+                    seen[b - a] += 1
+            numbers = (pa.array(nth, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(salt), pa.array(data, pa.int64() if keep == "crc32" else pa.list_(pa.int32()))],
-                names=["id", "piece", "start", "length", "salt", payload.split()[0]],
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.full(len(rows), task, np.int64)), *numbers, pa.array(data, pa.binary())],
+                names=["id", "task", "nth", "piece", "start", "length", "ids"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {id_type}, piece int, start long, length long, salt int, {payload}")
+    schema = f"id {id_type}, task long, nth long, piece int, start long, length long, ids binary"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -137,67 +142,47 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     return done + [run for runs in open_runs.values() for run in runs]
 
 
-def slots(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
-    """The plan as slots: pieces ranked ``first`` and on, counted over lengths in ascending order, go to sequences
-    ``sequence`` and on, at ``offset``."""
-    lengths = sorted(counts)
-    origin = np.zeros(capacity + 1, np.int64)
-    origin[lengths] = np.cumsum([0, *(counts[x] for x in lengths[:-1])]) if lengths else 0
-    taken, sequence, out = origin.copy(), 0, []
+def slots(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int]]]:
+    """The plan as slots: for each length (first, sequence, offset), ascending. Pieces of that length ranked ``first`` and
+    on go to sequences ``sequence`` and on, at ``offset``."""
+    taken, sequence = defaultdict(int), 0
+    out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for n, run in plan(counts, capacity):
         offset = 0
         for length in run:
-            out.append((taken[length], sequence, offset))
+            out[length].append((taken[length], sequence, offset))
             taken[length] += n
             offset += length
         sequence += n
-    first, seq, off = (np.array(x, np.int64) for x in zip(*sorted(out))) if out else (np.zeros(0, np.int64),) * 3
-    return {"origin": origin, "first": first, "sequence": seq, "offset": off}
-
-
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of all documents with ``sequence_id`` and the ``offset`` within it, gapless from 0."""
-    pieces = stored(token_pieces(docs, tokenizer, capacity, end_id, keep, id_col, text_col), "pieces")
-    found = pieces.groupBy("length", "salt").count().collect()  # at most capacity * SALTS rows
-    counts: dict[int, int] = defaultdict(int)
-    before = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in sorted(found):
-        before[r["length"], r["salt"]] = counts[r["length"]]
-        counts[r["length"]] += r["count"]
-    chosen = docs.sparkSession.sparkContext.broadcast({"before": before} | slots(dict(counts), capacity))
-    payload = pieces.columns[-1]
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece")) - 1)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = chosen.value
-        for batch in batches:
-            length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "salt", "rank"))
-            at = s["origin"][length] + s["before"][length, salt] + rank
-            slot = np.searchsorted(s["first"], at, "right") - 1
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "piece", "start", "length", payload)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s["sequence"][slot] + at - s["first"][slot]), pa.array(s["offset"][slot])], names=["id", "piece", "start", "length", payload, "sequence_id", "offset"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", "piece", "start", "length", payload))
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return out
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces (id, piece, start, length, ids) of all documents with ``sequence_id`` and the ``offset`` within it,
+    gapless from 0. ``ids`` are little-endian unsigned 32-bit numbers, as ``numpy.frombuffer`` reads them."""
+    spark = docs.sparkSession
+    pieces = stored(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    made = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
+    counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = made.select("task", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    # A row per length; together a few slots a length, however many pieces there are.
+    dealt = [(length, [*map(list, runs)]) for length, runs in slots(counts, capacity).items()]
+    plans = F.broadcast(spark.createDataFrame(dealt, "length long, slots array<array<long>>"))
+    rank = F.col("nth") + F.col("before")
+    ranked = pieces.join(before, ["task", "length"]).join(plans, "length").withColumn("rank", rank)
+    slot = F.try_element_at(F.filter("slots", lambda x: x[0] <= F.col("rank")), F.lit(-1))
+    placed = ranked.withColumn("slot", slot)
+    sequence = F.col("slot")[1] + F.col("rank") - F.col("slot")[0]
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids", sequence.alias("sequence_id"), F.col("slot")[2].alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """Join the pieces of each sequence (at most ``capacity`` ids): (sequence_id, ids). Needs ``keep="ids"``."""
+    """Join the pieces of each sequence (at most ``capacity`` ids): (sequence_id, ids)."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(F.aggregate(parts, F.lit(b""), lambda whole, x: F.concat(whole, x["ids"])).alias("ids"))
 
 
 def digested(packed: DataFrame) -> DataFrame:
     """The same rows with ``ids_crc32`` (of the ids as little-endian 32 bits) in the place of ``ids``."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("ids")
-            ids = batch.column(k)
-            flat, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
-            found = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield batch.set_column(k, "ids_crc32", pa.array(found, pa.int64()))
-
-    schema = ", ".join("ids_crc32 long" if f.name == "ids" else f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema)
-    return packed.mapInArrow(digest, schema)
+    return packed.select(*(F.crc32("ids").alias("ids_crc32") if c == "ids" else c for c in packed.columns))

@@ -78,7 +78,7 @@ FROM s JOIN kept USING (conv_id) GROUP BY 1, 2
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import digested, pack
 
-    return digested(pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep="ids"))
+    return digested(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

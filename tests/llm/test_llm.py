@@ -60,8 +60,8 @@ def test_pack(spark, docs):
         texts = [w for (d, w), n in want.items() if d == i for _ in range(n)]
         assert sum(r["length"] for r in parts) == sum(map(len, texts))
         if len(texts) == 1:
-            ids = [x for r in sorted(parts, key=lambda r: r["piece"]) for x in r["ids"]]
-            assert tuple(ids) == texts[0]
+            ids = np.frombuffer(b"".join(r["ids"] for r in sorted(parts, key=lambda r: r["piece"])), "<u4")
+            assert tuple(ids.tolist()) == texts[0]
             assert all(r["length"] == 256 for r in parts if r["piece"] > 0)
     bins = collections.defaultdict(list)
     for r in rows:
@@ -74,7 +74,9 @@ def test_pack(spark, docs):
         assert at <= 256
     assert len(bins) <= 1.05 * sum(r["length"] for r in rows) / 256 + 1
     whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(packing.pack(docs, tokenizer_path(), capacity=256)).collect()}
-    assert sum(map(len, whole.values())) == sum(r["length"] for r in rows)
+    assert sum(map(len, whole.values())) == 4 * sum(r["length"] for r in rows)
+    for r in rows:
+        assert whole[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])] == r["ids"]
     assert packing.pack(empty(docs), tokenizer_path()).count() == 0
 
 
@@ -536,21 +538,38 @@ def test_sequences_of_the_pipelines_result(spark):
     docs = spark.createDataFrame([(1, "some words"), (2, "and a few more of them"), (3, "")], "doc_id long, text string")
     packed = corpus_pipeline.pack_sequences(spark, docs, "")
     got = packing.sequences(packed).collect()
-    assert sum(len(r["ids"]) for r in got) == sum(r["length"] for r in packed.collect()) and all(r["ids"] for r in got)
+    assert sum(len(r["ids"]) for r in got) == 4 * sum(r["length"] for r in packed.collect()) and all(r["ids"] for r in got)
+
 
+def test_op2_against_the_files_own_tokenizer(spark, docs, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
 
-def test_op2_derives_its_digest_from_ids(spark, docs, tmp_path, monkeypatch):
     from strandlake.llm import queries
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     kept, pack = [], packing.pack
     monkeypatch.setattr(packing, "pack", lambda *a, **b: kept.append(pack(*a, **b)) or kept[-1])
     got = queries.op2_best_fit_packing(spark, str(tmp_path))
-    assert "ids" in kept[0].columns
-    want = pack(docs, tokenizer_path(), keep="crc32")
-    assert got.columns == want.columns and got.dtypes == want.dtypes
-    plain_rows = lambda df: sorted(map(str, df.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
-    assert plain_rows(got) == plain_rows(want)
+    assert "ids" in kept[0].columns and got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    tok, want = Tokenizer.from_file(tokenizer_path()), collections.Counter()
+    for i, t in plain(docs):
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        first = len(ids) % 2048 or 2048 if len(ids) > 2048 else len(ids)
+        for k, (a, b) in enumerate(zip([0, *range(first, len(ids), 2048)], [*range(first, len(ids), 2048), len(ids)])):
+            want[i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    rows = got.collect()
+    assert collections.Counter(tuple(r)[:5] for r in rows) == want
+    spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(o == (0 if i == 0 or spans[i - 1][0] != q else sum(spans[i - 1][1:])) and o + n <= 2048 for i, (q, o, n) in enumerate(spans))
+    assert len({q for q, *_ in spans}) == -(-sum(n for *_, n in spans) // 2048)
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 2_000_000 + "a", "x" + "\n" * 700_000 + "a", "a" * 2_000_000, "x" + " \t" * 6_000 + "b", "x" + " " * 9_999 + "b"])
+def test_ids_of_long_runs(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert packing._encoder(tokenizer_path())(text).tolist() == want
 
 
 def test_digest_of_no_items():
