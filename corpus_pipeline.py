@@ -30,8 +30,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of each document with its token ids, its sequence and its place there."""
-    return packing.pack(docs, tokenizer_path(), keep="ids")
+    """A row per piece of each document with its token ids (as bytes), its sequence and its place there."""
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [
