@@ -8,7 +8,8 @@ in it are reported as positions in the document.
 Defined cases: a null or empty text has no spans; repeated rows are each scanned; positions are code points, ends
 exclusive. Compressed data is read to the end of its last member, in windows of about ``EXPAND_BYTES`` that overlap by a
 quarter, so memory is bounded and no amount is left out; only a single encoded run or inner stream longer than the
-overlap may be cut, where it stands within compressed data. Data that breaks off is scanned as far as it goes.
+overlap may be cut, where it stands within compressed data. Data that breaks off is scanned as far as it goes. A chain of
+eight or more escapes of characters that begin escapes is one step, so long texts of them take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -40,7 +41,11 @@ SLICE_BYTES = 8 << 20
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+#: An escape of a character that begins escapes, again and again: ``%252525``, ``&#38;#38;`` and the like.
+_CHAIN = re.compile(r"[%&\\](?:2[56]|5[cC]|#(?:3[78]|92|[xX](?:2[56]|5[cC]));|u00(?:2[56]|5[cC])|x(?:2[56]|5[cC])){8,}")
+#: What follows such a character in one step of a chain, and where the number of the next character stands in it.
+_LINKS = {"%": re.compile(r"(2[56]|5[cC])"), "&": re.compile(r"#(3[78]|92|[xX](?:2[56]|5[cC]));"), "\\": re.compile(r"(?:u00|x)(2[56]|5[cC])")}
+_ESCAPE = re.compile(_CHAIN.pattern + r"|(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 #: A run of base64 goes on over line breaks, also those spelled out in strings, with what indents the next line.
 _BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*")
 _BASE64 = re.compile(rf"[A-Za-z0-9+/_-]++(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)*+={{0,2}}")
@@ -151,8 +156,20 @@ def _offsets(text: str) -> range | np.ndarray:
     return np.cumsum(width, dtype=np.int64)
 
 
+def _end_of_chain(unit: str) -> str:
+    """All steps of a chain of escapes at once, in one pass, however many levels it has."""
+    head, at = unit[0], 1
+    while link := _LINKS[head].match(unit, at):
+        code = link.group(1)
+        head = chr(int(code) if head == "&" and code.isdigit() else int(code.lstrip("xX"), 16))
+        at = link.end()
+    return head + unit[at:]
+
+
 def _unescaped(unit: str) -> str:
     """The text of a run of escapes; bytes that are not text stay apart as in ``_as_text``."""
+    if _CHAIN.fullmatch(unit):
+        return _end_of_chain(unit)
     if unit == "+":
         return " "
     if unit[0] == "%":
@@ -182,7 +199,7 @@ def _replaced(text: str, escape: re.Pattern = _ESCAPE) -> Iterator[tuple[str, Up
         return
     parts.append(text[at:])
     #: A run of escapes of equal width that decode to one character each maps character by character.
-    even = [(b - a) // (t - f) if t > f and (b - a) % (t - f) == 0 and text[a] in "%\\" else 0 for f, t, a, b in zip(from_, to, begin, end)]
+    even = [(b - a) // (t - f) if t > f and (b - a) % (t - f) == 0 and text[a] in "%\\" and not _CHAIN.match(text, a) else 0 for f, t, a, b in zip(from_, to, begin, end)]
 
     def up(s: int, e: int) -> Span:
         i = bisect.bisect_right(from_, s) - 1
