@@ -20,7 +20,8 @@ whose sides grow with the corpus are sort-merge joins at every size.
 
 Defined cases: a text without words (or null) has an empty set, is linked with nothing and is its own component; a row
 without an id is never linked, its component is null and it is kept; rows that share an id are one document, linked by any of their texts;
-columns besides id and text are ignored (``drop_near_duplicates`` passes them on).
+columns besides id and text are ignored (``drop_near_duplicates`` passes them on). Ids are integers of any width; other types
+are a ValueError. A very long text is one set, held by one task while it is made or compared.
 """
 
 from __future__ import annotations
@@ -33,14 +34,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import in_slices, stored, texts
 
 SHINGLE, PERCENT = 5, 85
 CHUNKS, WIDTH = 10, 6
 SYMBOLS = CHUNKS * WIDTH
-#: Beyond this distance a pair at the threshold is not to be expected (less than one in ten million).
-FAR = 24
+#: Pairs further apart are not compared on full sets. At the threshold (similarity 0.85) 2 in 10^10 pairs are, closer ones
+#: still fewer; together with those that meet in no bucket that is fewer than one pair in a million.
+FAR = 29
+#: Nodes with more neighbours than this, and than an even part of all, get their smallest neighbour by broadcast.
+HUB = 1024
 #: Members of a tile come from two groups of about this many.
 TILE = 256
 SLICE_BYTES = 8 << 20
@@ -175,8 +180,14 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        # There are fewer hubs than shuffle partitions, as each has more than an even part of the rows.
+        bound = max(HUB, 2 * mark["n"] // int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        hubs = F.broadcast(least.where(F.col("n") > bound).select("u", F.col("m").alias("hub_m")))
+        upward = both.where("v > u").join(hubs, "u", "left")
+        of_hubs = upward.where("hub_m is not null").select(F.col("v").alias("u"), F.col("hub_m").alias("v"))
+        of_others = upward.where("hub_m is null").select("u", "v").join(least.where(F.col("n") <= bound), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = of_hubs.union(of_others).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = down.groupBy("u").agg(F.min("v").alias("m"))
         linked = down.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
@@ -277,6 +288,9 @@ def _family_links(families: DataFrame, comps: DataFrame, sets: DataFrame) -> Dat
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row with ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept``."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"ids must be integers, {id_col} is {kind.simpleString()}")
     rows = stored(sketch(docs, id_col, text_col), "sketch")
     sets = rows.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sign").alias("sign"))
     nodes = stored(sets, "nodes")
@@ -302,7 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_set = nodes.hint("merge").join(comps, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     # An empty set has no set_id, and a row without an id no component.
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return rows.hint("merge").join(of_set, "set_id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(component == F.col("id"), F.lit(True))
+    return rows.hint("merge").join(of_set, "set_id", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
