@@ -1,10 +1,12 @@
 """Toxicity: a cumulative-link (ordinal logistic) model of severity grades over sparse word features.
 
 P(grade <= k) = sigmoid(cut_k - w.x): one weight vector for all thresholds, ordered cuts. x_j is log(1 + count) of a
-vocabulary word; one more feature says whether any is there. Weights are not negative. The severity of a document is the expected grade, and it is toxic if P(grade >= 1) is at least half.
+vocabulary word; one more feature says whether any is there. Weights are not negative. The severity of a document is the
+expected grade, and it is toxic if P(grade >= 1) is at least half.
 
-Labels say only toxic or not. Grades are made from them: 0 for clean documents; toxic ones get 1 to ``GRADES`` - 1 by
-their number of vocabulary words, cut at equal parts of those toxic documents of the sample that have any.
+Labels say only toxic or not. Grades are made from them: 0 for clean documents; toxic ones get 1 to ``GRADES`` - 1 by a
+two-grade model that was fitted without them (each half of the sample is scored by the model of the other half), cut at
+equal parts of the toxic documents that have vocabulary words. So a grade says how sure a model is that has not seen the label.
 
 Fitting uses a bounded sample, the ``fit_rows`` labelled documents first by a hash of their id; of these, Spark counts
 in how many toxic and clean documents each word stands. The vocabulary is all words of at least ``least_count`` toxic
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import in_slices, texts, words_of
 
 GRADES = 4
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -65,11 +69,11 @@ class Sparse:
         return np.bincount(self.col, self.value * u[self.row], self.shape[1])
 
 
-def fit(x: Sparse, grade: np.ndarray, penalty: float = 2e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: Sparse, grade: np.ndarray, penalty: float = 2e-5, steps: int = 1500, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood with an L2 penalty, by gradient steps with momentum and scaling. Cuts stay ordered, as the
     first one and the logarithms of the gaps between them are the free parameters; weights stay at 0 or above."""
     n, k = x.shape
-    cuts = GRADES - 1
+    cuts = grades - 1
     z = np.concatenate([np.zeros(k), [2.0], np.zeros(cuts - 1)])
     m, v = np.zeros_like(z), np.zeros_like(z)
     rows = np.arange(n)
@@ -94,8 +98,8 @@ def fit(x: Sparse, grade: np.ndarray, penalty: float = 2e-5, steps: int = 1500)
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_words: int = 1 << 16, least_count: int = 3, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit a model on at most ``fit_rows`` of the labelled documents (labels: doc_id, toxic)."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.max("toxic") > 0).alias("toxic"))
-    sample = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id").select("text", "toxic")
+    sample = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows).withColumn("label_id", F.col("label_id").cast("string"))
+    rows = docs.select(F.col(id_col).cast("string").alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id").select("text", "toxic", "label_id")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", SLICE_BYTES):
@@ -126,10 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_words
                 hits = Counter(words[w] for w in words_of(text) if w in words)
                 out.append((sorted(hits), [hits[j] for j in sorted(hits)]))
             at, hits = zip(*out)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "at", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.int32()))], names=["id", "toxic", "at", "hits"])
 
-    # At most fit_rows rows of a few numbers each.
-    got = sorted((r["toxic"], r["at"], r["hits"]) for r in rows.mapInArrow(features, "toxic boolean, at array<int>, hits array<int>").limit(2 * fit_rows).collect())
+    # A row of a few numbers for each of at most fit_rows ids; of several texts with an id, one counts.
+    found = rows.mapInArrow(features, "id string, toxic boolean, at array<int>, hits array<int>").groupBy("id").agg(F.max(F.struct("toxic", "at", "hits")).alias("r"))
+    got = sorted((r["toxic"], r["at"], r["hits"]) for r in found.select("r.*").collect())
     hits = [np.array(h, float) for *_, h in got]
     total = np.array([h.sum() for h in hits])
     some, last = np.flatnonzero(total), len(words)
@@ -137,13 +142,26 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_words
     col = np.concatenate([*(np.array(a, int) for _, a, _ in got), np.full(len(some), last)])
     x = Sparse((len(got), last + 1), row, col, np.concatenate([*map(np.log1p, hits), np.ones(len(some))]))
     toxic = np.array([r[0] for r in got], bool)
-    some = total[toxic & (total > 0)]
+    unseen = held_out_scores(x, toxic)
+    some = unseen[toxic & (total > 0)]
     steps = np.quantile(some, np.arange(1, GRADES - 1) / (GRADES - 1)) if len(some) else np.zeros(GRADES - 2)
-    grade = np.where(toxic, 1 + np.searchsorted(steps, total, "left"), 0)
+    grade = np.where(toxic, 1 + np.searchsorted(steps, unseen, "left"), 0)
     weights, cuts = fit(x, grade)
     return Model(words, weights, cuts)
 
 
+def held_out_scores(x: Sparse, toxic: np.ndarray) -> np.ndarray:
+    """w.x - cut of each row by a two-grade model of the other half of the rows (every second one)."""
+    half, out = np.arange(x.shape[0]) % 2, np.zeros(x.shape[0])
+    for k in (0, 1):
+        own = half[x.row] != k
+        rows = np.flatnonzero(half != k)
+        part = Sparse((len(rows), x.shape[1]), x.row[own] // 2, x.col[own], x.value[own])
+        w, cut = fit(part, toxic[rows].astype(int), steps=400, grades=2)
+        out[half == k] = x.by_row(w)[half == k] - cut[0]
+    return out
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with ``severity`` (expected grade), ``p_toxic`` (P(grade >= 1)), ``grade`` and ``toxic``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
