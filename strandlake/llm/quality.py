@@ -107,8 +107,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_
     task and no text is shuffled; the raw multinomial counts every document.
     """
     named = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
-    trusted = named.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(fit_rows)
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(trusted), F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
+    trusted = named.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(fit_rows).select(F.col("trusted_id").cast("string"))
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(trusted), F.col("id").cast("string") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
     counts = ngram_counts(marked, "trusted")
     table = docs.sparkSession.sparkContext.broadcast(weights(counts[True], counts[False] + counts[True]))
     least = round(threshold * SCALE)
