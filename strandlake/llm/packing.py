@@ -39,6 +39,8 @@ SLICE_BYTES = 4 << 20
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these scripts, Unicode tables of different libraries may differ; such texts go to the reference tokenizer.
 _RARE = re.compile("[^\x00-ԯ‐-⁞€]")
+#: Running counts of at most so many (task, length) pairs, of 24 bytes each, are sent to all tasks; of more, they meet the pieces in a shuffle.
+MOST_SENT = 500_000
 #: A split pattern that tries a white-space run from its end needs stack for each character of the run.
 _LONG_SPACE, _LONG_RUN = re.compile(r"(?<!\s)\s{10000}"), 10_000
 
@@ -162,10 +164,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     gapless from 0. ``ids`` are little-endian unsigned 32-bit numbers, as ``numpy.frombuffer`` reads them."""
     spark = docs.sparkSession
     pieces = stored(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
-    made = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
+    made = stored(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = made.select("task", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    if made.count() <= MOST_SENT:
+        before = F.broadcast(before)
     # A row per length; together a few slots a length, however many pieces there are.
     dealt = [(length, [*map(list, runs)]) for length, runs in slots(counts, capacity).items()]
     plans = F.broadcast(spark.createDataFrame(dealt, "length long, slots array<array<long>>"))

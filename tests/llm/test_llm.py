@@ -46,9 +46,12 @@ def empty(df):
     return df.limit(0)
 
 
-def test_pack(spark, docs):
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_pack(spark, docs, monkeypatch, sent):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "MOST_SENT", sent)
+
     tok = Tokenizer.from_file(tokenizer_path())
     rows = packing.pack(docs, tokenizer_path(), capacity=256).collect()
     want = collections.Counter()
