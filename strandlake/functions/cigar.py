@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 def operations(cigar: Column) -> Column:
     """array<struct<n, op>> of a CIGAR string; empty for "*" and null."""
-    n = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1))
-    op = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
-    return F.coalesce(F.zip_with(n, op, lambda a, b: F.struct(a.cast("bigint").alias("n"), b.alias("op"))), F.array().cast("array<struct<n:bigint,op:string>>"))
+    parts = F.coalesce(F.regexp_extract_all(cigar, F.lit(r"\d+[MIDNSHP=X]"), F.lit(0)), F.array().cast("array<string>"))
+    return F.transform(parts, lambda x: F.struct(F.substring(x, F.lit(1), F.length(x) - 1).cast("bigint").alias("n"), F.substring(x, -1, 1).alias("op")))
 
 
-def total_of(cigar: Column, ops: str) -> Column:
-    """The summed lengths of the operations named in ``ops``."""
-    return F.aggregate(F.filter(operations(cigar), lambda x: x["op"].isin(*ops)), F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+def length_of(ops: Column, kinds: str) -> Column:
+    """The summed lengths of those of the operations that ``kinds`` names."""
+    return F.aggregate(F.filter(ops, lambda x: x["op"].isin(*kinds)), F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+
+
+def total_of(cigar: Column, kinds: str) -> Column:
+    return length_of(operations(cigar), kinds)
 
 
 def aligned_with_deletions(cigar: Column) -> Column:
@@ -26,7 +29,7 @@ def aligned_without_deletions(cigar: Column) -> Column:
     return total_of(cigar, "MI=X")
 
 
-def blocks(cigar: Column, pos: Column) -> Column:
+def blocks_of(ops: Column, pos: Column) -> Column:
     """array<struct<s, e>>: the half-open reference blocks that M, = and X cover, from 0-based ``pos`` on.
 
     D and N move on without covering; I, S, H and P do neither.
@@ -39,10 +42,33 @@ def blocks(cigar: Column, pos: Column) -> Column:
         more = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), end.alias("e"))))
         return F.struct(F.when(moves, end).otherwise(acc["at"]).alias("at"), F.when(covers, more).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(operations(cigar), start, step, lambda acc: acc["out"])
+    return F.aggregate(ops, start, step, lambda acc: acc["out"])
 
 
-def identity(cigar: Column, nm: Column) -> Column:
+def blocks(cigar: Column, pos: Column) -> Column:
+    return blocks_of(operations(cigar), pos)
+
+
+def identity_of(ops: Column, nm: Column) -> Column:
     """(aligned - edit distance) / aligned, with insertions and deletions in the aligned length; 0 if nothing aligns."""
-    aligned = aligned_with_deletions(cigar)
+    aligned = length_of(ops, "MID=X")
     return F.when(aligned > 0, (aligned - nm) / aligned).otherwise(F.lit(0.0))
+
+
+def identity(cigar: Column, nm: Column) -> Column:
+    return identity_of(operations(cigar), nm)
+
+
+def walked(cigar: Column, pos: Column) -> Column:
+    """struct<at, out, aligned>: where the alignment ends, its reference blocks, and its length with insertions and deletions,
+    in one walk over the operations."""
+    blank = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    start = F.struct(pos.cast("bigint").alias("at"), blank.alias("out"), F.lit(0).cast("bigint").alias("aligned"))
+
+    def step(acc: Column, x: Column) -> Column:
+        covers, moves, counts = x["op"].isin("M", "=", "X"), x["op"].isin("M", "=", "X", "D", "N"), x["op"].isin("M", "=", "X", "D", "I")
+        more = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + x["n"]).alias("e"))))
+        to, aligned = F.when(moves, acc["at"] + x["n"]).otherwise(acc["at"]), F.when(counts, acc["aligned"] + x["n"]).otherwise(acc["aligned"])
+        return F.struct(to.alias("at"), F.when(covers, more).otherwise(acc["out"]).alias("out"), aligned.alias("aligned"))
+
+    return F.aggregate(operations(cigar), start, step)

@@ -1,20 +1,21 @@
 """Coverage statistics of contigs, genomes and genes.
 
-Every statistic is a function of a histogram of depth and a few sums for each entry, so one scan serves any choice of
-methods; Catalyst drops what the chosen ones do not need.
+Every statistic is a function of a histogram of depth and a few sums for each entry. One scan of the alignments makes runs of
+depth and read counts together; they are added up by (entry, depth) and then become one row per entry, with its histogram as
+an array that is as long as there are different depths. Means, moments, trimmed means and histograms are expressions on that row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cigar import aligned_with_deletions, identity
 from ..functions.numeric import ratio
 from ..schema import SECONDARY, SUPPLEMENTARY
-from .depth import mapped, segments
+from .depth import COUNTS, counted_runs, mapped
 from .filters import has
 
 #: Name on the command line -> heading.
@@ -55,9 +56,16 @@ def check_methods(methods: list[str], o: Options, genes: bool = False, grain: st
 
 
 def samples_of(alignments: DataFrame) -> DataFrame:
-    """(sample_idx, sample, num_reads): the samples and their primary records, before any filter."""
+    """(sample_idx, sample, num_reads): the samples and their primary records, before any filter. There is a row for each input
+    file, so the result is held as a local table and later steps need no further scan."""
     primary = F.when(~has(SECONDARY) & ~has(SUPPLEMENTARY), 1).otherwise(0)
-    return alignments.groupBy("sample_idx", "sample").agg(F.sum(primary).cast("bigint").alias("num_reads"))
+    rows = alignments.groupBy("sample_idx", "sample").agg(F.sum(primary).cast("bigint").alias("num_reads"))
+    return local(rows)
+
+
+def local(small: DataFrame) -> DataFrame:
+    """A table of a few rows, computed once."""
+    return small.sparkSession.createDataFrame(small.toArrow(), small.schema)
 
 
 def contig_counts(used: DataFrame) -> DataFrame:
@@ -76,58 +84,77 @@ def contig_counts(used: DataFrame) -> DataFrame:
 _COUNTED = {"contig": ("n_primary", "same_primary"), "separator": ("n_no_sup", "same_primary"), "map": ("n_all", "same_no_sup")}
 
 
-def contig_facts(used: DataFrame, contigs: DataFrame, samples: DataFrame, o: Options) -> DataFrame:
-    """A row per sample and contig: ``windowed`` bases (without ends), full length, reads and identities. A contig without
-    reads counts whole if its ends would overlap; one with reads then counts nothing."""
-    grid = contigs.crossJoin(F.broadcast(samples.select("sample_idx")))
-    seen = grid.join(contig_counts(used), ["sample_idx", "tid"], "left")
-    cut = F.greatest(F.col("length") - 2 * o.end_exclusion, F.lit(0))
-    unseen = F.when(F.col("length") < 2 * o.end_exclusion, F.col("length")).otherwise(cut)
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_all", "n_no_sup", "n_primary", "same_primary", "same_no_sup")]
-    return seen.select("sample_idx", *contigs.columns, F.col("n_all").isNotNull().alias("seen"), F.when(F.col("n_all").isNotNull(), cut).otherwise(unseen).alias("windowed"), *counts)
+def _cut(o: Options) -> Column:
+    """Bases of a contig without its ends."""
+    return F.greatest(F.col("length") - 2 * o.end_exclusion, F.lit(0))
+
 
+def _cut_unseen(o: Options) -> Column:
+    """The same of a contig without reads, which counts whole if its ends would overlap."""
+    return F.when(F.col("length") < 2 * o.end_exclusion, F.col("length")).otherwise(_cut(o))
 
-def depth_counts(used: DataFrame, contigs: DataFrame, o: Options) -> DataFrame:
-    """(sample_idx, tid, depth, n_full, n_window): bases of each depth above 0, on all of a contig and without its ends."""
+
+def depth_rows(used: DataFrame, contigs: DataFrame, o: Options) -> DataFrame:
+    """(sample_idx, tid, depth, n_full, n_window, more, *COUNTS): bases of each run of depth, on all of a contig and without its
+    ends; and for each sample and contig with a record a row (depth 0) with its counts and with how many ``more`` bases count than if it
+    had none."""
     e = o.end_exclusion
     window = F.greatest(F.lit(0), F.least("end", F.col("length") - e) - F.greatest("start", F.lit(e)))
-    return segments(used, contigs).groupBy("sample_idx", "tid", "depth").agg(F.sum(F.col("end") - F.col("start")).alias("n_full"), F.sum(window).alias("n_window"))
+    more = F.when(F.col("depth") == 0, _cut(o) - _cut_unseen(o)).otherwise(0)
+    runs = counted_runs(used, contigs)
+    return runs.select("sample_idx", "tid", "depth", (F.col("end") - F.col("start")).alias("n_full"), F.when(F.col("depth") > 0, window).otherwise(0).alias("n_window"), more.alias("more"), *COUNTS)
+
+
+def summary(rows: DataFrame, key: list[str], sums: list[str]) -> DataFrame:
+    """Per entry: moments of the depth, covered bases, ``hist`` (depths above 0 with their bases, ascending) and the ``sums``."""
+    by_depth = rows.groupBy(*key, "depth").agg(F.sum("n_full").alias("n_full"), F.sum("n_window").cast("bigint").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    d, n = F.col("depth"), F.col("n")
+    some = F.when((n > 0) & (d > 0), F.struct("depth", "n"))
+    return by_depth.groupBy(*key).agg(
+        F.sum(d * n).alias("s1"), F.sum(d * d * n).alias("s2"), F.sum(n).alias("covered"), F.sum("n_full").alias("covered_full"), F.min(F.when((n > 0) & (d > 0), d)).alias("least"),
+        F.array_sort(F.collect_list(some)).alias("hist"), *(F.sum(c).alias(c) for c in sums),
+    )
+
 
+_NO_HIST = "array<struct<depth:bigint,n:bigint>>"
 
-def entry_histogram(counts: DataFrame, totals: DataFrame, key: list[str]) -> DataFrame:
-    """The windowed histogram of each entry with its row for depth 0, which always is there."""
-    shown = counts.groupBy(*key, "depth").agg(F.sum("n_window").cast("bigint").alias("n")).where("n > 0")
-    covered = shown.groupBy(*key).agg(F.sum("n").alias("covered"))
-    zero = totals.join(covered, key, "left").select(*key, F.lit(0).cast("bigint").alias("depth"), (F.col("windowed") - F.coalesce("covered", F.lit(0))).cast("bigint").alias("n"))
-    return shown.unionByName(zero)
 
+def grid_of(entries: DataFrame, samples: DataFrame) -> DataFrame:
+    """Every entry in every sample. Samples are few, so this is an array of literals and no join."""
+    ids = [r["sample_idx"] for r in samples.select("sample_idx").collect()]
+    return entries.select("*", F.explode(F.array(*map(F.lit, ids)).cast("array<int>")).alias("sample_idx"))
 
-def trimmed_means(histogram: DataFrame, totals: DataFrame, key: list[str], o: Options) -> DataFrame:
-    """(key, trimmed_mean): the mean depth of the bases between two shares of the depth order."""
+
+def _every(entries: DataFrame, rows: DataFrame, samples: DataFrame, key: list[str], reads: str, same: str) -> DataFrame:
+    """The summary of every entry in every sample. ``entries`` has bases and windowed (of contigs without reads)."""
+    joined = grid_of(entries, samples).join(summary(rows, key, ["more", *COUNTS]), key, "left")
+    zero = F.lit(0).cast("bigint")
+    return joined.select(
+        *key, *(c for c in entries.columns if c not in (*key, "bases", "windowed")), (F.col("windowed") + F.coalesce("more", zero)).cast("bigint").alias("windowed"), "bases", F.coalesce(F.col(reads), zero).alias("reads"),
+        F.coalesce(F.col(same), F.lit(0.0)).alias("identity"), F.col("n_all").isNotNull().alias("seen"), *(F.coalesce(c, zero).alias(c) for c in ("s1", "s2", "covered", "covered_full")), "least", F.coalesce("hist", F.array().cast(_NO_HIST)).alias("hist"),
+    )
+
+
+def trimmed_mean(o: Options) -> Column:
+    """The mean depth of the bases between two shares of the depth order, from ``hist``, ``windowed`` and ``covered``."""
     kind = "float" if o.exact else "double"
     low, high = (F.lit(x).cast(kind) for x in o.trim)
-    bounds = totals.select(*key, F.floor(low * F.col("windowed").cast(kind)).cast("bigint").alias("lo"), F.ceil(high * F.col("windowed").cast(kind)).cast("bigint").alias("hi"))
-    w = Window.partitionBy(*key).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
-    summed = histogram.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n")).join(bounds, key)
-    first = summed.withColumn("first", F.min(F.when(F.col("upto") >= F.col("lo"), F.col("depth"))).over(Window.partitionBy(*key)))
-    part = (
-        F.when(F.col("depth") == F.col("first"), F.least("upto", "hi") - F.col("lo") + 1)
-        .when((F.col("depth") > F.col("first")) & (F.col("upto") <= F.col("hi")), F.col("n"))
-        .when((F.col("depth") > F.col("first")) & (F.col("before") <= F.col("hi")), F.col("hi") - F.col("before") + 1)
-        .otherwise(0)
-    )
-    return first.groupBy(*key).agg(ratio(F.sum(F.col("depth") * part), F.max(F.col("hi") - F.col("lo")), o.exact).alias("trimmed"))
-
-
-def statistics(facts: DataFrame, counts: DataFrame, key: list[str], reads: str, same: str, o: Options, trimmed: bool = True) -> DataFrame:
-    """All statistics of each entry. ``facts`` has a row per sample and contig (or gene), ``counts`` its depths."""
-    sums = facts.groupBy(*key).agg(
-        F.sum("windowed").cast("bigint").alias("windowed"), F.sum("length").cast("bigint").alias("bases"), F.sum(reads).cast("bigint").alias("reads"),
-        F.sum(same).alias("identity"), F.max("seen").alias("seen"),
-    )
-    d, n = F.col("depth"), F.col("n_window")
-    moments = counts.groupBy(*key).agg(F.sum(d * n).alias("s1"), F.sum(d * d * n).alias("s2"), F.sum(n).alias("covered"), F.sum("n_full").alias("covered_full"), F.min(F.when(n > 0, d)).alias("least"))
-    every = sums.join(moments, key, "left").fillna(0, ["s1", "s2", "covered", "covered_full"])
+    lo, hi = F.floor(low * F.col("windowed").cast(kind)).cast("bigint"), F.ceil(high * F.col("windowed").cast(kind)).cast("bigint")
+    zero = F.struct(F.lit(0).cast("bigint").alias("depth"), (F.col("windowed") - F.col("covered")).cast("bigint").alias("n"))
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(False).alias("begun"), F.lit(0).cast("bigint").alias("total"))
+
+    def step(acc: Column, x: Column) -> Column:
+        before, upto = acc["before"], acc["before"] + x["n"]
+        first = ~acc["begun"] & (upto >= lo)
+        part = F.when(first, F.least(upto, hi) - lo + 1).when(acc["begun"] & (upto <= hi), x["n"]).when(acc["begun"] & (before <= hi), hi - before + 1).otherwise(0)
+        return F.struct(upto.alias("before"), (acc["begun"] | first).alias("begun"), (acc["total"] + x["depth"] * part).cast("bigint").alias("total"))
+
+    total = F.aggregate(F.concat(F.array(zero), F.col("hist")), start, step, lambda acc: acc["total"])
+    return ratio(total, hi - lo, o.exact)
+
+
+def metrics(every: DataFrame, key: list[str], o: Options, trimmed: bool = True) -> DataFrame:
+    """All statistics of each entry, from its summary."""
     x, kind = o.exact, "float" if o.exact else "double"
     B, C, L, Cf = F.col("windowed"), F.col("covered"), F.col("bases"), F.col("covered_full")
     least = F.lit(o.min_covered_fraction).cast(kind)
@@ -142,25 +169,30 @@ def statistics(facts: DataFrame, counts: DataFrame, key: list[str], reads: str,
         variance = F.try_divide((ex2.cast("float") - square).cast("float"), (B - 1).cast("float")).cast("float")
     else:
         variance = F.try_divide(ex2.cast("double") - F.try_divide(ex.cast("double") * ex.cast("double"), B.cast("double")), (B - 1).cast("double"))
-    out = every.select(
-        *key, "seen", "reads", windowed(ratio(F.col("s1"), B, x)).alias("mean"), full(ratio(Cf, L, x)).alias("covered_fraction"), full(Cf.cast(kind)).alias("covered_bases"),
+    shown = [
+        windowed(ratio(F.col("s1"), B, x)).alias("mean"), full(ratio(Cf, L, x)).alias("covered_fraction"), full(Cf.cast(kind)).alias("covered_bases"),
         windowed(F.when(B < 3, zero).otherwise(variance)).alias("variance"), L.cast(kind).alias("length"), F.col("reads").cast(kind).alias("count"), ratio(F.col("reads"), L, x).alias("reads_per_base"),
         ratio(F.col("identity"), F.col("reads"), False).cast(kind).alias("anir"), full(ratio(F.col("reads") * 1_000_000_000, L, x)).alias("rpkm"), full(ratio(F.col("reads"), L, False)).alias("tpm"),
-        B.alias("windowed"), C.alias("covered"), L.alias("bases"),
-    ).withColumn("relative_abundance", F.col("mean"))
-    if not trimmed:
-        return out
-    trim = trimmed_means(entry_histogram(counts, sums, key), sums, key, o)
-    some = F.when((F.col("windowed") == 0) | (F.col("covered") == 0) | (ratio(F.col("covered"), F.col("windowed"), x) < least), zero).otherwise(F.coalesce(F.col("trimmed").cast(kind), zero))
-    return out.join(trim, key, "left").withColumn("trimmed_mean", some).drop("trimmed")
+        B.alias("windowed"), C.alias("covered"), L.alias("bases"), windowed(ratio(F.col("s1"), B, x)).alias("relative_abundance"),
+    ]
+    if trimmed:
+        none = (B == 0) | (C == 0) | (ratio(C, B, x) < least)
+        shown.append(F.when(none, zero).otherwise(F.coalesce(trimmed_mean(o).cast(kind), zero)).alias("trimmed_mean"))
+    return every.select(*key, "seen", "reads", *shown)
+
+
+def _contig_entries(contigs: DataFrame, o: Options) -> DataFrame:
+    return contigs.select("tid", F.col("contig").alias("entry"), F.col("length").alias("bases"), _cut_unseen(o).alias("windowed"))
+
+
+def _genome_entries(own: DataFrame, o: Options, key: list[str]) -> DataFrame:
+    return own.groupBy(*key).agg(F.sum("length").cast("bigint").alias("bases"), F.sum(_cut_unseen(o)).cast("bigint").alias("windowed"))
 
 
 def by_contig(used: DataFrame, contigs: DataFrame, samples: DataFrame, o: Options = Options(), trimmed: bool = True) -> DataFrame:
     """A row per sample and contig, also those without reads: entry_id, entry and all statistics."""
-    facts = contig_facts(used, contigs, samples, o)
-    named = contigs.select(F.col("tid"), F.col("contig").alias("entry"))
-    stats = statistics(facts, depth_counts(used, contigs, o), ["sample_idx", "tid"], *_COUNTED["contig"], o, trimmed)
-    return stats.join(F.broadcast(named), "tid").withColumnRenamed("tid", "entry_id")
+    every = _every(_contig_entries(contigs, o), depth_rows(used, contigs, o), samples, ["sample_idx", "tid"], *_COUNTED["contig"])
+    return metrics(every, ["sample_idx", "tid", "entry"], o, trimmed).withColumnRenamed("tid", "entry_id")
 
 
 def by_genome(used: DataFrame, contigs: DataFrame, samples: DataFrame, o: Options = Options(), mode: str = "map", trimmed: bool = True) -> DataFrame:
@@ -170,10 +202,9 @@ def by_genome(used: DataFrame, contigs: DataFrame, samples: DataFrame, o: Option
     which reads they count.
     """
     own = contigs.where("genome is not null")
-    facts = contig_facts(used, own, samples, o)
-    place = F.broadcast(own.select("tid", "genome", "entry_id"))
-    counts = depth_counts(used, own, o).join(place, "tid")
-    return statistics(facts, counts, ["sample_idx", "entry_id", "genome"], *_COUNTED[mode], o, trimmed).withColumnRenamed("genome", "entry")
+    rows = depth_rows(used, own, o).join(own.select("tid", "entry_id"), "tid")
+    every = _every(_genome_entries(own, o, ["entry_id", "genome"]), rows, samples, ["sample_idx", "entry_id"], *_COUNTED[mode])
+    return metrics(every, ["sample_idx", "entry_id", "genome"], o, trimmed).withColumnRenamed("genome", "entry")
 
 
 def contigs_by_separator(contigs: DataFrame, separator: str = "~") -> DataFrame:
@@ -203,18 +234,21 @@ def absent_contigs(contigs: DataFrame, genomes: DataFrame) -> DataFrame:
 def histogram(used: DataFrame, contigs: DataFrame, samples: DataFrame, o: Options = Options(), key: str = "tid", dense: bool = True) -> DataFrame:
     """(sample_idx, key, depth, n_bases) of entries with reads; ``dense`` fills in depths that do not occur."""
     keys = ["sample_idx", key]
-    facts = contig_facts(used, contigs, samples, o)
-    totals = facts.groupBy(*keys).agg(F.sum("windowed").cast("bigint").alias("windowed"), F.max("seen").alias("seen")).where("seen and windowed > 0")
-    counts = depth_counts(used, contigs, o)
-    if key != "tid":
-        counts = counts.join(F.broadcast(contigs.select("tid", key)), "tid")
-    hist = entry_histogram(counts.join(totals.select(*keys), keys), totals, keys)
-    covered = hist.groupBy(*keys).agg(F.sum(F.when(F.col("depth") > 0, F.col("n")).otherwise(0)).alias("covered"), F.sum("n").alias("all"), F.max("depth").alias("top"))
-    kept = covered.where(ratio(F.col("covered"), F.col("all")) >= o.min_covered_fraction)
-    if not dense:
-        return hist.join(kept.select(*keys), keys).select(*keys, "depth", F.col("n").alias("n_bases"))
-    grid = kept.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("depth"))
-    return grid.join(hist, [*keys, "depth"], "left").select(*keys, "depth", F.coalesce("n", F.lit(0)).alias("n_bases"))
+    rows = depth_rows(used, contigs, o)
+    if key == "tid":
+        entries = _contig_entries(contigs, o).drop("entry")
+    else:
+        rows, entries = rows.join(contigs.select("tid", key), "tid"), _genome_entries(contigs, o, [key])
+    every = _every(entries, rows, samples, keys, *_COUNTED["contig"]).where("seen and windowed > 0")
+    kept = every.where(ratio(F.col("covered"), F.col("windowed")) >= o.min_covered_fraction)
+    zero = F.struct(F.lit(0).cast("bigint").alias("depth"), (F.col("windowed") - F.col("covered")).cast("bigint").alias("n_bases"))
+    if dense:  # each depth that occurs, after those between it and the one before
+        last = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("hist", i - 1)["depth"])
+        filled = F.transform("hist", lambda x, i: F.transform(F.sequence(last(i) + 1, x["depth"]), lambda d: F.struct(d.alias("depth"), F.when(d == x["depth"], x["n"]).otherwise(0).alias("n_bases"))))
+        shown = F.flatten(filled)
+    else:
+        shown = F.transform("hist", lambda x: F.struct(x["depth"].alias("depth"), x["n"].alias("n_bases")))
+    return kept.select(*keys, F.inline(F.concat(F.array(zero), shown)))
 
 
 def no_zeros(stats: DataFrame, methods: list[str]) -> DataFrame:
@@ -231,6 +265,8 @@ def _positive(stats: DataFrame, methods: list[str]) -> Column:
 
 
 def totals(stats: DataFrame, samples: DataFrame, methods: list[str]) -> DataFrame:
-    """(sample_idx, sample, num_reads, num_mapped): mapped reads are those of entries with any metric above 0."""
-    found = stats.where(_positive(stats, methods)).groupBy("sample_idx").agg(F.sum("reads").alias("num_mapped"))
-    return samples.join(found, "sample_idx", "left").fillna(0, ["num_mapped"])
+    """(sample_idx, sample, num_reads, num_mapped, sum_tpm, sum_mean): mapped reads are those of entries with any metric above
+    0; the sums, over all entries, are what shares of a sample refer to. A row for each sample, held as a local table."""
+    mapped_reads = F.sum(F.when(_positive(stats, methods), F.col("reads"))).alias("num_mapped")
+    found = stats.groupBy("sample_idx").agg(mapped_reads, F.sum("tpm").alias("sum_tpm"), F.sum("relative_abundance").alias("sum_mean"))
+    return local(samples.join(found, "sample_idx", "left").fillna(0, ["num_mapped"]))

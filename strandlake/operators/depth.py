@@ -6,14 +6,16 @@ over the +1 and -1 of block ends is a window per bin, and one long or deep conti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cigar import blocks
+from ..functions.cigar import blocks, walked
+from ..schema import SECONDARY, SUPPLEMENTARY, UNMAPPED
 from .filters import has
-from ..schema import UNMAPPED
 
 BIN = 1 << 16
+#: Read counts and sums of identities, in the variants that grains count by.
+COUNTS = ["n_all", "n_no_sup", "n_primary", "same_primary", "same_no_sup"]
 
 
 def mapped(alignments: DataFrame) -> DataFrame:
@@ -25,26 +27,73 @@ def block_rows(alignments: DataFrame) -> DataFrame:
     return mapped(alignments).select("sample_idx", "tid", F.inline(blocks(F.col("cigar"), F.col("pos"))))
 
 
+def _bins(bin_size: int) -> Column:
+    return F.sequence(F.floor(F.col("s") / bin_size), F.floor((F.col("e") - 1) / bin_size))
+
+
+def _ends(bin_size: int) -> Column:
+    start = F.struct(F.greatest("s", F.col("bin") * bin_size).alias("pos"), F.lit(1).alias("d"))
+    return F.array(start, F.struct(F.least("e", (F.col("bin") + 1) * bin_size).alias("pos"), F.lit(-1).alias("d")))
+
+
 def deltas(alignments: DataFrame, contigs: DataFrame, bin_size: int = BIN) -> DataFrame:
     """(sample_idx, tid, length, bin, pos, delta): changes of depth, those at one place added up. What lies beyond the contig
     does not count."""
-    rows = block_rows(alignments).join(F.broadcast(contigs.select("tid", "length")), "tid")
+    rows = block_rows(alignments).join(contigs.select("tid", "length"), "tid")
     inside = rows.select("sample_idx", "tid", "length", "s", F.least("e", "length").alias("e")).where("s < e")
-    cut = inside.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / bin_size), F.floor((F.col("e") - 1) / bin_size))))
-    ends = F.array(F.struct(F.greatest("s", F.col("bin") * bin_size).alias("pos"), F.lit(1).alias("d")), F.struct(F.least("e", (F.col("bin") + 1) * bin_size).alias("pos"), F.lit(-1).alias("d")))
-    return cut.select("sample_idx", "tid", "length", "bin", F.inline(ends)).groupBy("sample_idx", "tid", "length", "bin", "pos").agg(F.sum("d").alias("delta"))
+    cut = inside.withColumn("bin", F.explode(_bins(bin_size)))
+    ends = cut.select("sample_idx", "tid", "length", "bin", F.inline(_ends(bin_size)))
+    return ends.groupBy("sample_idx", "tid", "length", "bin", "pos").agg(F.sum("d").alias("delta"))
+
+
+def counted_runs(alignments: DataFrame, contigs: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """(sample_idx, tid, length, start, end, depth, *COUNTS): runs of equal depth above 0, which count no reads, and for each
+    sample and contig with a record one row of its counts, without a run (start, end and depth are 0). One scan of the
+    alignments serves both."""
+    sup, sec = has(SUPPLEMENTARY), has(SECONDARY)
+    # The walk is in an array of its own, so that it is made once and not again for each use of its parts.
+    walk = F.inline(F.array(walked(F.col("cigar"), F.col("pos"))))
+    marked = mapped(alignments).select("sample_idx", "tid", "nm", (~sup).alias("no_sup"), (~sup & ~sec).alias("primary"), walk)
+    same = F.when(F.col("aligned") > 0, (F.col("aligned") - F.col("nm")) / F.col("aligned")).otherwise(F.lit(0.0))
+    rows = marked.join(contigs.select("tid", "length"), "tid").select("sample_idx", "tid", "length", "no_sup", "primary", same.alias("same"), "out")
+    # Each record is a row without a block, which is counted, and a row for each block.
+    itself = F.array(F.struct(F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("e")))
+    parts = rows.select("sample_idx", "tid", "length", "no_sup", "primary", "same", F.inline(F.concat(itself, "out"))).withColumn("e", F.least("e", "length")).where("s is null or s < e")
+    alone, nowhere = F.col("s").isNull(), F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(0).alias("d")))
+    cut = parts.withColumn("bin", F.explode(F.when(alone, F.array(F.lit(-1).cast("bigint"))).otherwise(_bins(bin_size))))
+    ends = cut.select("sample_idx", "tid", "length", "bin", "no_sup", "primary", "same", F.inline(F.when(alone, nowhere).otherwise(_ends(bin_size))))
+    own = F.col("bin") == -1
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    same_of = lambda c: F.sum(F.when(c, F.col("same")).otherwise(0.0))
+    summed = ends.groupBy("sample_idx", "tid", "length", "bin", "pos").agg(
+        F.sum("d").alias("delta"), one(own).alias("n_all"), one(own & F.col("no_sup")).alias("n_no_sup"), one(own & F.col("primary")).alias("n_primary"),
+        same_of(own & F.col("primary")).alias("same_primary"), same_of(own & F.col("no_sup")).alias("same_no_sup"),
+    ).where("delta <> 0 or bin = -1")
+    w = Window.partitionBy("sample_idx", "tid", "length", "bin").orderBy("pos")
+    depth = F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = summed.select("sample_idx", "tid", "length", F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(w), F.col("pos")).alias("end"), depth.alias("depth"), "bin", *COUNTS)
+    return runs.where("depth > 0 or bin = -1").drop("bin")
 
 
 def segments(alignments: DataFrame, contigs: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """(sample_idx, tid, length, start, end, depth): runs of equal depth above 0, cut at bin borders."""
+    """(sample_idx, tid, length, start, end, depth): runs of equal depth above 0, cut at bin borders only."""
+    return runs_of(deltas(alignments, contigs, bin_size))
+
+
+def runs_of(changes: DataFrame) -> DataFrame:
+    """The runs of depth from summed changes (sample_idx, tid, length, bin, pos, delta)."""
     w = Window.partitionBy("sample_idx", "tid", "length", "bin").orderBy("pos")
-    runs = deltas(alignments, contigs, bin_size).select("sample_idx", "tid", "length", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    depth = F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = changes.where("delta <> 0").select("sample_idx", "tid", "length", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), depth.alias("depth"))
     return runs.where("depth > 0")
 
 
-def merged_segments(segs: DataFrame) -> DataFrame:
-    """Runs without cuts at bin borders or between equal neighbours."""
+def merged_segments(segs: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """Runs without cuts at bin borders. Only runs that touch a border, at most two a bin, are looked at in order."""
+    touches = (F.col("start") % bin_size == 0) | (F.col("end") % bin_size == 0)
     w = Window.partitionBy("sample_idx", "tid").orderBy("start")
     fresh = ~((F.lag("end").over(w) == F.col("start")) & (F.lag("depth").over(w) == F.col("depth")))
-    marked = segs.withColumn("run", F.sum(F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("sample_idx", "tid", "length", "run", "depth").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("sample_idx", "tid", "length", "start", "end", "depth")
+    marked = segs.where(touches).withColumn("run", F.sum(F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = marked.groupBy("sample_idx", "tid", "length", "run", "depth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    shown = ["sample_idx", "tid", "length", "start", "end", "depth"]
+    return segs.where(~touches).select(*shown).unionByName(whole.select(*shown))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cigar import identity
 from ..schema import SECONDARY, SUPPLEMENTARY
-from .coverage import Options, statistics
+from .coverage import Options, grid_of, metrics, summary
 from .depth import BIN, mapped, segments
 from .filters import has
 
@@ -17,7 +17,7 @@ def placed_genes(genes: DataFrame, contigs: DataFrame) -> DataFrame:
     Genes are numbered by contig, start and line. With a ``genome`` column in ``contigs``, those without one are dropped."""
     known = contigs.where("genome is not null") if "genome" in contigs.columns else contigs
     more = ["genome"] if "genome" in contigs.columns else []
-    rows = genes.join(F.broadcast(known.select("tid", "contig", F.col("length").alias("contig_length"), *more)), "contig")
+    rows = genes.join(known.select("tid", "contig", F.col("length").alias("contig_length"), *more), "contig")
     clamped = rows.withColumn("end", F.least("end", "contig_length")).where("start < end")
     order = F.struct(F.col("tid").cast("bigint"), "start", "line_no")
     return clamped.select("tid", order.alias("entry_id"), F.col("gene_id").alias("entry"), "start", "end", (F.col("end") - F.col("start")).alias("length"), *more)
@@ -32,15 +32,19 @@ def by_gene(used: DataFrame, genes: DataFrame, contigs: DataFrame, samples: Data
     place is in, and only primary reads do. Ends of genes are excluded like those of contigs."""
     at = genes.select("entry_id", "entry", "tid", "start", "end", "length", _bins("start", "end", BIN).alias("bin"))
     reads = mapped(used).where(~has(SECONDARY) & ~has(SUPPLEMENTARY)).select("sample_idx", "tid", "pos", identity(F.col("cigar"), F.col("nm")).alias("same"), F.floor(F.col("pos") / BIN).alias("bin"))
-    inside = reads.join(at, ["tid", "bin"]).where("pos >= start and pos < end").groupBy("sample_idx", "entry_id").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
+    inside = reads.join(at, ["tid", "bin"]).where("pos >= start and pos < end").groupBy("sample_idx", "entry_id").agg(F.count("*").alias("reads"), F.sum("same").alias("identity"))
     segs = segments(used, contigs).select("sample_idx", "tid", "depth", F.col("start").alias("s"), F.col("end").alias("e"), F.floor(F.col("start") / BIN).alias("bin"))
     e = o.end_exclusion
     both = segs.join(at, ["tid", "bin"]).where("s < end and start < e")  # runs lie within a bin, so a pair meets once
     full = F.least("e", "end") - F.greatest("s", "start")
     window = F.greatest(F.lit(0), F.least(F.col("e"), F.col("end") - e) - F.greatest(F.col("s"), F.col("start") + e))
-    counts = both.groupBy("sample_idx", "entry_id", "entry", "depth").agg(F.sum(full).alias("n_full"), F.sum(window).alias("n_window"))
-    grid = genes.crossJoin(F.broadcast(samples.select("sample_idx"))).join(inside, ["sample_idx", "entry_id"], "left")
-    touched = counts.select("sample_idx", "entry_id").distinct().withColumn("hit", F.lit(True))
-    cut = F.greatest(F.col("length") - 2 * e, F.lit(0))
-    facts = grid.join(touched, ["sample_idx", "entry_id"], "left").select("sample_idx", "entry_id", "entry", "length", cut.alias("windowed"), F.coalesce("n", F.lit(0)).alias("n_primary"), F.coalesce("same", F.lit(0.0)).alias("same_primary"), (F.col("n").isNotNull() | F.col("hit").isNotNull()).alias("seen"))
-    return statistics(facts, counts, ["sample_idx", "entry_id", "entry"], "n_primary", "same_primary", o, trimmed)
+    rows = both.select("sample_idx", "entry_id", "depth", full.alias("n_full"), window.alias("n_window"))
+    grid = grid_of(genes.select("entry_id", "entry", "length"), samples)
+    key = ["sample_idx", "entry_id"]
+    joined = grid.join(inside, key, "left").join(summary(rows, key, []), key, "left")
+    zero = F.lit(0).cast("bigint")
+    every = joined.select(
+        *key, "entry", F.greatest(F.col("length") - 2 * e, zero).alias("windowed"), F.col("length").alias("bases"), F.coalesce("reads", zero).alias("reads"), F.coalesce("identity", F.lit(0.0)).alias("identity"),
+        (F.col("reads").isNotNull() | F.col("covered_full").isNotNull()).alias("seen"), *(F.coalesce(c, zero).alias(c) for c in ("s1", "s2", "covered", "covered_full")), "least", F.coalesce("hist", F.array().cast("array<struct<depth:bigint,n:bigint>>")).alias("hist"),
+    )
+    return metrics(every, [*key, "entry"], o, trimmed)

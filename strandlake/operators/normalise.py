@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 
 
 def normalised(stats: DataFrame, totals: DataFrame, exact: bool = False, divide_first: bool = False) -> DataFrame:
-    """``stats`` with rpkm, tpm and relative_abundance made final. ``totals`` has num_reads and num_mapped of each sample.
+    """``stats`` with rpkm, tpm and relative_abundance made final. ``totals`` has the reads and sums of each sample.
 
     ``divide_first`` is the order of operations of the dense table, otherwise that of the sparse one; in 32 bits they may
     differ in the last digit. A sample whose coverages are all 0 has NaN abundances.
     """
     kind = "float" if exact else "double"
-    one = Window.partitionBy("sample_idx")
-    rows = stats.join(F.broadcast(totals.select("sample_idx", "num_reads", "num_mapped")), "sample_idx").withColumn("_tpm", F.sum("tpm").over(one)).withColumn("_mean", F.sum("relative_abundance").over(one).cast(kind))
+    rows = stats.join(totals.select("sample_idx", "num_reads", "num_mapped", F.col("sum_tpm").alias("_tpm"), F.col("sum_mean").cast(kind).alias("_mean")), "sample_idx")
     share = ratio(F.col("num_mapped"), F.col("num_reads"), exact)
     a, nan = F.col("relative_abundance").cast(kind), F.lit(float("nan")).cast(kind)
     hundred = F.lit(100.0).cast(kind)

@@ -17,7 +17,7 @@ def long(stats: DataFrame, methods: list[str]) -> DataFrame:
 
 def sparse(stats: DataFrame, totals: DataFrame, methods: list[str], entry: str = "Contig", as_text: bool = False) -> DataFrame:
     """Sample, entry and a column per method, ordered by sample and entry."""
-    rows = stats.join(F.broadcast(totals.select("sample_idx", "sample")), "sample_idx").orderBy("sample_idx", "entry_id")
+    rows = stats.join(totals.select("sample_idx", "sample"), "sample_idx").orderBy("sample_idx", "entry_id")
     shown = plain_text if as_text else (lambda c: c)
     return rows.select(F.col("sample").alias("Sample"), F.rtrim("entry", F.lit("\r")).alias(entry), *(shown(F.col(m)).alias(METHODS[m]) for m in methods))
 

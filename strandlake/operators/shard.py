@@ -33,7 +33,7 @@ def best_shard(alignments: DataFrame, contigs: DataFrame, excluded: DataFrame |
     rows = primary
     if excluded is not None:
         bad = excluded.select(F.col("shard").alias("x_shard"), F.col("tid").alias("x_tid"))
-        rows = rows.join(F.broadcast(bad), (F.col("shard") == F.col("x_shard")) & (F.col("tid") == F.col("x_tid")), "left").withColumn("_bad", has(FIRST) & F.col("x_tid").isNotNull()).drop("x_shard", "x_tid")
+        rows = rows.join(bad, (F.col("shard") == F.col("x_shard")) & (F.col("tid") == F.col("x_tid")), "left").withColumn("_bad", has(FIRST) & F.col("x_tid").isNotNull()).drop("x_shard", "x_tid")
     else:
         rows = rows.withColumn("_bad", F.lit(False))
     points = F.when(has(UNMAPPED), F.lit(0)).otherwise(F.coalesce("align_score", F.lit(0)))
@@ -43,4 +43,4 @@ def best_shard(alignments: DataFrame, contigs: DataFrame, excluded: DataFrame |
     chosen = scored.groupBy(*pair).agg(best)
     placed = rows.join(chosen, [*pair, "shard"], "left_semi").drop("_bad")
     to = merged.select("shard", F.col("old_tid").alias("tid"), F.col("tid").alias("new_tid"))
-    return placed.join(F.broadcast(to), ["shard", "tid"], "left").withColumn("tid", F.col("new_tid")).drop("new_tid").select(*alignments.columns)
+    return placed.join(to, ["shard", "tid"], "left").withColumn("tid", F.col("new_tid")).drop("new_tid").select(*alignments.columns)

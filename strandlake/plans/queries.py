@@ -27,7 +27,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def _shown(stats: DataFrame, samples: DataFrame, methods: list[str]) -> DataFrame:
-    named = stats.join(F.broadcast(samples.select("sample_idx", "sample")), "sample_idx")
+    named = stats.join(samples.select("sample_idx", "sample"), "sample_idx")
     return named.select("sample", "entry", *(F.round(F.col(m).cast("double"), PLACES.get(m, 9)).alias(m) for m in methods))
 
 
@@ -81,7 +81,7 @@ def sample_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contig_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     alns, contigs, samples = _inputs(spark, sf_dir)
     hist = cov.histogram(usable(alns, Thresholds(), DEFAULT), contigs, samples)
-    return hist.join(F.broadcast(samples), "sample_idx").join(F.broadcast(contigs), "tid").select("sample", F.col("contig").alias("entry"), "depth", "n_bases")
+    return hist.join(samples, "sample_idx").join(contigs, "tid").select("sample", F.col("contig").alias("entry"), "depth", "n_bases")
 
 
 def contig_metabat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +100,8 @@ def dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def depth_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     alns, contigs, samples = _inputs(spark, sf_dir)
-    segs = depth.merged_segments(depth.segments(usable(alns, Thresholds(), DEFAULT), contigs, bin_size=256))
-    return segs.join(F.broadcast(samples), "sample_idx").select("sample", "tid", "start", "end", "depth")
+    segs = depth.merged_segments(depth.segments(usable(alns, Thresholds(), DEFAULT), contigs, bin_size=256), bin_size=256)
+    return segs.join(samples, "sample_idx").select("sample", "tid", "start", "end", "depth")
 
 
 def cigar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def _shards(excluded: str | None) -> Query:
         first = alns.withColumn("flag", F.col("flag").bitwiseOR(F.lit(64)))
         best = shard.best_shard(_sharded(first), halves, out)
         names = shard.merged_contigs(halves).select("tid", "contig")
-        return best.where(~has(UNMAPPED)).join(F.broadcast(names), "tid").groupBy("sample", "contig").agg(F.count("*").alias("n"), F.sum("align_score").alias("score"))
+        return best.where(~has(UNMAPPED)).join(names, "tid").groupBy("sample", "contig").agg(F.count("*").alias("n"), F.sum("align_score").alias("score"))
 
     return run
 

@@ -32,7 +32,7 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), (500 + F.col("p_size") * 20).cast("bigint").alias("len"))
-    rows = line.join(F.broadcast(sizes), "l_partkey").select(
+    rows = line.join(sizes, "l_partkey").select(
         "*", F.col("l_quantity").cast("bigint").alias("n1"), (F.col("l_quantity").cast("bigint") + 10).alias("n2"), (F.round(F.col("l_discount") * 100).cast("bigint") % 3).alias("nd"), F.round(F.col("l_tax") * 100).cast("bigint").alias("mm")
     )
     n1, n2, nd, sup = F.col("n1"), F.col("n2"), F.col("nd"), F.col("l_suppkey")

@@ -6,11 +6,11 @@ is their running total; statistics are computed from it at any time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.coverage import contig_counts
-from ..operators.depth import BIN, deltas
+from ..operators.depth import BIN, deltas, runs_of
 from ..operators.filters import Flags, flag_filter
 
 
@@ -35,9 +35,7 @@ class CoverageState:
         spark = self.contigs.sparkSession
         key = ["sample_idx", "tid", "length", "bin"]
         summed = spark.read.parquet(f"{self.path}/deltas").groupBy(*key, "pos").agg(F.sum("delta").alias("delta"))
-        w = Window.partitionBy(*key).orderBy("pos")
-        runs = summed.select("sample_idx", "tid", "length", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-        return runs.where("depth > 0")
+        return runs_of(summed)
 
     def counts(self) -> DataFrame:
         """As ``coverage.contig_counts`` of all alignments so far."""
