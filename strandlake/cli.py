@@ -127,7 +127,9 @@ def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if "relative_abundance" in a.methods:  # its row of unmapped reads comes first; other metrics do not apply there
         left = normalise.unmapped(totals, exact=True)
         final = final.unionByName(left.drop("sample").selectExpr("*", "cast(null as bigint) as entry_id" if not a.gff else "null as entry_id"), allowMissingColumns=True)
-    return (present.dense(final, order, a.methods, entry, as_text=True) if a.output_format == "dense" else present.sparse(final, totals, a.methods, entry, as_text=True)).fillna("NA")
+    if a.output_format == "dense":
+        return present.dense(final, order, a.methods, entry, as_text=True)
+    return present.sparse(final, totals, a.methods, entry, as_text=True)
 
 
 def write_rows(df: DataFrame, path: str) -> None:

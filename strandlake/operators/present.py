@@ -24,12 +24,11 @@ def sparse(stats: DataFrame, totals: DataFrame, methods: list[str], entry: str =
 
 def dense(stats: DataFrame, samples: list[tuple[int, str]], methods: list[str], entry: str = "Contig", as_text: bool = False) -> DataFrame:
     """A row per entry and a column per sample and method; what a sample lacks is 0. ``samples``: (index, name) in order."""
-    values = [F.max(F.when(F.col("sample_idx") == i, F.col(m))).alias(f"{name} {METHODS[m]}") for i, name in samples for m in methods]
-    wide = stats.groupBy("entry_id", "entry").agg(*values).orderBy("entry_id")
-    names = [f"{name} {METHODS[m]}" for _, name in samples for m in methods]
+    shown = [(f"v{k}", f"{name} {METHODS[m]}", i, m) for k, ((i, name), m) in enumerate((s, m) for s in samples for m in methods)]  # headings may be equal
+    wide = stats.groupBy("entry_id", "entry").agg(*(F.max(F.when(F.col("sample_idx") == i, F.col(m))).alias(v) for v, _, i, m in shown)).orderBy("entry_id")
     blank = F.when(F.col("entry") == "unmapped", F.lit("NA")).otherwise(F.lit("0"))
-    kept = [F.coalesce(plain_text(F.col(f"`{n}`")), blank) if as_text else F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names]
-    return wide.select(F.rtrim("entry", F.lit("\r")).alias(entry), *(c.alias(n) for c, n in zip(kept, names)))
+    kept = [F.coalesce(plain_text(F.col(v)), blank) if as_text else F.coalesce(F.col(v), F.lit(0.0)) for v, *_ in shown]
+    return wide.select(F.rtrim("entry", F.lit("\r")).alias(entry), *(c.alias(heading) for c, (_, heading, *_) in zip(kept, shown)))
 
 
 def metabat(stats: DataFrame, samples: list[tuple[int, str]]) -> DataFrame:

@@ -179,3 +179,6 @@ SQL: dict[str, str] = {
     "definition_join": "SELECT CASE WHEN p_partkey % 10 <> 9 THEN p_brand END AS genome, count(*) AS n, sum(500 + p_size * 20)::bigint AS bases FROM part GROUP BY 1",
     "unassigned_contigs": "SELECT concat(p_brand, '~', cast(p_partkey AS varchar)) AS contig, cast(500 + p_size * 20 AS bigint) AS length FROM part WHERE p_partkey % 10 = 9",
 }
+
+# The same results by way of files.
+SQL |= {"source_sam_contig_mean": SQL["contig_mean"], "source_gff_gene_mean": SQL["gene_mean"], "source_definition_join": SQL["definition_join"]}

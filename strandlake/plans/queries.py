@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar
@@ -13,6 +13,8 @@ from ..operators import depth, genes, normalise, present, shard
 from ..operators.coverage import Options
 from ..operators.filters import METABAT, Flags, Thresholds, has, pair_filter, single_filter, threshold_filter, usable
 from ..schema import UNMAPPED
+from ..scratch import new_folder
+from ..sources import text
 from . import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +161,53 @@ def unassigned_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.unassigned_contigs(testbed.contigs(spark, sf_dir), testbed.genomes(spark, sf_dir)).select("contig", "length")
 
 
+def _as_text(df: DataFrame, columns: list[Column | str], path: str, mode: str = "error") -> str:
+    """Write rows as tab-separated lines."""
+    cols = [F.lit(c) if isinstance(c, str) else c.cast("string") for c in columns]
+    df.select(F.concat_ws("\t", *cols).alias("value")).write.mode(mode).text(path)
+    return path
+
+
+def _sam_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The test-bed alignments as SAM text, a folder per sample."""
+    root = new_folder(spark, "sam")
+    names = testbed.contigs(spark, sf_dir)
+    header = names.orderBy("tid").coalesce(1)
+    alns = testbed.alignments(spark, sf_dir).join(names.select("tid", "contig"), "tid")
+    c = F.col
+    fields = [c("qname"), c("flag"), c("contig"), c("pos") + 1, c("mapq"), c("cigar"), "=", c("mpos") + 1, c("tlen"), "*", "*", F.concat(F.lit("NM:i:"), c("nm")), F.concat(F.lit("AS:i:"), c("align_score"))]
+    out = []
+    for sample in ("A", "N", "R"):
+        path = _as_text(header, ["@SQ", F.concat(F.lit("SN:"), "contig"), F.concat(F.lit("LN:"), "length")], f"{root}/{sample}.sam")
+        out.append(_as_text(alns.where(F.col("sample") == sample), fields, path, "append"))
+    return out
+
+
+def source_sam_contig_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``contig_mean`` by way of SAM files."""
+    paths = _sam_files(spark, sf_dir)
+    alns, contigs = text.sam(spark, paths), text.sam_contigs(spark, paths[0])
+    samples = cov.samples_of(alns)
+    return _shown(cov.by_contig(usable(alns, Thresholds(), DEFAULT), contigs, samples, trimmed=False), samples, ["mean"])
+
+
+def source_gff_gene_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``gene_mean`` by way of a GFF file."""
+    c = F.col
+    fields = [c("contig"), "testbed", c("feature"), c("start") + 1, c("end"), ".", "+", "0", F.concat(F.lit("ID="), "gene_id")]
+    path = _as_text(testbed.genes(spark, sf_dir), fields, new_folder(spark, "gff"))
+    alns, contigs, samples = _inputs(spark, sf_dir)
+    stats = genes.by_gene(usable(alns, Thresholds(), DEFAULT), genes.placed_genes(text.gff(spark, path), contigs), contigs, samples, trimmed=False)
+    return _shown(stats, samples, ["mean", "covered_fraction", "covered_bases"])
+
+
+def source_definition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``definition_join`` by way of a definition file."""
+    path = _as_text(testbed.genomes(spark, sf_dir), [F.col("genome"), F.col("contig")], new_folder(spark, "definition"))
+    placed = cov.contigs_by_map(testbed.contigs(spark, sf_dir), text.definition(spark, path))
+    return placed.groupBy("genome").agg(F.count("*").alias("n"), F.sum("length").alias("bases"))
+
+
 _ALL = ["mean", "trimmed_mean", "covered_fraction", "covered_bases", "variance", "length", "count", "reads_per_base", "anir"]
 
 QUERIES: dict[str, Query] = {
@@ -211,4 +260,7 @@ QUERIES: dict[str, Query] = {
     "cigar_blocks": cigar_blocks,
     "definition_join": definition_join,
     "unassigned_contigs": unassigned_contigs,
+    "source_sam_contig_mean": source_sam_contig_mean,
+    "source_gff_gene_mean": source_gff_gene_mean,
+    "source_definition_join": source_definition_join,
 }

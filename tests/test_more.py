@@ -82,6 +82,10 @@ def test_command_line(spark, tmp_path):
     head, line = (x.split("\t") for x in out.read_text().splitlines())
     d = [x for n in lengths for x in fx.inner(n, used)]
     assert head == ["Genome", "one Mean", "one Covered Fraction"] and line[0] == "genome1" and abs(float(line[1]) - sum(d) / len(d)) < 1e-6
+    cli.main(["contig", "-b", path, "-m", "mean", "mean", "-o", str(out)], spark)  # equal methods
+    assert out.read_text().splitlines()[0] == "Contig\tone Mean\tone Mean" and all(x.split("\t")[1] == x.split("\t")[2] for x in out.read_text().splitlines())
+    with pytest.raises(ValueError):
+        cli.main(["contig", "-b", path, "-m", "strobealign-aemb"], spark)
     cli.main(["genome", "-s", "~", "-b", path, "--min-covered-fraction", "0", "-o", str(out)], spark)
     lines = dict(x.split("\t") for x in out.read_text().splitlines())
     # Nine primary records, of which two are unmapped; a record of a supplementary kind is not among them.
