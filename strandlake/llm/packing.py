@@ -39,8 +39,9 @@ SLICE_BYTES = 4 << 20
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these scripts, Unicode tables of different libraries may differ; such texts go to the reference tokenizer.
 _RARE = re.compile("[^\x00-ԯ‐-⁞€]")
-#: Running counts of at most so many (task, length) pairs, of 24 bytes each, are sent to all tasks; of more, they meet the pieces in a shuffle.
-MOST_SENT = 500_000
+#: Running counts of at most so many (task, length) pairs, of some 180 bytes each when hashed, are sent to all tasks; of more,
+#: they meet the pieces in a shuffle.
+MOST_SENT = 100_000
 #: A split pattern that tries a white-space run from its end needs stack for each character of the run.
 _LONG_SPACE, _LONG_RUN = re.compile(r"(?<!\s)\s{10000}"), 10_000
 
