@@ -103,24 +103,28 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op6_sql() -> str:
-    from .licenses import PHRASES, TEMPLATES, THRESHOLD
+    from .licenses import PHRASES, TEMPLATES, THRESHOLD, required, span
 
     folded = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     split = f"regexp_extract_all({folded}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({k}, '{label}', {span(text)}, '{text}')" for k, (label, text) in enumerate(TEMPLATES))
+    musts = ", ".join(f"({k}, '{w}')" for k, ws in enumerate(required(TEMPLATES)) for w in sorted(ws))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {split.format('text')} AS w FROM documents),
 p(phrase, k, label) AS (VALUES {phrases}),
 places AS (SELECT r, label, i - 1 AS pos FROM (SELECT r, w, phrase, k, label, unnest(range(1, len(w) - k + 2)) AS i FROM d, p WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')) WHERE array_to_string(w[i : i + k - 1], ' ') = phrase),
 base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
-t0(k, label, text) AS (VALUES {templates}),
-t AS (SELECT DISTINCT k, label, unnest({split.format('text')}) AS word FROM t0),
-n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
-blocks AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-bw AS (SELECT DISTINCT r, b, word FROM (SELECT r, row_number() OVER () AS b, unnest({split.format('line')}) AS word FROM blocks)),
-met AS (SELECT r, b, k, label, count(*) AS c FROM bw JOIN t USING (word) GROUP BY ALL),
-ok AS (SELECT r, label, c / n AS containment FROM met JOIN n USING (k) WHERE c >= ceil({THRESHOLD} * n)),
+t0(k, label, width, text) AS (VALUES {templates}),
+musts(k, word) AS (VALUES {musts}),
+t1 AS (SELECT DISTINCT k, label, width, unnest({split.format('text')}) AS word FROM t0),
+t AS (SELECT k, label, width, word, m.word IS NOT NULL AS must, count(*) OVER (PARTITION BY k) AS n, count(m.word) OVER (PARTITION BY k) AS n_must FROM t1 LEFT JOIN musts m USING (k, word)),
+dw AS (SELECT r, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+hits AS (SELECT r, k, label, n, n_must, width, pos, word, must FROM dw JOIN t USING (word)),
+likely AS (SELECT r, k FROM hits GROUP BY r, k HAVING count(DISTINCT word) >= ceil({THRESHOLD} * any_value(n))),
+block AS (SELECT r, label, n, n_must, count(DISTINCT word) OVER run AS c, count(DISTINCT CASE WHEN must THEN word END) OVER run AS c_must FROM hits JOIN likely USING (r, k)
+          WINDOW run AS (PARTITION BY r, k ORDER BY pos RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING)),
+ok AS (SELECT r, label, c / n AS containment FROM block WHERE c >= ceil({THRESHOLD} * n) AND c_must = n_must),
 labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM ok UNION SELECT r, label FROM places) GROUP BY r),
 best AS (SELECT r, max(containment) AS score FROM ok GROUP BY r)
 SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_base, 0) AS bigint) AS n_base, cast(first_word AS bigint) AS first_word, cast(last_word AS bigint) AS last_word,

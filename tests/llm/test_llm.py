@@ -201,22 +201,36 @@ def test_licenses(spark, docs):
     rows = [(0, "Some words.\nReleased under the MIT License."), (1, "licensed UNDER the gnu general public license v 3 indeed"), (2, "cc-by-nc cc by nc"), (3, None), (4, ""), (None, "Apache License, Version 2")]
     pool = " ".join(t for _, t in licenses.TEMPLATES).split()
     rows += [(10 + i, "\n".join(" ".join(rng.sample(pool, min(len(pool), rng.randrange(1, 60)))) for _ in range(3))) for i in range(60)]
+    for i in range(60, 160):  # templates with words lost, swapped or added, wrapped at any place, amid other words
+        kept = [rng.choice(pool) if rng.random() < 0.1 else w for w in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.95]
+        rows.append((10 + i, prose(rng, rng.randrange(150)) + " # " + "".join(w + rng.choice([" ", " ", "\n// "]) for w in kept) + prose(rng, rng.randrange(150))))
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.scan(table).collect()}
     assert got[0]["labels"] == ["mit"] and got[0]["places"] == [3] and got[0]["score"] == 1.0
     assert got[2]["places"] == [0, 3] and got[3]["n_words"] == 0 and got[4]["score"] == 0.0 and got[None]["base_labels"] == ["apache-2"]
+    assert got[1]["labels"] == ["gpl-3"] or got[1]["score"] == 0.0
+    musts = licenses.required(licenses.TEMPLATES)
     for i, text in rows:
-        best, labels = 0.0, set(got[i]["base_labels"])
-        for line in (text or "").split("\n"):
-            words = {*licenses._words(line)}
-            for label, template in licenses.TEMPLATES:
-                t = {*licenses._words(template)}
-                if len(words & t) >= math.ceil(licenses.THRESHOLD * len(t)):
-                    best, labels = max(best, len(words & t) / len(t)), labels | {label}
+        best, labels, found = 0.0, set(got[i]["base_labels"]), licenses._words(text or "")
+        for (label, template), must in zip(licenses.TEMPLATES, musts):
+            t, n = {*licenses._words(template)}, licenses.span(template)
+            for k in range(len(found)):
+                block = {*found[k : k + n]} & t
+                if len(block) >= math.ceil(licenses.THRESHOLD * len(t)) and must <= block:
+                    best, labels = max(best, len(block) / len(t)), labels | {label}
         assert (got[i]["score"], got[i]["labels"]) == (best, sorted(labels))
+    assert any(got[10 + i]["score"] > 0 for i in range(60, 160))
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty(docs)).count() == 0
 
 
+def test_licenses_wrapped_and_siblings(spark):
+    mit, nc, sa, gpl = (next(t for name, t in licenses.TEMPLATES if name == x and len(t) > 60) for x in ("mit", "cc-by-nc", "cc-by-sa", "gpl-3"))
+    wrapped = "".join(w + ("\n * " if i % 9 == 8 else " ") for i, w in enumerate(mit.split()))
+    rows = [(0, wrapped, ["mit"]), (1, nc, ["cc-by-nc"]), (2, sa, ["cc-by-sa"]), (3, gpl, ["gpl-3"]), (4, "Released under the GPL license", []), (5, "word " * 200_000 + wrapped, ["mit"])]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: labels for i, _, labels in rows}
+
+
 def test_decontamination(spark, docs, monkeypatch):
     items = [(1, prose(random.Random(11), 14)), (2, "short item here"), (3, None), (4, ""), (2, "short item here"), (5, prose(random.Random(11), 14) + " and more")]
     inner = items[0][1]
