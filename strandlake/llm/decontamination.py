@@ -7,7 +7,8 @@ binary-searched in each shard. Hits that continue each other on both sides join
 their places.
 
 Items are held by every task, in blocks: Spark sums their sizes first, and each block has about ``BLOCK_BYTES`` of text
-at most (or one item); further blocks are further passes, so no item is left out. Documents are never shuffled.
+at most (or one item); further blocks are further passes, so no item is left out. Between passes the documents are
+written and the block is let go, so one block is held at a time. Documents are never shuffled.
 
 Defined cases: a null or empty text has no words and no hits; an item without words is found nowhere; one with fewer words
 than the window is one window as a whole; equal item ids count once, a null id is the text "null"; repeated rows are
@@ -20,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, texts, words_of
+from .common import in_slices, stored, texts, words_of
 
 BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 12 << 20
@@ -114,24 +116,29 @@ _MATCH = "array<struct<item_id:string,doc_start:int,item_start:int,n_words:int>>
 _MATCH_TYPE = pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("n_words", pa.int32())]))
 
 
-def blocks(items: DataFrame, window: int, id_col: str, text_col: str) -> list[TestIndex]:
-    """The items in blocks of bounded size."""
+def blocks(items: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[tuple[Broadcast, bool]]:
+    """The items in blocks of bounded size, each sent to the tasks, and whether it is the last one.
+
+    A block is let go when the next one is asked for: its pass must be over then.
+    """
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
-    parts = (rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n))
-    return [TestIndex(sorted((r["id"], r["text"]) for r in part.collect()), window) for part in parts]
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    for k in range(n):
+        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+        shared = items.sparkSession.sparkContext.broadcast(TestIndex(sorted((r["id"], r["text"]) for r in part.collect()), window))
+        yield shared, k == n - 1
+        if k < n - 1:
+            shared.unpersist()
 
 
 def search(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Each document with ``n_words``, ``n_hit`` (words inside any match) and ``matches``."""
-    sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast(_MATCH).alias("matches"))
-    shared = [sc.broadcast(b) for b in blocks(items, window, item_id, item_text)] or [sc.broadcast(TestIndex([], window))]
-    for k, part in enumerate(shared):
-        found = found.mapInArrow(_pass(part, last=k == len(shared) - 1), f"id {kind}, text string, matches {_MATCH}, n_words long, n_hit long")
-        if k < len(shared) - 1:
-            found = found.select("id", "text", "matches")
+    for part, last in blocks(items, window, item_id, item_text):
+        found = found.mapInArrow(_pass(part, last), f"id {kind}, text string, matches {_MATCH}, n_words long, n_hit long")
+        if not last:
+            found = stored(found.select("id", "text", "matches"), "matches")
     return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "matches")
 
 
@@ -159,6 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
 
         return run
 
-    for part in blocks(items, window, item_id, item_text):
-        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(part)), docs.schema)
+    for part, last in blocks(items, window, item_id, item_text):
+        docs = docs.mapInArrow(clean(part), docs.schema)
+        docs = docs if last else stored(docs, "clean")
     return docs
