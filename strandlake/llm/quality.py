@@ -3,7 +3,8 @@
 Two multinomials over hashed byte n-grams are counted, one over the trusted documents and one over the raw corpus (all
 documents). A document's score is the sum of log(p_trusted / p_raw) over its n-grams, divided by their number. The
 weights are integers (millionths), so the sum and its comparison with the threshold are exact and the same in any
-order. What is gathered and broadcast are two arrays of ``BUCKETS`` counts, whatever the size of the corpus.
+order. What is gathered are two arrays of ``BUCKETS`` counts, whatever the size of the corpus. Trusted documents are told by a
+join on 64-bit hashes of their ids; up to ``HELD_IDS`` of them are broadcast, beyond that Spark shuffles the texts once.
 
 Defined cases: a null or empty text has no words and no n-grams, score 0, and fails the base rules; repeated rows are
 each judged; a label without a document or without an id counts nothing; with no trusted document at all every weight is 0,
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_slices, texts
@@ -27,6 +28,8 @@ ORDER, BUCKETS, SCALE = 3, 1 << 16, 1_000_000
 THRESHOLD = -0.5
 SYMBOLS, SPACE = b"#*$%&|<>", b"\x20\x09\x0a\x0b\x0c\x0d"
 SLICE_BYTES = 8 << 20
+#: So many ids of trusted documents (some 30 bytes each as a hash table) may be held by every task.
+HELD_IDS = 2_000_000
 
 
 def ngram_buckets(data: bytes, order: int = ORDER) -> np.ndarray:
@@ -99,17 +102,30 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def marked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, trusted) of every document; trusted are those that ``labels`` (doc_id, quality) gives quality 1.
+
+    Ids of any type are matched by the hash of their text.
+    """
+
+    def key(column: str) -> Column:
+        return F.xxhash64(F.col(column).cast("string"))
+
+    trusted = labels.where("quality = 1 and doc_id is not null").select(key("doc_id").alias("trusted_key")).distinct()
+    if trusted.count() <= HELD_IDS:
+        trusted = F.broadcast(trusted)
+    rows = docs.select(key(id_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("nameless"))
+    named = rows.where("not nameless").join(trusted, F.col("key") == F.col("trusted_key"), "left").select("text", F.col("trusted_key").isNotNull().alias("trusted"))
+    return named.unionByName(rows.where("nameless").select("text", F.lit(False).alias("trusted")))
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its base counts, ``base_failed``, ``score`` (nats an n-gram) and ``kept``.
 
-    ``labels`` (doc_id, quality) names the trusted documents: those with quality 1. The trusted multinomial is fitted on
-    the ``fit_rows`` of them that come first by a hash of their id, so their ids (8 bytes each) can be held by every
-    task and no text is shuffled; the raw multinomial counts every document.
+    ``labels`` (doc_id, quality) names the trusted documents: those with quality 1. The trusted multinomial counts all of
+    them, the raw multinomial every document.
     """
-    named = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
-    trusted = named.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(fit_rows).select(F.col("trusted_id").cast("string"))
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(trusted), F.col("id").cast("string") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
-    counts = ngram_counts(marked, "trusted")
+    counts = ngram_counts(marked(docs, labels, id_col, text_col), "trusted")
     table = docs.sparkSession.sparkContext.broadcast(weights(counts[True], counts[False] + counts[True]))
     least = round(threshold * SCALE)
 

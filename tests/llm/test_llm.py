@@ -128,6 +128,33 @@ def test_quality(spark, docs):
     assert quality.judge(docs, empty(labels)).count() == docs.count() and quality.judge(empty(docs), labels).count() == 0
 
 
+def test_quality_counts_every_trusted_document(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i if i % 9 else None, prose(rng, rng.randrange(90)).replace(" ", "%%$ " if i % 5 == 1 else " ")) for i in range(300)] + [(5, "again " * 70), (5, None)]
+    table = spark.createDataFrame(rows, "doc_id int, text string")
+    named = [(i, int(i % 3 == 0)) for i in range(0, 300, 2)] + [(6, 1), (None, 1), (9999, 1)]
+    labels = spark.createDataFrame(named, "doc_id long, quality int")
+    good = {i for i, q in named if q == 1} - {None}
+    trusted, raw = np.zeros(quality.BUCKETS, np.int64), np.zeros(quality.BUCKETS, np.int64)
+    for i, t in rows:
+        c = np.bincount(quality.ngram_buckets((t or "").encode()), minlength=quality.BUCKETS)
+        raw += c
+        trusted += c if i in good else 0
+    w = quality.weights(trusted, raw)
+    want = []
+    for i, t in rows:
+        b, words = quality.ngram_buckets((t or "").encode()), re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams3 = collections.Counter(zip(words, words[1:], words[2:]))
+        often = {p + j for p in range(len(words) - 2) for j in range(3) if grams3[tuple(words[p : p + 3])] > 1}
+        failed = len(words) < 50 or 2 * len(often) > len(words)
+        want.append((i, len(words), len(often), failed, not failed and int(w[b].sum()) >= -500_000 * len(b)))
+    for most in (1000, 3):  # ids broadcast, and texts shuffled
+        monkeypatch.setattr(quality, "HELD_IDS", most)
+        got = quality.judge(table, labels).collect()
+        assert collections.Counter((r["doc_id"], r["n_words"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in got) == collections.Counter(want)
+    assert len({x[-2:] for x in want}) == 3
+
+
 def test_string_ids_are_scored_and_judged(spark):
     table = spark.createDataFrame([("a", "some words here"), ("7", "idiot words")], "doc_id string, text string")
     labels = spark.createDataFrame([(7, 1, 1), (8, 0, 0)], "doc_id long, quality int, toxic int")
