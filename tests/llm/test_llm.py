@@ -130,7 +130,7 @@ def test_quality(spark, docs):
 
 def test_quality_counts_every_trusted_document(spark, monkeypatch):
     rng = random.Random(2)
-    rows = [(i if i % 9 else None, prose(rng, rng.randrange(90)).replace(" ", "%%$ " if i % 5 == 1 else " ")) for i in range(300)] + [(5, "again " * 70), (5, None)]
+    rows = [(i if i % 9 else None, prose(rng, rng.randrange(90)).replace(" ", "%#$%|<#$ " if i % 10 == 1 else " ")) for i in range(300)] + [(5, "again " * 70), (5, None)]
     table = spark.createDataFrame(rows, "doc_id int, text string")
     named = [(i, int(i % 3 == 0)) for i in range(0, 300, 2)] + [(6, 1), (None, 1), (9999, 1)]
     labels = spark.createDataFrame(named, "doc_id long, quality int")
