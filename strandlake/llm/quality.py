@@ -28,8 +28,8 @@ ORDER, BUCKETS, SCALE = 3, 1 << 16, 1_000_000
 THRESHOLD = -0.5
 SYMBOLS, SPACE = b"#*$%&|<>", b"\x20\x09\x0a\x0b\x0c\x0d"
 SLICE_BYTES = 8 << 20
-#: So many ids of trusted documents (some 30 bytes each as a hash table) may be held by every task.
-HELD_IDS = 2_000_000
+#: So many ids of trusted documents (about 100 bytes each in a broadcast table) may be held by every executor.
+HELD_IDS = 500_000
 
 
 def ngram_buckets(data: bytes, order: int = ORDER) -> np.ndarray:
