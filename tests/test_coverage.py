@@ -221,3 +221,23 @@ def test_method_rules():
     with pytest.raises(ValueError):
         cov.check_methods(["count"], Options(min_covered_fraction=0.1))
     cov.check_methods(["mean", "rpkm"], Options(min_covered_fraction=0.1))
+
+
+def test_bam_in_splits(spark, tmp_path):
+    """Records lie across blocks; some are longer than many blocks, and one has more operations than its field holds."""
+    contigs = spark.createDataFrame([(0, "c1", 5_000_000), (1, "c2", 700)], schema.CONTIGS)
+    rows = []
+    for i in range(600):
+        cigar, bases = ("40M2D60M", 100) if i % 97 else ("1M1I" * 4_000, 8_000)
+        rows.append(("reads", 0, f"read{i}", 99 if i % 3 else 4, i % 2 if i % 3 else None, i * 7 if i % 3 else -1, i % 60, cigar if i % 3 else "*", i % 2 if i % 5 else None, i if i % 5 else -1, i - 300, bases, i % 9 if i % 4 else None, 100 - i % 9 if i % 4 else None, 0))
+    rows.append(("reads", 0, "long", 0, 0, 10, 60, "1M1D" * 40_000, None, -1, 0, 40_000, 3, 7, 0))
+    alns = spark.createDataFrame(rows, schema.ALIGNMENTS).repartition(2)
+    path = str(tmp_path / "reads.bam")
+    binary.write_bam(alns, contigs, path, block_bytes=700)
+    for split in (1_500, 10_000, 1 << 26):
+        got = spark.read.format("bam").option("split_bytes", split).load(path)
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == sorted(rows, key=lambda r: r[2])
+        assert (got.rdd.getNumPartitions() > 10) == (split == 1_500)
+    assert [tuple(r) for r in binary.bam_contigs(spark, path).collect()] == [(0, "c1", 5_000_000), (1, "c2", 700)]
+    binary.write_bam(alns.where("false"), contigs, str(tmp_path / "none.bam"))
+    assert spark.read.format("bam").load(str(tmp_path / "none.bam")).count() == 0
