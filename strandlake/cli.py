@@ -1,4 +1,4 @@
-"""Command line: coverage of contigs and genomes, filters, and groups of genomes, over SAM and BAM files."""
+"""Command line: coverage of contigs and genomes, filters, mapping, and groups of genomes, over SAM and BAM files or reads."""
 
 from __future__ import annotations
 
@@ -7,11 +7,16 @@ import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.numeric import percentage
-from .operators import cluster, coverage, genes, normalise, present
+from .mapping import run
+from .mapping.commands import MAPPERS, ReadSet, read_sets, sample_name
+from .operators import cluster, coverage, genes, normalise, present, shard
 from .operators.coverage import Options
-from .operators.filters import METABAT, Flags, Thresholds, threshold_filter, usable
+from .operators.filters import METABAT, Flags, Thresholds, has, threshold_filter, usable
+from .scratch import written
+from .schema import UNMAPPED
 from .sources import binary, text
 
 
@@ -19,9 +24,27 @@ def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandlake", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
 
+    def reads(c: argparse.ArgumentParser) -> None:
+        c.add_argument("-r", "--reference", nargs="+", default=[], help="FASTA files that reads are mapped to")
+        c.add_argument("-p", "--mapper", choices=MAPPERS, default="strobealign")
+        c.add_argument("-t", "--threads", type=int, default=1)
+        c.add_argument("--mapper-params", default="")
+        for short, name in (("-1", "read1"), ("-2", "read2"), ("-c", "coupled"), (None, "interleaved"), (None, "single")):
+            c.add_argument(*([short] if short else []), f"--{name}", nargs="+", default=[])
+        c.add_argument("--discard-unmapped", action="store_true", help="leave reads that are not mapped out of the files that are written")
+
+    def qualities(c: argparse.ArgumentParser, prefix: str) -> None:
+        for name in ("checkm-tab-table", "checkm2-quality-report", "genome-info"):
+            c.add_argument(f"--{name}", dest="quality_table")
+        c.add_argument("--min-completeness", type=float, default=0.0)
+        c.add_argument("--max-contamination", type=float, default=100.0)
+        c.add_argument(f"--{prefix}ani", dest="ani", type=float, default=95.0)
+        c.add_argument(f"--{prefix}quality-formula", dest="quality_formula", choices=list(cluster.FORMULAS), default="completeness-4contamination")
+        c.add_argument("--reference-genomes", nargs="+", default=[], help="FASTA files of genomes that are representatives beforehand")
+
     def common(name: str, help_: str) -> argparse.ArgumentParser:
         c = sub.add_parser(name, help=help_)
-        c.add_argument("-b", "--bam-files", nargs="+", required=True, help="SAM or BAM files, a sample each")
+        c.add_argument("-b", "--bam-files", nargs="+", default=[], required=name == "filter", help="SAM or BAM files, a sample each")
         c.add_argument("-o", "--output-file", default="-")
         for kind in ("", "-pair"):
             c.add_argument(f"--min-read-aligned-length{kind}", type=int, default=0)
@@ -44,6 +67,10 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--no-zeros", action="store_true")
         c.add_argument("--gff")
         c.add_argument("--gff-feature-type")
+        reads(c)
+        c.add_argument("--sharded", action="store_true", help="files or references are parts of one reference; each pair counts where it aligns best")
+        c.add_argument("--exclude-genomes-from-deshard", help="a list of genomes that take no part in that")
+        c.add_argument("--bam-file-cache-directory", help="alignments of mapped reads are kept there, a folder of BAM files a sample")
         if name == "genome":
             c.add_argument("-s", "--separator")
             c.add_argument("--single-genome", action="store_true")
@@ -51,15 +78,19 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("-f", "--genome-fasta-files", nargs="+")
             c.add_argument("-d", "--genome-fasta-directory")
             c.add_argument("-x", "--genome-fasta-extension", default="fna")
+            c.add_argument("--genome-fasta-list")
             c.add_argument("--use-full-contig-names", action="store_true")
-    f = common("filter", "write the alignments that pass, as Parquet")
+            c.add_argument("--dereplicate", action="store_true", help="only representatives of similar genomes are reported")
+            qualities(c, "dereplication-")
+    f = common("filter", "write the alignments that pass, as a folder of BAM files if its name ends so, else as Parquet")
     f.add_argument("--inverse", action="store_true")
     c = sub.add_parser("cluster", help="representatives of similar genomes")
     c.add_argument("-f", "--genome-fasta-files", nargs="+", required=True)
-    c.add_argument("--ani", type=float, default=95.0)
-    c.add_argument("--checkm-tab-table")
-    c.add_argument("--quality-formula", choices=list(cluster.FORMULAS), default="completeness-4contamination")
+    qualities(c, "")
     c.add_argument("-o", "--output-cluster-definition", default="-")
+    c = sub.add_parser("make", help="map reads and keep the alignments, a folder of BAM files a sample")
+    reads(c)
+    c.add_argument("-o", "--output-directory", required=True)
     return p
 
 
@@ -82,6 +113,101 @@ def alignments(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, Da
     return text.sam(spark, paths), text.sam_contigs(spark, paths[0])
 
 
+def _sets(a: argparse.Namespace) -> list[ReadSet]:
+    return read_sets(a.coupled, a.read1, a.read2, a.interleaved, a.single)
+
+
+def mapped(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """(alignments, contigs by shard) of reads."""
+    if not a.reference:
+        raise ValueError("give alignments, or reads and a reference")
+    contigs = written(run.reference_contigs(spark, a.reference), "contigs")
+    return written(run.mapped(spark, a.mapper, a.reference, _sets(a), a.threads, a.mapper_params, contigs), "alignments"), contigs
+
+
+def keep(rows: DataFrame, contigs: DataFrame, a: argparse.Namespace, folder: str) -> None:
+    """Write a folder of BAM files for each sample and reference."""
+    parts = rows.select("sample", "sample_idx", "shard").distinct().orderBy("shard", "sample_idx").collect()  # a row per run of the mapper
+    names = [r["sample"].replace("/", ".") if len(a.reference) == 1 else sample_name(a.reference[r["shard"]], ReadSet((r["sample"],))).replace("/", ".") for r in parts]
+    if len({*names}) < len(names):
+        raise ValueError(f"two outputs have one name: {sorted(n for n in {*names} if names.count(n) > 1)}")
+    for name, r in zip(names, parts):
+        own = rows.where((F.col("sample_idx") == r["sample_idx"]) & (F.col("shard") == r["shard"]))
+        binary.write_bam(own.where(~has(UNMAPPED)) if a.discard_unmapped else own, contigs.where(F.col("shard") == r["shard"]), f"{folder.rstrip('/')}/{name}.bam")
+
+
+def inputs(spark: SparkSession, a: argparse.Namespace, genomes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(alignments, contigs) of ``contig`` and ``genome``: of files or of reads, in one part or in shards."""
+    if a.bam_files and not a.sharded:
+        return alignments(spark, a.bam_files)
+    if a.bam_files:
+        name, parts = "|".join(map(text.stem, a.bam_files)), [alignments(spark, [p]) for p in a.bam_files]
+        rows, contigs = parts[0][0].limit(0), parts[0][1].withColumn("shard", F.lit(0)).limit(0)
+        for i, (r, c) in enumerate(parts):
+            rows = rows.unionByName(r.withColumn("shard", F.lit(i)).withColumn("sample", F.lit(name)))
+            contigs = contigs.unionByName(c.withColumn("shard", F.lit(i)))
+    else:
+        if len(a.reference) > 1 and not a.sharded:
+            raise ValueError("several references are the parts of one with --sharded; otherwise make a call for each")
+        rows, contigs = mapped(spark, a)
+        if a.bam_file_cache_directory:
+            keep(rows, contigs, a, a.bam_file_cache_directory)
+    if not a.sharded:
+        return rows, contigs.drop("shard")
+    excluded = None
+    if a.exclude_genomes_from_deshard:
+        separator = None if genomes is not None else getattr(a, "separator", None)
+        if genomes is None and not separator:
+            raise ValueError("genomes can be excluded where genomes are told by a separator, a definition or files")
+        named = contigs if genomes is None else contigs.join(genomes.select("contig", "genome"), "contig")
+        excluded = shard.excluded_contigs(named, text.names(spark, a.exclude_genomes_from_deshard), separator)
+    return shard.best_shard(rows, contigs, excluded), shard.merged_contigs(contigs).select("tid", "contig", "length")
+
+
+def clusters(spark: SparkSession, a: argparse.Namespace, paths: Sequence[str]) -> DataFrame:
+    """(representative, member) of genome files, by the options of quality and identity."""
+    every = [*a.reference_genomes, *(p for p in paths if p not in a.reference_genomes)]
+    genomes = spark.createDataFrame([(text.genome_stem(p), i, i < len(a.reference_genomes)) for i, p in enumerate(every)], "genome string, genome_idx int, given boolean")
+    parts = [text.fasta(spark, p).select(F.lit(text.genome_stem(p)).alias("genome"), "seq") for p in every]
+    sequences = parts[0]
+    for p in parts[1:]:
+        sequences = sequences.unionByName(p)
+    quality = text.quality(spark, a.quality_table) if a.quality_table else None
+    if quality is not None:
+        genomes = genomes.where("given").unionByName(text.good_genomes(genomes.where("not given"), quality, a.min_completeness, a.max_contamination))
+        sequences = sequences.join(genomes.select("genome"), "genome", "left_semi")
+        if a.quality_formula in cluster.OF_SEQUENCES:
+            quality = quality.join(cluster.genome_stats(sequences), "genome")
+    edges = cluster.similar(written(cluster.sketches(sequences), "sketches"), percentage(a.ani))
+    return cluster.representatives(cluster.ranked(genomes, quality, a.quality_formula), edges)
+
+
+def genome_map(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    """(genome_idx, genome, contig) where genomes are told by a definition or by files, less those that the options leave out."""
+    if a.command != "genome" or a.single_genome or a.separator:
+        return None
+    if a.genome_definition:
+        return text.definition(spark, a.genome_definition)
+    paths = text.fasta_paths(a.genome_fasta_files or (), a.genome_fasta_directory, a.genome_fasta_extension, a.genome_fasta_list)
+    genomes = text.genomes_from_fasta(spark, paths, a.use_full_contig_names)
+    if a.dereplicate:
+        return genomes.join(clusters(spark, a, paths).select(F.col("representative").alias("genome")).distinct(), "genome", "left_semi")
+    if a.quality_table:
+        return text.good_genomes(genomes, text.quality(spark, a.quality_table), a.min_completeness, a.max_contamination)
+    return genomes
+
+
+def abundance_table(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """What the mapper's abundance mode says of each contig."""
+    if a.bam_files or len(a.reference) != 1 or a.mapper != "strobealign":
+        raise ValueError("strobealign-aemb needs reads and one reference, and is done by strobealign")
+    order = [(k, sample_name(a.reference[0], s)) for k, s in enumerate(_sets(a))]
+    stats = run.abundances(spark, a.reference[0], _sets(a), a.threads, a.mapper_params)
+    if a.output_format == "dense":
+        return present.dense(stats, order, a.methods, as_text=True)
+    return present.sparse(stats.drop("sample"), spark.createDataFrame(order, "sample_idx int, sample string"), a.methods, as_text=True)
+
+
 def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """The result table of ``contig`` and ``genome``."""
     o = Options(a.contig_end_exclusion, percentage(a.min_covered_fraction), (percentage(a.trim_min), percentage(a.trim_max)), exact=True)
@@ -89,7 +215,10 @@ def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     t, flags = thresholds(a)
     if a.methods == ["metabat"]:
         t, flags = METABAT
-    rows, contigs = alignments(spark, a.bam_files)
+    if a.methods == ["strobealign-aemb"]:
+        return abundance_table(spark, a)
+    genomes = genome_map(spark, a)
+    rows, contigs = inputs(spark, a, genomes)
     samples = coverage.samples_of(rows)
     used = usable(rows, t, flags, exact=True)
     placed, mode = contigs, "separator"
@@ -99,10 +228,6 @@ def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         elif a.separator:
             placed = coverage.contigs_by_separator(contigs, a.separator)
         else:
-            if a.genome_definition:
-                genomes = text.definition(spark, a.genome_definition)
-            else:
-                genomes = text.genomes_from_fasta(spark, text.fasta_paths(a.genome_fasta_files or (), a.genome_fasta_directory, a.genome_fasta_extension), a.use_full_contig_names)
             placed, mode = coverage.contigs_by_map(contigs, genomes), "map"
     if a.methods == ["coverage_histogram"]:
         key = "tid" if a.command == "contig" else "genome"
@@ -151,17 +276,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         write_rows(table_of(spark, a), a.output_file)
     elif a.command == "filter":
         t, flags = thresholds(a)
-        threshold_filter(alignments(spark, a.bam_files)[0], t, flags, a.inverse, exact=True).write.mode("overwrite").parquet(a.output_file)
+        rows, contigs = alignments(spark, a.bam_files)
+        kept = threshold_filter(rows, t, flags, a.inverse, exact=True)
+        if a.output_file.endswith(".bam"):
+            if len(a.bam_files) > 1:
+                raise ValueError("a BAM folder has one sample; filter one file at a time, or write Parquet")
+            binary.write_bam(kept, contigs, a.output_file)
+        else:
+            kept.write.mode("overwrite").parquet(a.output_file)
+    elif a.command == "make":
+        keep(*mapped(spark, a), a, a.output_directory)
     else:
-        paths = a.genome_fasta_files
-        genomes = spark.createDataFrame([(text.genome_stem(p), i) for i, p in enumerate(paths)], "genome string, genome_idx int")
-        sequences = None
-        for p in paths:
-            one = text.fasta(spark, p).selectExpr(f"'{text.genome_stem(p)}' as genome", "seq")
-            sequences = one if sequences is None else sequences.unionByName(one)
-        edges = cluster.similar(cluster.sketches(sequences), percentage(a.ani))
-        order = cluster.ranked(genomes, text.quality(spark, a.checkm_tab_table) if a.checkm_tab_table else None, a.quality_formula)
-        write_rows(cluster.representatives(order, edges).orderBy("representative", "member"), a.output_cluster_definition)
+        write_rows(clusters(spark, a, a.genome_fasta_files).orderBy("representative", "member"), a.output_cluster_definition)
     return 0
 
 

@@ -22,10 +22,11 @@ from .filters import has
 METHODS = {
     "mean": "Mean", "trimmed_mean": "Trimmed Mean", "covered_fraction": "Covered Fraction", "covered_bases": "Covered Bases", "variance": "Variance", "length": "Length",
     "count": "Read Count", "reads_per_base": "Reads per base", "anir": "ANIr", "rpkm": "RPKM", "tpm": "TPM", "relative_abundance": "Relative Abundance (%)",
+    "strobealign-aemb": "Strobealign aemb",
 }
 #: These have no notion of a least covered fraction.
-_NO_FRACTION = {"count", "length", "reads_per_base", "anir"}
-_ALONE = {"coverage_histogram", "metabat"}
+_NO_FRACTION = {"count", "length", "reads_per_base", "anir", "strobealign-aemb"}
+_ALONE = {"coverage_histogram", "metabat", "strobealign-aemb"}
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ def check_methods(methods: list[str], o: Options, genes: bool = False, grain: st
             raise ValueError(f"{m} cannot be combined with other methods")
         if m in _NO_FRACTION and o.min_covered_fraction > 0:
             raise ValueError(f"{m} cannot be used with a minimum covered fraction above 0")
-        if m == "metabat" and (genes or grain != "contig"):
+        if m in ("metabat", "strobealign-aemb") and (genes or grain != "contig"):
             raise ValueError(f"{m} is for contigs only")
         if m in ("rpkm", "tpm") and methods.count(m) > 1:
             raise ValueError(f"{m} can be asked for once")

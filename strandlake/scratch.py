@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
 
@@ -20,3 +20,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
             _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="strandlake-"))
         root = f"file://{_LOCAL_ROOT[0]}"
     return f"{root.rstrip('/')}/strandlake-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, stored as Parquet and read again: what made it is not run again."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
