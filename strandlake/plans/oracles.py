@@ -182,3 +182,9 @@ SQL: dict[str, str] = {
 
 # The same results by way of files.
 SQL |= {"source_sam_contig_mean": SQL["contig_mean"], "source_gff_gene_mean": SQL["gene_mean"], "source_definition_join": SQL["definition_join"]}
+SQL |= {
+    "source_bam_contig_mean": SQL["contig_mean"],
+    "source_fasta_contigs": f"WITH {_ALNS} SELECT contig, len AS length FROM c",
+    "source_quality_genomes": "WITH g AS (SELECT DISTINCT p_brand AS genome, cast(regexp_extract(p_brand, '(\\d+)$', 1) AS int) AS i FROM part WHERE p_partkey % 10 <> 9) SELECT genome FROM g WHERE i % 5 <> 0 AND i + 40 >= 60 AND i % 7 <= 4",
+    "stream_incremental_counts": f"WITH {_ALNS},{_depth(_USED, 75)} SELECT sample, cast(tid AS int) AS tid, n_all, n_no_sup, n_primary FROM ct",
+}

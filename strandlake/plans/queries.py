@@ -12,9 +12,10 @@ from ..operators import coverage as cov
 from ..operators import depth, genes, normalise, present, shard
 from ..operators.coverage import Options
 from ..operators.filters import METABAT, Flags, Thresholds, has, pair_filter, single_filter, threshold_filter, usable
-from ..schema import UNMAPPED
+from ..schema import ALIGNMENTS, UNMAPPED
 from ..scratch import new_folder
-from ..sources import text
+from ..sources import binary, text
+from ..streaming.incremental import CoverageState
 from . import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +209,44 @@ def source_definition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("genome").agg(F.count("*").alias("n"), F.sum("length").alias("bases"))
 
 
+def source_bam_contig_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``contig_mean`` by way of BAM files, a folder per sample, read in splits."""
+    root, (alns, contigs, _) = new_folder(spark, "bam"), _inputs(spark, sf_dir)
+    paths = [f"{root}/{sample}.bam" for sample in "ANR"]
+    for sample, path in zip("ANR", paths):
+        binary.write_bam(alns.where(F.col("sample") == sample), contigs, path)
+    read, named = spark.read.format("bam").option("split_bytes", 1 << 20).load(",".join(paths)), binary.bam_contigs(spark, paths[0])
+    samples = cov.samples_of(read)
+    return _shown(cov.by_contig(usable(read, Thresholds(), DEFAULT), named, samples, trimmed=False), samples, ["mean"])
+
+
+def source_fasta_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and lengths of contigs by way of a FASTA file."""
+    path = new_folder(spark, "fasta")
+    seq = F.regexp_replace(F.expr("repeat('ACGTN', cast(length / 5 as int))"), "(.{70})", "$1\n")
+    testbed.contigs(spark, sf_dir).select(F.concat(F.lit(">"), "contig", F.lit(" made\n"), seq).alias("value")).write.text(path)
+    return text.fasta_contigs(spark, path).select("contig", "length")
+
+
+def source_quality_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genomes that are complete and clean enough, by way of a quality table; those without a quality are left out."""
+    path, genomes = new_folder(spark, "quality"), testbed.genomes(spark, sf_dir).select("genome", "genome_idx").distinct()
+    made = genomes.where("genome_idx % 5 <> 0").select(F.col("genome").alias("Bin Id"), (F.col("genome_idx") + 40).alias("Completeness"), (F.col("genome_idx") % 7).alias("Contamination"))
+    made.write.csv(path, sep="\t", header=True)
+    return text.good_genomes(genomes, text.quality(spark, path), 60.0, 4.0).select("genome")
+
+
+def stream_incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read counts of contigs, added up by micro-batches of a stream."""
+    alns, contigs, samples = _inputs(spark, sf_dir)
+    stored = new_folder(spark, "stream-input")
+    alns.repartition(4).write.parquet(stored)
+    state = CoverageState(new_folder(spark, "stream-state"), contigs, DEFAULT)
+    stream = spark.readStream.schema(ALIGNMENTS).option("maxFilesPerTrigger", 2).parquet(stored)
+    state.start(stream, new_folder(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return state.counts().join(samples.select("sample_idx", "sample"), "sample_idx").select("sample", "tid", "n_all", "n_no_sup", "n_primary")
+
+
 _ALL = ["mean", "trimmed_mean", "covered_fraction", "covered_bases", "variance", "length", "count", "reads_per_base", "anir"]
 
 QUERIES: dict[str, Query] = {
@@ -263,4 +302,8 @@ QUERIES: dict[str, Query] = {
     "source_sam_contig_mean": source_sam_contig_mean,
     "source_gff_gene_mean": source_gff_gene_mean,
     "source_definition_join": source_definition_join,
+    "source_bam_contig_mean": source_bam_contig_mean,
+    "source_fasta_contigs": source_fasta_contigs,
+    "source_quality_genomes": source_quality_genomes,
+    "stream_incremental_counts": stream_incremental_counts,
 }
