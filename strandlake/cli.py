@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import sys
 from collections.abc import Sequence
 
@@ -15,8 +16,8 @@ from .mapping.commands import MAPPERS, ReadSet, read_sets, sample_name
 from .operators import cluster, coverage, genes, normalise, present, shard
 from .operators.coverage import Options
 from .operators.filters import METABAT, Flags, Thresholds, has, threshold_filter, usable
-from .scratch import written
 from .schema import UNMAPPED
+from .scratch import written
 from .sources import binary, text
 
 
@@ -122,7 +123,7 @@ def mapped(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataF
     if not a.reference:
         raise ValueError("give alignments, or reads and a reference")
     contigs = written(run.reference_contigs(spark, a.reference), "contigs")
-    return written(run.mapped(spark, a.mapper, a.reference, _sets(a), a.threads, a.mapper_params, contigs), "alignments"), contigs
+    return run.mapped(spark, a.mapper, a.reference, _sets(a), a.threads, a.mapper_params, contigs), contigs
 
 
 def keep(rows: DataFrame, contigs: DataFrame, a: argparse.Namespace, folder: str) -> None:
@@ -142,10 +143,8 @@ def inputs(spark: SparkSession, a: argparse.Namespace, genomes: DataFrame | None
         return alignments(spark, a.bam_files)
     if a.bam_files:
         name, parts = "|".join(map(text.stem, a.bam_files)), [alignments(spark, [p]) for p in a.bam_files]
-        rows, contigs = parts[0][0].limit(0), parts[0][1].withColumn("shard", F.lit(0)).limit(0)
-        for i, (r, c) in enumerate(parts):
-            rows = rows.unionByName(r.withColumn("shard", F.lit(i)).withColumn("sample", F.lit(name)))
-            contigs = contigs.unionByName(c.withColumn("shard", F.lit(i)))
+        rows = functools.reduce(DataFrame.unionByName, (r.withColumns({"shard": F.lit(i), "sample": F.lit(name)}) for i, (r, _) in enumerate(parts)))
+        contigs = functools.reduce(DataFrame.unionByName, (c.withColumn("shard", F.lit(i)) for i, (_, c) in enumerate(parts)))
     else:
         if len(a.reference) > 1 and not a.sharded:
             raise ValueError("several references are the parts of one with --sharded; otherwise make a call for each")

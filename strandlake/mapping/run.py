@@ -58,8 +58,8 @@ def mapped(
         c("")  # wrong combinations are known before anything runs
     names = [(n, i, k, sample_name(r if len(references) == 1 else None, s)) for n, (i, r, k, s) in enumerate(jobs)]
     told = spark.createDataFrame(names, "job int, shard int, sample_idx int, sample string")
-    stored = written(_lines(spark, commands), "mapped")
-    return text.parsed_sam(stored.join(F.broadcast(told), "job"), reference_contigs(spark, references) if contigs is None else contigs)
+    rows = text.parsed_sam(_lines(spark, commands).join(F.broadcast(told), "job"), reference_contigs(spark, references) if contigs is None else contigs)
+    return written(rows, "mapped")  # without bases and qualities
 
 
 def abundances(spark: SparkSession, reference: str, sets: Sequence[ReadSet], threads: int = 1, extra: str = "") -> DataFrame:
