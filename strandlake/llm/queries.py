@@ -169,6 +169,54 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): about a tenth of the documents go on periodically from some word on, as the contract of op11 says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.where(h % 10 == 0).select("doc_id", words.alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w").cast("long")).where("n > 0")
+    placed = chosen.withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    text = F.array_join(F.expr("transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)]))"), " ")
+    whole = docs.where(F.coalesce(h % 10 != 0, F.lit(True)) | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text")
+    return whole.union(placed.select("doc_id", text.alias("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import find_runs
+
+    found = find_runs(_with_periods(table(spark, sf_dir, "documents")))
+    # Runs are by start and period, so of equal exponents the first one stays.
+    longer = "aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (m, x) -> if(m is null or x.length * m.period > m.length * x.period, x, m))"
+    lines = F.concat_ws("", F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n"))))
+    best = found.withColumn("b", F.expr(longer))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"b.{c}").alias(c) for c in ("start", "length", "period")), F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: A run of period q is a row of words that each come again q words later. DuckDB has no CRC, so it is made bit by bit.
+_OP11_SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+             list_reduce(list_concat([4294967295], flatten([[cast(ascii(c) AS bigint), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(cast(doc_id AS varchar), '')])),
+               lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END) AS crc FROM documents),
+h AS (SELECT r, doc_id, w, len(w) AS n, xor(crc, 4294967295) % 10 = 0 AS made, xor(crc, 4294967295) // 10 AS g FROM t),
+p AS (SELECT r, doc_id, w, n, made AND n > 0 AS made, g % nullif(n, 0) AS a, 1 + (n - g % nullif(n, 0)) // (3 + g % 8) AS p FROM h),
+d AS (SELECT r, doc_id, n, CASE WHEN made THEN [w[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % p + 1 END] FOR i IN range(n)] ELSE w END AS w FROM p),
+x AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM d),
+eq AS (SELECT u.r, u.i, v.i - u.i AS q FROM x u JOIN x v ON u.r = v.r AND u.word = v.word AND v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+isl AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS grp FROM eq),
+st AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM isl GROUP BY r, q, grp HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT r, s, len, min(q) AS q FROM st GROUP BY r, s, len),
+agg AS (SELECT r, count(*) AS n_runs, string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS txt FROM run GROUP BY r),
+best AS (SELECT a.r, a.s, a.len, a.q FROM run a ANTI JOIN run b ON a.r = b.r AND (b.len * a.q > a.len * b.q OR (b.len * a.q = a.len * b.q AND (b.s, b.q) < (a.s, a.q)))),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM run),
+coll AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS txt FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::bigint AS n_runs, best.s::bigint AS start, best.len::bigint AS length, best.q::bigint AS period, (1000 * best.len // best.q)::bigint AS exponent_milli,
+       sha256(coalesce(agg.txt, '')) AS runs_sha256, sha256(coalesce(coll.txt, '')) AS collapsed_sha256
+FROM d LEFT JOIN agg USING (r) LEFT JOIN best USING (r) LEFT JOIN coll USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op5_chat_formatting": op5_chat_formatting,
@@ -180,11 +228,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 SQL: dict[str, str] = {
     "op1_url_filters": _op1_sql(),
     "op5_chat_formatting": _OP5_SQL,
     "op6_license_scans": _op6_sql(),
+    "op11_periodic_runs": _OP11_SQL,
     "op7_benchmark_decontamination": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(cast(item_id AS varchar), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
