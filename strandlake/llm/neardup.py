@@ -26,7 +26,8 @@ are a ValueError. A very long text is one set, held by one task while it is made
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,34 @@ HUB = 1024
 TILE = 256
 SLICE_BYTES = 8 << 20
 
+
+
+def _near_signs(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    return (x != y).sum(axis=1) <= FAR
+
+
+@dataclass(frozen=True)
+class Rule:
+    """When two sets are linked (least similarity in percent), and when their signatures leave that possible: ``near`` is given those of two
+    sides, a row each, and their sizes."""
+
+    percent: int
+    sign: type
+    near: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+    def signs(self, column: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(column), self.sign).reshape(len(column), -1)
+
+    def possible(self, x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+        """By sizes, and where these allow it by signatures."""
+        ok = 100 * np.minimum(n_x, n_y) >= self.percent * np.maximum(n_x, n_y)
+        at = np.flatnonzero(ok)
+        ok[at] = self.near(x[at], y[at], n_x[at], n_y[at])
+        return ok
+
+
+NEAR_DUPLICATES = Rule(PERCENT, np.uint16, _near_signs)
+
 _RNG = np.random.default_rng(20240229)
 _FACTOR = (_RNG.integers(0, 1 << 31, SYMBOLS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFT = _RNG.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
@@ -124,19 +153,19 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sign").mapInArrow(run, "key long, node long")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Of pairs (a, b), those that sizes and signatures leave possible."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sign").alias("sign_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b"))
-    both = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    both = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-            near = (x != y).sum(axis=1) <= FAR
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+            if batch.num_rows:
+                near = rule.possible(*(rule.signs(batch.column(i).to_pylist()) for i in (2, 3)), *(batch.column(i).to_numpy() for i in (4, 5)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
-    return both.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sign_a", "sign_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,7 +179,7 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
     return rows.mapInArrow(make, "id long, items binary").where("octet_length(items) > 0")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are as similar as asked."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +188,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common))
+                ok.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
@@ -237,7 +266,7 @@ def _tiles(placed: DataFrame, by: str) -> DataFrame:
     return members.hint("merge").join(tiles.select(by, "l1", "g1", "l2", "g2", F.inline(sides)), [by, "label", "g"]).select(by, "l1", "g1", "l2", "g2", "node", "component")
 
 
-def _open_edges(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+def _open_edges(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) that join members of a bucket in different components where sizes and signatures allow a link."""
     placed = buckets.hint("merge").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     # Buckets with the same members need one look.
@@ -248,17 +277,17 @@ def _open_edges(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataF
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("node", ignore_index=True)
         node, comp, n = (t[c].to_numpy() for c in ("node", "component", "n"))
-        sign, forest = np.frombuffer(b"".join(t["sign"]), np.uint16).reshape(-1, SYMBOLS), _Forest()
+        sign, forest = rule.signs(list(t["sign"])), _Forest()
         for i in range(len(node)):
-            at = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i])))
-            for j in at[(sign[at] != sign[i]).sum(axis=1) <= FAR] if len(at) else ():
+            at = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+            for j in at[rule.possible(np.broadcast_to(sign[i], (len(at), sign.shape[1])), sign[at], np.broadcast_to(n[i], len(at)), n[at])]:
                 forest.join(node[i], node[j], comp[i], comp[j])
         return forest.frame()
 
     return tiled.groupBy("key", "l1", "g1", "l2", "g2").applyInPandas(run, "a long, b long").distinct()
 
 
-def _family_links(families: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+def _family_links(families: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) on full sets between different components of a family; (node, family) gives the families."""
     placed = families.hint("merge").join(comps, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
     rows = _tiles(placed, "family").hint("merge").join(sets.withColumnRenamed("id", "node"), "node")
@@ -278,7 +307,7 @@ def _family_links(families: DataFrame, comps: DataFrame, sets: DataFrame) -> Dat
             mark[own] = True
             common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
             mark[own] = False
-            linked = (comp != comp[i]) & (100 * common >= PERCENT * (size + size[i] - common))
+            linked = (comp != comp[i]) & (100 * common >= percent * (size + size[i] - common))
             for j in np.flatnonzero(linked):
                 forest.join(node[i], node[j], comp[i], comp[j])
         return forest.frame()
@@ -286,31 +315,26 @@ def _family_links(families: DataFrame, comps: DataFrame, sets: DataFrame) -> Dat
     return rows.select("family", "l1", "g1", "l2", "g2", "node", "component", "items").groupBy("family", "l1", "g1", "l2", "g2").applyInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row with ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept``."""
+def classes(rows: DataFrame, nodes: DataFrame, buckets: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """Each of the ``rows`` (id, n, set_id) with ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept``.
+
+    ``nodes`` are the distinct sets (node: smallest id, set_id, n, sign); ``buckets`` (key, node, pivot: smallest node) bring together all that may be linked.
+    """
     kind = docs.schema[id_col].dataType
-    if not isinstance(kind, IntegralType):
-        raise ValueError(f"ids must be integers, {id_col} is {kind.simpleString()}")
-    rows = stored(sketch(docs, id_col, text_col), "sketch")
-    sets = rows.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sign").alias("sign"))
-    nodes = stored(sets, "nodes")
-    keys = _keys(nodes)
-    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
-    buckets = stored(keys.hint("merge").join(shared, "key"), "buckets")
     # Ids with several texts join their nodes.
     named = rows.where("n > 0 and id is not null")
     twice = named.groupBy("id").agg(F.min(F.xxhash64("set_id")).alias("lo"), F.max(F.xxhash64("set_id")).alias("hi")).where("lo <> hi").select("id")
     of_id = named.join(twice, "id").join(nodes.select("set_id", "node"), "set_id").select("id", "node").distinct()
     same_id = of_id.join(of_id.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    pairs = stored(_likely(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes), "pairs")
+    pairs = stored(_likely(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes, rule), "pairs")
     coarse = stored(components(pairs), "families")
-    apart = stored(_open_edges(buckets, nodes, coarse), "edges")
+    apart = stored(_open_edges(buckets, nodes, coarse, rule), "edges")
     if not apart.isEmpty():
         coarse = stored(components(pairs.union(apart)), "families")
     full = stored(_full_sets(coarse, docs, id_col, text_col), "sets")
-    links = stored(_confirmed(pairs, full).union(same_id), "links")
+    links = stored(_confirmed(pairs, full, rule.percent).union(same_id), "links")
     comps = stored(components(links), "components")
-    more = stored(_family_links(coarse.withColumnRenamed("component", "family"), comps, full), "links")
+    more = stored(_family_links(coarse.withColumnRenamed("component", "family"), comps, full, rule.percent), "links")
     if not more.isEmpty():
         comps = stored(components(links.union(more)), "components")
     of_set = nodes.hint("merge").join(comps, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
@@ -320,6 +344,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.hint("merge").join(of_set, "set_id", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), kept.alias("kept"))
 
 
+def check_ids(docs: DataFrame, id_col: str) -> None:
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"ids must be integers, {id_col} is {kind.simpleString()}")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row with ``n_shingles``, ``component_id`` (smallest id that links reach) and ``kept``."""
+    check_ids(docs, id_col)
+    rows = stored(sketch(docs, id_col, text_col), "sketch")
+    sets = rows.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+    nodes = stored(sets, "nodes")
+    keys = _keys(nodes)
+    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
+    buckets = stored(keys.hint("merge").join(shared, "key"), "buckets")
+    return classes(rows, nodes, buckets, docs, NEAR_DUPLICATES, id_col, text_col)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the smallest of its component, with all their columns; rows without an id stay."""
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col)).distinct()

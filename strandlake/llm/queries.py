@@ -217,6 +217,25 @@ FROM d LEFT JOIN agg USING (r) LEFT JOIN best USING (r) LEFT JOIN coll USING (r)
 """
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setjoin import similar_sets
+
+    return similar_sets(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import fit, identity_error, whiten, whole_numbers
+
+    x = whole_numbers(table(spark, sf_dir, "embeddings"))
+    f = fit(x)
+    rows = whiten(x, f).select(F.col("id").alias("vec_id"), "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    share = F.get(F.array(*(F.lit(float(v / f.trace)) for v in f.values)).cast("array<double>"), F.col("k"))
+    return rows.select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(f.sums.n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"), "whitened",
+        share.alias("explained"), F.lit(identity_error(x, f)).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op5_chat_formatting": op5_chat_formatting,
@@ -229,6 +248,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 SQL: dict[str, str] = {
     "op1_url_filters": _op1_sql(),

@@ -111,7 +111,8 @@ def _beyond(x: np.ndarray, lo: int, mid: int, hi: int, periods: np.ndarray) -> l
 
 
 def _crossing(x: np.ndarray, lo: int, mid: int, hi: int, most: int) -> Iterator[tuple[int, int, int]]:
-    """Stretches (q, s, e) of period q <= most around ``mid``, within lo and hi, with two words or more that come again on one side."""
+    """Stretches (q, s, e) of period q <= most around ``mid``, within lo and hi, with two words or more that come again on one side: a run of five words
+    or more has three on one side, one of period q >= 2 has 2 * q there."""
     right = x[mid : min(mid + most + 2, hi)]
     if len(right) >= 3:
         yield from _beyond(x, lo, mid, hi, 1 + np.flatnonzero((right[1:-1] == right[0]) & (right[2:] == right[1])))
@@ -163,8 +164,8 @@ def collapsed(words: list[bytes], found: list[tuple[int, int, int]]) -> list[byt
 def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT) -> DataFrame:
     """(id, n_words, runs, collapsed) of each row: ``runs`` are structs of start, length and period by start and period, and ``collapsed`` is the
     text with one period of each run, its words joined by single spaces."""
-    if min_length < 2 or min_exponent < 4:
-        raise ValueError("runs are at least two words long and hold their period four times or more")
+    if min_length < 5 or min_exponent < 4:
+        raise ValueError("runs are at least five words long and hold their period four times or more")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
