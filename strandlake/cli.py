@@ -19,6 +19,7 @@ from .operators.filters import METABAT, Flags, Thresholds, has, threshold_filter
 from .schema import UNMAPPED
 from .scratch import written
 from .sources import binary, text
+from .sources.headers import Headers
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -106,12 +107,11 @@ def thresholds(a: argparse.Namespace) -> tuple[Thresholds, Flags]:
     return t, Flags(improper=not (a.proper_pairs_only or t.any_pair), secondary=a.include_secondary, supplementary=not a.exclude_supplementary)
 
 
-def alignments(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(alignments, contigs) of SAM or BAM files."""
+def alignments(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, Headers]:
+    """Alignments of SAM or BAM files and the headers of these."""
     if all(p.endswith(".bam") for p in paths):
-        binary.register(spark)
-        return spark.read.format("bam").load(",".join(paths)), binary.bam_contigs(spark, paths[0])
-    return text.sam(spark, paths), text.sam_contigs(spark, paths[0])
+        return binary.bam_and_headers(spark, list(paths))
+    return text.sam_and_headers(spark, list(paths))
 
 
 def _sets(a: argparse.Namespace) -> list[ReadSet]:
@@ -137,12 +137,19 @@ def keep(rows: DataFrame, contigs: DataFrame, a: argparse.Namespace, folder: str
         binary.write_bam(own.where(~has(UNMAPPED)) if a.discard_unmapped else own, contigs.where(F.col("shard") == r["shard"]), f"{folder.rstrip('/')}/{name}.bam")
 
 
-def inputs(spark: SparkSession, a: argparse.Namespace, genomes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(alignments, contigs) of ``contig`` and ``genome``: of files or of reads, in one part or in shards."""
+def inputs(spark: SparkSession, a: argparse.Namespace, genomes: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(alignments, contigs, samples) of ``contig`` and ``genome``: of files or of reads, in one part or in shards."""
     if a.bam_files and not a.sharded:
-        return alignments(spark, a.bam_files)
+        rows, headers = alignments(spark, a.bam_files)
+        return rows, headers.contigs, headers.samples(coverage.samples_of(rows))
+    rows, contigs = parts_of(spark, a, genomes)
+    return rows, contigs, coverage.samples_of(rows)
+
+
+def parts_of(spark: SparkSession, a: argparse.Namespace, genomes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(alignments, contigs) of reads that are mapped here, or of files that are shards."""
     if a.bam_files:
-        name, parts = "|".join(map(text.stem, a.bam_files)), [alignments(spark, [p]) for p in a.bam_files]
+        name, parts = "|".join(map(text.stem, a.bam_files)), [(r, h.contigs) for r, h in (alignments(spark, [p]) for p in a.bam_files)]
         rows = functools.reduce(DataFrame.unionByName, (r.withColumns({"shard": F.lit(i), "sample": F.lit(name)}) for i, (r, _) in enumerate(parts)))
         contigs = functools.reduce(DataFrame.unionByName, (c.withColumn("shard", F.lit(i)) for i, (_, c) in enumerate(parts)))
     else:
@@ -167,10 +174,7 @@ def clusters(spark: SparkSession, a: argparse.Namespace, paths: Sequence[str]) -
     """(representative, member) of genome files, by the options of quality and identity."""
     every = [*a.reference_genomes, *(p for p in paths if p not in a.reference_genomes)]
     genomes = spark.createDataFrame([(text.genome_stem(p), i, i < len(a.reference_genomes)) for i, p in enumerate(every)], "genome string, genome_idx int, given boolean")
-    parts = [text.fasta(spark, p).select(F.lit(text.genome_stem(p)).alias("genome"), "seq") for p in every]
-    sequences = parts[0]
-    for p in parts[1:]:
-        sequences = sequences.unionByName(p)
+    sequences = text.genome_sequences(spark, every).select("genome", "seq")
     quality = text.quality(spark, a.quality_table) if a.quality_table else None
     if quality is not None:
         genomes = genomes.where("given").unionByName(text.good_genomes(genomes.where("not given"), quality, a.min_completeness, a.max_contamination))
@@ -217,8 +221,7 @@ def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.methods == ["strobealign-aemb"]:
         return abundance_table(spark, a)
     genomes = genome_map(spark, a)
-    rows, contigs = inputs(spark, a, genomes)
-    samples = coverage.samples_of(rows)
+    rows, contigs, samples = inputs(spark, a, genomes)
     used = usable(rows, t, flags, exact=True)
     placed, mode = contigs, "separator"
     if a.command == "genome":
@@ -231,7 +234,7 @@ def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.methods == ["coverage_histogram"]:
         key = "tid" if a.command == "contig" else "genome"
         hist = coverage.histogram(used, placed if key == "tid" else placed.where("genome is not null"), samples, o, key)
-        named = hist.join(contigs.select("tid", "contig"), "tid") if key == "tid" else hist.withColumnRenamed("genome", "contig")
+        named = hist.join(contigs.select("tid", "contig").distinct(), "tid") if key == "tid" else hist.withColumnRenamed("genome", "contig")
         return named.join(samples, "sample_idx").select("sample", "contig", "depth", "n_bases").orderBy("sample", "contig", "depth").toDF("Sample", a.command.title(), "Coverage", "Bases")
     trimmed = "trimmed_mean" in a.methods
     if a.gff:
@@ -275,12 +278,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         write_rows(table_of(spark, a), a.output_file)
     elif a.command == "filter":
         t, flags = thresholds(a)
-        rows, contigs = alignments(spark, a.bam_files)
+        rows, headers = alignments(spark, a.bam_files)
         kept = threshold_filter(rows, t, flags, a.inverse, exact=True)
         if a.output_file.endswith(".bam"):
             if len(a.bam_files) > 1:
                 raise ValueError("a BAM folder has one sample; filter one file at a time, or write Parquet")
-            binary.write_bam(kept, contigs, a.output_file)
+            binary.write_bam(kept, headers.contigs, a.output_file)
         else:
             kept.write.mode("overwrite").parquet(a.output_file)
     elif a.command == "make":

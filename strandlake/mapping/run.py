@@ -36,13 +36,9 @@ def _lines(spark: SparkSession, commands: Sequence[Callable[[str], list[str]]])
 
 def reference_contigs(spark: SparkSession, references: Sequence[str]) -> DataFrame:
     """(shard, tid, contig, length) of reference FASTA files."""
-    out = None
-    for i, path in enumerate(references):
-        one = text.fasta_contigs(spark, path).select(F.lit(i).alias("shard"), "tid", "contig", "length")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    if not references:
         raise ValueError("no reference")
-    return out
+    return text.fasta_contigs(spark, references).withColumnRenamed("source", "shard")
 
 
 def mapped(

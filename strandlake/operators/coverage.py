@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.cigar import aligned_with_deletions, identity
 from ..functions.numeric import ratio
 from ..schema import SECONDARY, SUPPLEMENTARY
-from .depth import COUNTS, counted_runs, mapped
+from .depth import COUNTS, counted_runs, mapped, once
 from .filters import has
 
 #: Name on the command line -> heading.
@@ -121,7 +121,10 @@ _NO_HIST = "array<struct<depth:bigint,n:bigint>>"
 
 
 def grid_of(entries: DataFrame, samples: DataFrame) -> DataFrame:
-    """Every entry in every sample. Samples are few, so this is an array of literals and no join."""
+    """Every entry in every sample; with several headers (``header`` in both), in those samples whose header has it. With one, samples are an
+    array of literals and no join."""
+    if "header" in entries.columns:
+        return entries.join(samples.select("sample_idx", "header"), "header").drop("header")
     ids = [r["sample_idx"] for r in samples.select("sample_idx").collect()]
     return entries.select("*", F.explode(F.array(*map(F.lit, ids)).cast("array<int>")).alias("sample_idx"))
 
@@ -131,7 +134,7 @@ def _every(entries: DataFrame, rows: DataFrame, samples: DataFrame, key: list[st
     joined = grid_of(entries, samples).join(summary(rows, key, ["more", *COUNTS]), key, "left")
     zero = F.lit(0).cast("bigint")
     return joined.select(
-        *key, *(c for c in entries.columns if c not in (*key, "bases", "windowed")), (F.col("windowed") + F.coalesce("more", zero)).cast("bigint").alias("windowed"), "bases", F.coalesce(F.col(reads), zero).alias("reads"),
+        *key, *(c for c in entries.columns if c not in (*key, "bases", "windowed", "header")), (F.col("windowed") + F.coalesce("more", zero)).cast("bigint").alias("windowed"), "bases", F.coalesce(F.col(reads), zero).alias("reads"),
         F.coalesce(F.col(same), F.lit(0.0)).alias("identity"), F.col("n_all").isNotNull().alias("seen"), *(F.coalesce(c, zero).alias(c) for c in ("s1", "s2", "covered", "covered_full")), "least", F.coalesce("hist", F.array().cast(_NO_HIST)).alias("hist"),
     )
 
@@ -182,12 +185,16 @@ def metrics(every: DataFrame, key: list[str], o: Options, trimmed: bool = True)
     return every.select(*key, "seen", "reads", *shown)
 
 
+def _header(contigs: DataFrame) -> list[str]:
+    return ["header"] if "header" in contigs.columns else []
+
+
 def _contig_entries(contigs: DataFrame, o: Options) -> DataFrame:
-    return contigs.select("tid", F.col("contig").alias("entry"), F.col("length").alias("bases"), _cut_unseen(o).alias("windowed"))
+    return contigs.select("tid", F.col("contig").alias("entry"), F.col("length").alias("bases"), _cut_unseen(o).alias("windowed"), *_header(contigs))
 
 
 def _genome_entries(own: DataFrame, o: Options, key: list[str]) -> DataFrame:
-    return own.groupBy(*key).agg(F.sum("length").cast("bigint").alias("bases"), F.sum(_cut_unseen(o)).cast("bigint").alias("windowed"))
+    return own.groupBy(*key, *_header(own)).agg(F.sum("length").cast("bigint").alias("bases"), F.sum(_cut_unseen(o)).cast("bigint").alias("windowed"))
 
 
 def by_contig(used: DataFrame, contigs: DataFrame, samples: DataFrame, o: Options = Options(), trimmed: bool = True) -> DataFrame:
@@ -203,7 +210,7 @@ def by_genome(used: DataFrame, contigs: DataFrame, samples: DataFrame, o: Option
     which reads they count.
     """
     own = contigs.where("genome is not null")
-    rows = depth_rows(used, own, o).join(own.select("tid", "entry_id"), "tid")
+    rows = depth_rows(used, own, o).join(once(own).select("tid", "entry_id"), "tid")
     every = _every(_genome_entries(own, o, ["entry_id", "genome"]), rows, samples, ["sample_idx", "entry_id"], *_COUNTED[mode])
     return metrics(every, ["sample_idx", "entry_id", "genome"], o, trimmed).withColumnRenamed("genome", "entry")
 
@@ -239,7 +246,7 @@ def histogram(used: DataFrame, contigs: DataFrame, samples: DataFrame, o: Option
     if key == "tid":
         entries = _contig_entries(contigs, o).drop("entry")
     else:
-        rows, entries = rows.join(contigs.select("tid", key), "tid"), _genome_entries(contigs, o, [key])
+        rows, entries = rows.join(once(contigs).select("tid", key), "tid"), _genome_entries(contigs, o, [key])
     every = _every(entries, rows, samples, keys, *_COUNTED["contig"]).where("seen and windowed > 0")
     kept = every.where(ratio(F.col("covered"), F.col("windowed")) >= o.min_covered_fraction)
     zero = F.struct(F.lit(0).cast("bigint").alias("depth"), (F.col("windowed") - F.col("covered")).cast("bigint").alias("n_bases"))

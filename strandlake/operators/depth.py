@@ -18,6 +18,11 @@ BIN = 1 << 16
 COUNTS = ["n_all", "n_no_sup", "n_primary", "same_primary", "same_no_sup"]
 
 
+def once(contigs: DataFrame) -> DataFrame:
+    """Contigs without the headers that have them, a row each."""
+    return contigs.drop("header").distinct() if "header" in contigs.columns else contigs
+
+
 def mapped(alignments: DataFrame) -> DataFrame:
     return alignments.where(~has(UNMAPPED) & F.col("tid").isNotNull() & (F.col("tid") >= 0))
 
@@ -39,7 +44,7 @@ def _ends(bin_size: int) -> Column:
 def deltas(alignments: DataFrame, contigs: DataFrame, bin_size: int = BIN) -> DataFrame:
     """(sample_idx, tid, length, bin, pos, delta): changes of depth, those at one place added up. What lies beyond the contig
     does not count."""
-    rows = block_rows(alignments).join(contigs.select("tid", "length"), "tid")
+    rows = block_rows(alignments).join(once(contigs).select("tid", "length"), "tid")
     inside = rows.select("sample_idx", "tid", "length", "s", F.least("e", "length").alias("e")).where("s < e")
     cut = inside.withColumn("bin", F.explode(_bins(bin_size)))
     ends = cut.select("sample_idx", "tid", "length", "bin", F.inline(_ends(bin_size)))
@@ -55,7 +60,7 @@ def counted_runs(alignments: DataFrame, contigs: DataFrame, bin_size: int = BIN)
     walk = F.inline(F.array(walked(F.col("cigar"), F.col("pos"))))
     marked = mapped(alignments).select("sample_idx", "tid", "nm", (~sup).alias("no_sup"), (~sup & ~sec).alias("primary"), walk)
     same = F.when(F.col("aligned") > 0, (F.col("aligned") - F.col("nm")) / F.col("aligned")).otherwise(F.lit(0.0))
-    rows = marked.join(contigs.select("tid", "length"), "tid").select("sample_idx", "tid", "length", "no_sup", "primary", same.alias("same"), "out")
+    rows = marked.join(once(contigs).select("tid", "length"), "tid").select("sample_idx", "tid", "length", "no_sup", "primary", same.alias("same"), "out")
     # Each record is a row without a block, which is counted, and a row for each block.
     itself = F.array(F.struct(F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("e")))
     parts = rows.select("sample_idx", "tid", "length", "no_sup", "primary", "same", F.inline(F.concat(itself, "out"))).withColumn("e", F.least("e", "length")).where("s is null or s < e")

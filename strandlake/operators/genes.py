@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.cigar import identity
 from ..schema import SECONDARY, SUPPLEMENTARY
 from .coverage import Options, grid_of, metrics, summary
-from .depth import BIN, mapped, segments
+from .depth import BIN, mapped, once, segments
 from .filters import has
 
 
@@ -16,7 +16,7 @@ def placed_genes(genes: DataFrame, contigs: DataFrame) -> DataFrame:
     """(tid, entry_id, entry, start, end, length): genes on known contigs, clamped to them; what is empty then is dropped.
     Genes are numbered by contig, start and line. With a ``genome`` column in ``contigs``, those without one are dropped."""
     known = contigs.where("genome is not null") if "genome" in contigs.columns else contigs
-    more = ["genome"] if "genome" in contigs.columns else []
+    more = [c for c in ("genome", "header") if c in contigs.columns]
     rows = genes.join(known.select("tid", "contig", F.col("length").alias("contig_length"), *more), "contig")
     clamped = rows.withColumn("end", F.least("end", "contig_length")).where("start < end")
     order = F.struct(F.col("tid").cast("bigint"), "start", "line_no")
@@ -30,7 +30,7 @@ def _bins(start: str, end: str, size: int):
 def by_gene(used: DataFrame, genes: DataFrame, contigs: DataFrame, samples: DataFrame, o: Options = Options(), trimmed: bool = True) -> DataFrame:
     """A row per sample and placed gene. Depth counts what overlaps a gene; a read counts for the gene that its leftmost
     place is in, and only primary reads do. Ends of genes are excluded like those of contigs."""
-    at = genes.select("entry_id", "entry", "tid", "start", "end", "length", _bins("start", "end", BIN).alias("bin"))
+    at = once(genes).select("entry_id", "entry", "tid", "start", "end", "length", _bins("start", "end", BIN).alias("bin"))
     reads = mapped(used).where(~has(SECONDARY) & ~has(SUPPLEMENTARY)).select("sample_idx", "tid", "pos", identity(F.col("cigar"), F.col("nm")).alias("same"), F.floor(F.col("pos") / BIN).alias("bin"))
     inside = reads.join(at, ["tid", "bin"]).where("pos >= start and pos < end").groupBy("sample_idx", "entry_id").agg(F.count("*").alias("reads"), F.sum("same").alias("identity"))
     segs = segments(used, contigs).select("sample_idx", "tid", "depth", F.col("start").alias("s"), F.col("end").alias("e"), F.floor(F.col("start") / BIN).alias("bin"))
@@ -39,7 +39,7 @@ def by_gene(used: DataFrame, genes: DataFrame, contigs: DataFrame, samples: Data
     full = F.least("e", "end") - F.greatest("s", "start")
     window = F.greatest(F.lit(0), F.least(F.col("e"), F.col("end") - e) - F.greatest(F.col("s"), F.col("start") + e))
     rows = both.select("sample_idx", "entry_id", "depth", full.alias("n_full"), window.alias("n_window"))
-    grid = grid_of(genes.select("entry_id", "entry", "length"), samples)
+    grid = grid_of(genes.select("entry_id", "entry", "length", *(["header"] if "header" in genes.columns else [])), samples)
     key = ["sample_idx", "entry_id"]
     joined = grid.join(inside, key, "left").join(summary(rows, key, []), key, "left")
     zero = F.lit(0).cast("bigint")

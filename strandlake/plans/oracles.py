@@ -188,3 +188,13 @@ SQL |= {
     "source_quality_genomes": "WITH g AS (SELECT DISTINCT p_brand AS genome, cast(regexp_extract(p_brand, '(\\d+)$', 1) AS int) AS i FROM part WHERE p_partkey % 10 <> 9) SELECT genome FROM g WHERE i % 5 <> 0 AND i + 40 >= 60 AND i % 7 <= 4",
     "stream_incremental_counts": f"WITH {_ALNS},{_depth(_USED, 75)} SELECT sample, cast(tid AS int) AS tid, n_all, n_no_sup, n_primary FROM ct",
 }
+
+# Headers that differ: a sample has the contigs whose number, divided by 3, does not leave its own.
+_OWN = "cast(regexp_extract(entry, '(\\d+)$', 1) AS int) % 3 <> CASE sample WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+_OWN_TID = "tid % 3 <> CASE sample WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+SQL |= {
+    "headers_sam_contig_mean": _contig(["mean", "covered_bases", "length"], extra=f"WHERE {_OWN}"),
+    "headers_bam_contig_mean": _contig(["mean", "covered_bases", "length"], extra=f"WHERE {_OWN}"),
+    "headers_dense_matrix": f"{_contig_start()} SELECT entry AS contig, " + ", ".join(f"coalesce(round(max(mean) FILTER (sample = '{n}' AND {_OWN}), 6), 0.0) AS {n}_mean" for n in "ANR") + " FROM m GROUP BY entry",
+    "headers_genome_mean": f"WITH {_ALNS},{_depth(_USED, 75)},{_stats('genome', 'n_no_sup', 'same_primary', 0.0, _OWN_TID)} SELECT sample, entry, {_rounded(['mean', 'length'])} FROM m",
+}

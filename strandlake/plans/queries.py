@@ -14,7 +14,8 @@ from ..operators.coverage import Options
 from ..operators.filters import METABAT, Flags, Thresholds, has, pair_filter, single_filter, threshold_filter, usable
 from ..schema import ALIGNMENTS, UNMAPPED
 from ..scratch import new_folder
-from ..sources import binary, text
+from ..sources import binary, files, text
+from ..sources.headers import Headers
 from ..streaming.incremental import CoverageState
 from . import testbed
 
@@ -187,9 +188,63 @@ def _sam_files(spark: SparkSession, sf_dir: str) -> list[str]:
 def source_sam_contig_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``contig_mean`` by way of SAM files."""
     paths = _sam_files(spark, sf_dir)
-    alns, contigs = text.sam(spark, paths), text.sam_contigs(spark, paths[0])
-    samples = cov.samples_of(alns)
-    return _shown(cov.by_contig(usable(alns, Thresholds(), DEFAULT), contigs, samples, trimmed=False), samples, ["mean"])
+    alns, headers = text.sam_and_headers(spark, paths)
+    samples = headers.samples(cov.samples_of(alns))
+    return _shown(cov.by_contig(usable(alns, Thresholds(), DEFAULT), headers.contigs, samples, trimmed=False), samples, ["mean"])
+
+
+def _own_header(contigs: DataFrame, k: int) -> DataFrame:
+    """Two thirds of the contigs, other ones and in another order for each sample k, with their ``place``."""
+    order = [F.col("tid"), -F.col("tid"), F.pmod(F.col("tid") * 7919, F.lit(1009)) * 1_000_000 + F.col("tid")][k]
+    return files.numbered(contigs.where(F.col("tid") % 3 != k), order, "place").withColumn("place", F.col("place").cast("int"))
+
+
+def _mixed_sam(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Headers]:
+    """Three samples as SAM files with different headers."""
+    root, contigs = new_folder(spark, "mixed-sam"), testbed.contigs(spark, sf_dir)
+    alns, c, paths = testbed.alignments(spark, sf_dir), F.col, []
+    for k, sample in enumerate("ANR"):
+        own = _own_header(contigs, k)
+        path = _as_text(own.orderBy("place").coalesce(1), ["@SQ", F.concat(F.lit("SN:"), "contig"), F.concat(F.lit("LN:"), "length")], f"{root}/{sample}.sam")
+        fields = [c("qname"), c("flag"), c("contig"), c("pos") + 1, c("mapq"), c("cigar"), "=", c("mpos") + 1, c("tlen"), "*", "*", F.concat(F.lit("NM:i:"), c("nm")), F.concat(F.lit("AS:i:"), c("align_score"))]
+        paths.append(_as_text(alns.where(c("sample") == sample).join(own.select("tid", "contig"), "tid"), fields, path, "append"))
+    return text.sam_and_headers(spark, paths)
+
+
+def _mixed_bam(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Headers]:
+    """The same as BAM files, whose records hold numbers of their own header."""
+    root, contigs, alns, paths = new_folder(spark, "mixed-bam"), testbed.contigs(spark, sf_dir), testbed.alignments(spark, sf_dir), []
+    for k, sample in enumerate("ANR"):
+        own = _own_header(contigs, k)
+        rows = alns.where(F.col("sample") == sample).join(own.select("tid", "place"), "tid").withColumns({"tid": F.col("place"), "mtid": F.col("place")}).drop("place")
+        paths.append(f"{root}/{sample}.bam")
+        binary.write_bam(rows, own.select(F.col("place").alias("tid"), "contig", "length"), paths[-1])
+    return binary.bam_and_headers(spark, paths, 1 << 20)
+
+
+def _mixed(read: Callable[[SparkSession, str], tuple[DataFrame, Headers]]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        alns, headers = read(spark, sf_dir)
+        samples = headers.samples(cov.samples_of(alns))
+        return _shown(cov.by_contig(usable(alns, Thresholds(), DEFAULT), headers.contigs, samples, trimmed=False), samples, ["mean", "covered_bases", "length"])
+
+    return run
+
+
+def headers_dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each contig of any header; what a sample's own header does not have is 0 there."""
+    alns, headers = _mixed_sam(spark, sf_dir)
+    stats = cov.by_contig(usable(alns, Thresholds(), DEFAULT), headers.contigs, headers.samples(cov.samples_of(alns)), trimmed=False)
+    wide = present.dense(stats, [(0, "A"), (1, "N"), (2, "R")], ["mean"])
+    return wide.select(F.col("Contig").alias("contig"), *(F.round(F.col(f"`{n} Mean`"), 6).alias(f"{n}_mean") for n in "ANR"))
+
+
+def headers_genome_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genomes are made of the contigs that a sample's own header has."""
+    alns, headers = _mixed_sam(spark, sf_dir)
+    samples = headers.samples(cov.samples_of(alns))
+    stats = cov.by_genome(usable(alns, Thresholds(), DEFAULT), cov.contigs_by_separator(headers.contigs), samples, mode="separator", trimmed=False)
+    return _shown(stats, samples, ["mean", "length"])
 
 
 def source_gff_gene_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,9 +270,9 @@ def source_bam_contig_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [f"{root}/{sample}.bam" for sample in "ANR"]
     for sample, path in zip("ANR", paths):
         binary.write_bam(alns.where(F.col("sample") == sample), contigs, path)
-    read, named = spark.read.format("bam").option("split_bytes", 1 << 20).load(",".join(paths)), binary.bam_contigs(spark, paths[0])
-    samples = cov.samples_of(read)
-    return _shown(cov.by_contig(usable(read, Thresholds(), DEFAULT), named, samples, trimmed=False), samples, ["mean"])
+    read, headers = binary.bam_and_headers(spark, paths, 1 << 20)
+    samples = headers.samples(cov.samples_of(read))
+    return _shown(cov.by_contig(usable(read, Thresholds(), DEFAULT), headers.contigs, samples, trimmed=False), samples, ["mean"])
 
 
 def source_fasta_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,6 +355,10 @@ QUERIES: dict[str, Query] = {
     "definition_join": definition_join,
     "unassigned_contigs": unassigned_contigs,
     "source_sam_contig_mean": source_sam_contig_mean,
+    "headers_sam_contig_mean": _mixed(_mixed_sam),
+    "headers_bam_contig_mean": _mixed(_mixed_bam),
+    "headers_dense_matrix": headers_dense_matrix,
+    "headers_genome_mean": headers_genome_mean,
     "source_gff_gene_mean": source_gff_gene_mean,
     "source_definition_join": source_definition_join,
     "source_bam_contig_mean": source_bam_contig_mean,
