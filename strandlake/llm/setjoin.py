@@ -11,7 +11,7 @@ sets are one node first. What brings nodes together depends on their size (Deng,
 * **The boundary** between them is the size with the least cost: rows of subsets below it, and above it entries of lists, each counted with
   the mean length of a list. Sizes and lists are counted over all documents; the result is the same with any boundary.
 
-Of heavy sets, only the window of the smallest hashes is sent, about 0.4 of the set: linked sets have a fifth of their size in common
+Of heavy sets, only the window of the smallest hashes is sent, about 0.3 of the set: linked sets have a tenth of their size in common
 there. A shingle of one set only can't link anything, and a set with too few others (less than ``shared_least``) has no links; so most
 documents are done after one count of shingles. No row is made for a pair of a list or of a subset: members are compared with the smallest
 one, and lists whose members still are apart are cut into tiles, by the machinery of ``neardup``. There, pairs are left out by size and by a
@@ -53,7 +53,7 @@ def overlap(n: int) -> int:
 
 def window(n: int) -> int:
     """How many shingles, those with the smallest hashes, a set of this size sends."""
-    return n if n < MOST_LIGHT else n - overlap(n) + n // 5
+    return n if n < MOST_LIGHT else n - overlap(n) + n // 10
 
 
 def shared_least(n: int) -> int:
@@ -111,7 +111,7 @@ def _items(nodes: DataFrame) -> DataFrame:
 
 def _least(n: Column) -> Column:
     """``shared_least`` as an expression."""
-    least = lambda m: F.ceil(m * PERCENT / 100) - m + F.when(m < MOST_LIGHT, m).otherwise(m - F.ceil(m * PERCENT / 100) + F.floor(m / 5))
+    least = lambda m: F.ceil(m * PERCENT / 100) - m + F.when(m < MOST_LIGHT, m).otherwise(m - F.ceil(m * PERCENT / 100) + F.floor(m / 10))
     own, smallest = least(n), F.greatest(F.lit(MOST_LIGHT), F.ceil(n * PERCENT / 100))
     return F.when(n * 100 < PERCENT * MOST_LIGHT, own).otherwise(F.least(own, least(smallest))).cast("int")
 
@@ -131,18 +131,18 @@ def buckets_of(nodes: DataFrame, at: int | None = None) -> DataFrame:
     items = _items(nodes)
     several = items.groupBy("item").agg(F.count("*").alias("lists")).where("lists > 1")
     shared = items.hint("merge").join(several, "item")
-    # A set's own shingles only: as many as its window has.
-    listed = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("lists", "item"))).alias("items")).hint("merge").join(nodes.select("node", "n"), "node")
-    open_ = stored(listed.withColumn("least", _least(F.col("n"))).where("size(items) >= least"), "shared")
+    # As many as a set's window has, at most; of these only the first ones are used.
+    listed = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("lists", "item"))).alias("all")).hint("merge").join(nodes.select("node", "n"), "node")
+    enough = listed.withColumn("least", _least(F.col("n"))).where("size(all) >= least")
+    open_ = stored(enough.select("node", "n", "least", F.slice("all", 1, F.size("all") - F.col("least") + SUBSET).alias("first"), (F.size("all") - F.col("least") + 1).alias("lists")), "shared")
     if at is None:
-        facts = open_.agg(F.sum(F.aggregate("items", F.lit(0.0), lambda a, x: a + x["lists"])).alias("all"), F.sum(F.size("items")).alias("n")).first()
+        facts = open_.agg(F.sum(F.aggregate("first", F.lit(0.0), lambda a, x: a + x["lists"])).alias("all"), F.sum(F.size("first")).alias("n")).first()
         small = {r["n"]: r["count"] for r in open_.where(F.col("n") < MOST_LIGHT).groupBy("n").count().collect()}  # fewer rows than MOST_LIGHT
         at = boundary(small, facts["all"] / facts["n"] if facts["n"] else 1.0)
-    rare = lambda more: F.transform(F.slice("items", 1, F.size("items") - F.col("least") + more), lambda x: x["item"])
-    of_light = open_.where((F.col("n") < at) & (F.col("least") >= SUBSET)).select("node", rare(SUBSET).alias("i"))
-    two = F.flatten(F.transform("i", lambda x, k: F.transform(F.slice("i", k + 2, F.size("i")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    of_heavy = open_.where(100 * F.col("n") >= PERCENT * at).select("node", F.transform(rare(1), lambda x: F.xxhash64(x)).alias("keys"))
-    keys = stored(of_light.select("node", two.alias("keys")).union(of_heavy).select("node", F.explode("keys").alias("key")), "keys")
+    two = F.flatten(F.transform("first", lambda x, k: F.transform(F.slice("first", k + 2, F.size("first")), lambda y: F.xxhash64(F.least(x["item"], y["item"]), F.greatest(x["item"], y["item"])))))
+    of_light = open_.where((F.col("n") < at) & (F.col("least") >= SUBSET)).select("node", F.explode(two).alias("key"))
+    of_heavy = open_.where(100 * F.col("n") >= PERCENT * at).select("node", F.explode(F.slice("first", 1, F.col("lists"))).alias("x")).select("node", F.xxhash64("x.item").alias("key"))
+    keys = stored(of_light.union(of_heavy), "keys")
     pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
     return stored(keys.hint("merge").join(pivots, "key"), "buckets")
 
