@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.numeric import percentage
 from .mapping import run
 from .mapping.commands import MAPPERS, ReadSet, read_sets, sample_name
-from .operators import cluster, coverage, genes, normalise, present, shard
+from .operators import cluster, coverage, fragments, genes, normalise, present, shard
 from .operators.coverage import Options
 from .operators.filters import METABAT, Flags, Thresholds, has, threshold_filter, usable
 from .schema import UNMAPPED
@@ -41,6 +41,9 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--min-completeness", type=float, default=0.0)
         c.add_argument("--max-contamination", type=float, default=100.0)
         c.add_argument(f"--{prefix}ani", dest="ani", type=float, default=95.0)
+        c.add_argument(f"--{prefix}prethreshold-ani", dest="prethreshold_ani", type=float, default=90.0, help="sketches at least so alike are compared fragment by fragment")
+        c.add_argument(f"--{prefix}aligned-fraction", f"--{prefix}min-aligned-fraction", dest="aligned_fraction", type=float, default=15.0)
+        c.add_argument(f"--{prefix}fragment-length", dest="fragment_length", type=int, default=fragments.FRAGMENT)
         c.add_argument(f"--{prefix}quality-formula", dest="quality_formula", choices=list(cluster.FORMULAS), default="completeness-4contamination")
         c.add_argument("--reference-genomes", nargs="+", default=[], help="FASTA files of genomes that are representatives beforehand")
 
@@ -170,18 +173,29 @@ def parts_of(spark: SparkSession, a: argparse.Namespace, genomes: DataFrame | No
     return shard.best_shard(rows, contigs, excluded), shard.merged_contigs(contigs).select("tid", "contig", "length")
 
 
+def similar_genomes(sequences: DataFrame, ani: float, first_ani: float, share: float, fragment_length: int) -> DataFrame:
+    """(a, b, ani): pairs whose sketches are ``first_ani`` alike, and which fragment by fragment are ``ani`` alike over a ``share`` of their fragments. Pairs of
+    genomes too small for a fragment are judged by their sketches."""
+    pairs = written(cluster.similar(written(cluster.sketches(sequences), "sketches"), min(ani, first_ani)), "pairs")
+    wanted = pairs.select(F.col("a").alias("genome")).union(pairs.select("b")).distinct()
+    hashes = written(fragments.fragment_hashes(sequences.join(wanted, "genome", "left_semi"), fragment_length), "fragments")
+    known = fragments.identities(pairs, hashes).withColumnsRenamed({"ani": "_ani", "share": "_share"})
+    judged = pairs.join(known, ["a", "b"], "left").select("a", "b", F.when(F.col("_share").isNull(), F.col("ani")).otherwise(F.col("_ani")).alias("ani"), F.coalesce("_share", F.lit(1.0)).alias("share"))
+    return judged.where((F.col("ani") >= ani) & (F.col("share") >= share)).select("a", "b", "ani")
+
+
 def clusters(spark: SparkSession, a: argparse.Namespace, paths: Sequence[str]) -> DataFrame:
     """(representative, member) of genome files, by the options of quality and identity."""
     every = [*a.reference_genomes, *(p for p in paths if p not in a.reference_genomes)]
     genomes = spark.createDataFrame([(text.genome_stem(p), i, i < len(a.reference_genomes)) for i, p in enumerate(every)], "genome string, genome_idx int, given boolean")
-    sequences = text.genome_sequences(spark, every).select("genome", "seq")
+    sequences = text.genome_sequences(spark, every).select("genome", "contig", "seq")
     quality = text.quality(spark, a.quality_table) if a.quality_table else None
     if quality is not None:
         genomes = genomes.where("given").unionByName(text.good_genomes(genomes.where("not given"), quality, a.min_completeness, a.max_contamination))
         sequences = sequences.join(genomes.select("genome"), "genome", "left_semi")
         if a.quality_formula in cluster.OF_SEQUENCES:
             quality = quality.join(cluster.genome_stats(sequences), "genome")
-    edges = cluster.similar(written(cluster.sketches(sequences), "sketches"), percentage(a.ani))
+    edges = similar_genomes(sequences, percentage(a.ani), percentage(a.prethreshold_ani), percentage(a.aligned_fraction), a.fragment_length)
     return cluster.representatives(cluster.ranked(genomes, quality, a.quality_formula), edges)
 
 

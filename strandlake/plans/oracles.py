@@ -198,3 +198,22 @@ SQL |= {
     "headers_dense_matrix": f"{_contig_start()} SELECT entry AS contig, " + ", ".join(f"coalesce(round(max(mean) FILTER (sample = '{n}' AND {_OWN}), 6), 0.0) AS {n}_mean" for n in "ANR") + " FROM m GROUP BY entry",
     "headers_genome_mean": f"WITH {_ALNS},{_depth(_USED, 75)},{_stats('genome', 'n_no_sup', 'same_primary', 0.0, _OWN_TID)} SELECT sample, entry, {_rounded(['mean', 'length'])} FROM m",
 }
+
+_SETS = """
+w AS (SELECT doc_id, n_chars, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+sh AS (SELECT doc_id, n_chars, list_sort(list_distinct([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, len(w) - 1)])) AS s FROM w WHERE len(w) >= 3),
+sets AS (SELECT s, min(doc_id) AS id, max(n_chars) AS size FROM sh GROUP BY s),
+it AS (SELECT id, len(s) AS n, unnest(s) AS item FROM sets),
+pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS common, x.n AS n_a, y.n AS n_b FROM it x JOIN it y USING (item) WHERE x.id < y.id GROUP BY ALL HAVING 2 * count(*) >= x.n + y.n - count(*))"""
+
+SQL |= {
+    "cluster_candidates": f"WITH {_SETS} SELECT a, b, common, n_a::bigint AS n_a, n_b::bigint AS n_b FROM pairs",
+    "cluster_representatives": f"""WITH RECURSIVE {_SETS},
+rk AS (SELECT id, row_number() OVER (ORDER BY size DESC, id) AS k FROM sets WHERE id IN (SELECT a FROM pairs UNION SELECT b FROM pairs)),
+near AS (SELECT greatest(x.k, y.k) AS k, least(x.k, y.k) AS better, common / (n_a + n_b - common)::double AS j FROM pairs JOIN rk x ON x.id = a JOIN rk y ON y.id = b),
+steps AS (SELECT rk.k, coalesce(list(better) FILTER (better IS NOT NULL), []) AS better FROM rk LEFT JOIN near USING (k) GROUP BY rk.k),
+pass(k, chosen) AS (SELECT 0::bigint, []::bigint[] UNION ALL SELECT s.k, CASE WHEN list_has_any(s.better, p.chosen) THEN p.chosen ELSE list_append(p.chosen, s.k) END FROM pass p JOIN steps s ON s.k = p.k + 1),
+chosen AS (SELECT unnest(arg_max(chosen, k)) AS k FROM pass),
+goes AS (SELECT near.k, arg_min(better, (-j, better)) AS target FROM near JOIN chosen c ON c.k = near.better WHERE near.k NOT IN (SELECT k FROM chosen) GROUP BY near.k)
+SELECT coalesce(r.id, sets.id) AS representative, sets.id AS member FROM sets LEFT JOIN rk ON rk.id = sets.id LEFT JOIN goes ON goes.k = rk.k LEFT JOIN rk r ON r.k = goes.target""",
+}

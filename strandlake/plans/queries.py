@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar
 from ..operators import coverage as cov
-from ..operators import depth, genes, normalise, present, shard
+from ..operators import cluster, depth, genes, normalise, present, shard
 from ..operators.coverage import Options
 from ..operators.filters import METABAT, Flags, Thresholds, has, pair_filter, single_filter, threshold_filter, usable
+from ..operators.setjoin import similar_pairs
 from ..schema import ALIGNMENTS, UNMAPPED
-from ..scratch import new_folder
+from ..scratch import new_folder, written
 from ..sources import binary, files, text
 from ..sources.headers import Headers
 from ..streaming.incremental import CoverageState
@@ -302,6 +303,39 @@ def stream_incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.counts().join(samples.select("sample_idx", "sample"), "sample_idx").select("sample", "tid", "n_all", "n_no_sup", "n_primary")
 
 
+#: Least Jaccard index of documents that are candidates, and words of a shingle.
+DOCUMENTS_ALIKE, DOCUMENT_SHINGLE = 0.5, 3
+
+
+def _document_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, size, items): the distinct sets of shingles of all documents, each told by its smallest doc_id; ``size`` is its longest text's."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    words = F.regexp_extract_all(F.translate("text", upper, upper.lower()), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    # In an array of its own, so that words are found once and not again for each shingle.
+    rows = docs.select("doc_id", "n_chars", F.explode(F.array(words)).alias("w")).where(F.size("w") >= DOCUMENT_SHINGLE)
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - DOCUMENT_SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, DOCUMENT_SHINGLE), " "))
+    sets = rows.select("doc_id", "n_chars", F.array_sort(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x)))).alias("items"))
+    return written(sets.groupBy("items").agg(F.min("doc_id").alias("id"), F.max("n_chars").alias("size")), "document-sets")
+
+
+def _document_pairs(sets: DataFrame) -> DataFrame:
+    return similar_pairs(sets.select("id", F.explode("items").alias("item")), DOCUMENTS_ALIKE)
+
+
+def cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different sets of shingles that are alike, by the join that finds similar genomes."""
+    return _document_pairs(_document_sets(spark, sf_dir)).select("a", "b", F.col("common").cast("long").alias("common"), F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"))
+
+
+def cluster_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each set with its representative: longer texts come first, and the most similar representative is taken."""
+    sets = _document_sets(spark, sf_dir)
+    pairs = _document_pairs(sets)
+    edges = pairs.select("a", "b", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("ani"))
+    return cluster.representatives(sets.select(F.col("id").alias("genome"), F.struct((-F.col("size")).alias("size"), "id").alias("order")), edges)
+
+
 _ALL = ["mean", "trimmed_mean", "covered_fraction", "covered_bases", "variance", "length", "count", "reads_per_base", "anir"]
 
 QUERIES: dict[str, Query] = {
@@ -352,6 +386,8 @@ QUERIES: dict[str, Query] = {
     "dense_matrix": dense_matrix,
     "depth_segments": depth_segments,
     "cigar_blocks": cigar_blocks,
+    "cluster_candidates": cluster_candidates,
+    "cluster_representatives": cluster_representatives,
     "definition_join": definition_join,
     "unassigned_contigs": unassigned_contigs,
     "source_sam_contig_mean": source_sam_contig_mean,
