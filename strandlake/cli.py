@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.numeric import percentage
 from .mapping import run
 from .mapping.commands import MAPPERS, ReadSet, read_sets, sample_name
-from .operators import cluster, coverage, fragments, genes, normalise, present, shard
+from .operators import cluster, coverage, fragments, genes, normalise, order, present, shard
 from .operators.coverage import Options
 from .operators.filters import METABAT, Flags, Thresholds, has, threshold_filter, usable
 from .schema import UNMAPPED
@@ -50,7 +50,7 @@ def _parser() -> argparse.ArgumentParser:
     def common(name: str, help_: str) -> argparse.ArgumentParser:
         c = sub.add_parser(name, help=help_)
         c.add_argument("-b", "--bam-files", nargs="+", default=[], required=name == "filter", help="SAM or BAM files, a sample each")
-        c.add_argument("-o", "--output-file", default="-")
+        c.add_argument("-o", "--output-file", **({"nargs": "+", "required": True} if name == "filter" else {"default": "-"}))
         for kind in ("", "-pair"):
             c.add_argument(f"--min-read-aligned-length{kind}", type=int, default=0)
             c.add_argument(f"--min-read-percent-identity{kind}", type=percentage_option, default=0.0)
@@ -70,6 +70,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--contig-end-exclusion", type=int, default=75)
         c.add_argument("--output-format", choices=["dense", "sparse"], default="dense")
         c.add_argument("--no-zeros", action="store_true")
+        c.add_argument("--check-sorted", action="store_true", help="fail if a file is not sorted by reference; no operator needs it to be")
         c.add_argument("--gff")
         c.add_argument("--gff-feature-type")
         reads(c)
@@ -110,11 +111,35 @@ def thresholds(a: argparse.Namespace) -> tuple[Thresholds, Flags]:
     return t, Flags(improper=not (a.proper_pairs_only or t.any_pair), secondary=a.include_secondary, supplementary=not a.exclude_supplementary)
 
 
-def alignments(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, Headers]:
-    """Alignments of SAM or BAM files and the headers of these."""
+def alignments(spark: SparkSession, paths: Sequence[str], whole: bool = False) -> tuple[DataFrame, Headers]:
+    """Alignments of SAM or BAM files and the headers of these; ``whole``: with the records themselves, to be written."""
     if all(p.endswith(".bam") for p in paths):
-        return binary.bam_and_headers(spark, list(paths))
-    return text.sam_and_headers(spark, list(paths))
+        return binary.bam_and_headers(spark, list(paths), more="raw" if whole else "")
+    return text.sam_and_headers(spark, list(paths), ["line"] if whole else [])
+
+
+def check_sorted(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Raise ValueError if a file is not sorted by its own header."""
+    if all(p.endswith(".bam") for p in paths):
+        binary.register(spark)
+        order.check_sorted(spark.read.format("bam").option("more", "place").load(",".join(paths)))
+    else:
+        for p in paths:
+            order.check_sorted(text.sam(spark, [p], more=["place"]))
+
+
+def filtered(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Write what passes, whole: a sorted folder of BAM files for each input, or all of it as Parquet."""
+    t, flags = thresholds(a)
+    if not all(o.endswith(".bam") for o in a.output_file):
+        rows, _ = alignments(spark, a.bam_files)
+        threshold_filter(rows, t, flags, a.inverse, exact=True).write.mode("overwrite").parquet(a.output_file[0])
+        return
+    if len(a.output_file) != len(a.bam_files):
+        raise ValueError("give an output for each input, or one that is Parquet")
+    for path, out in zip(a.bam_files, a.output_file):
+        rows, headers = alignments(spark, [path], whole=True)
+        binary.write_bam(threshold_filter(rows, t, flags, a.inverse, exact=True), path if path.endswith(".bam") else headers.contigs, out)
 
 
 def _sets(a: argparse.Namespace) -> list[ReadSet]:
@@ -126,7 +151,8 @@ def mapped(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataF
     if not a.reference:
         raise ValueError("give alignments, or reads and a reference")
     contigs = written(run.reference_contigs(spark, a.reference), "contigs")
-    return run.mapped(spark, a.mapper, a.reference, _sets(a), a.threads, a.mapper_params, contigs), contigs
+    whole = a.command == "make" or bool(a.bam_file_cache_directory)
+    return run.mapped(spark, a.mapper, a.reference, _sets(a), a.threads, a.mapper_params, contigs, whole), contigs
 
 
 def keep(rows: DataFrame, contigs: DataFrame, a: argparse.Namespace, folder: str) -> None:
@@ -142,6 +168,8 @@ def keep(rows: DataFrame, contigs: DataFrame, a: argparse.Namespace, folder: str
 
 def inputs(spark: SparkSession, a: argparse.Namespace, genomes: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(alignments, contigs, samples) of ``contig`` and ``genome``: of files or of reads, in one part or in shards."""
+    if a.bam_files and a.check_sorted:
+        check_sorted(spark, a.bam_files)
     if a.bam_files and not a.sharded:
         rows, headers = alignments(spark, a.bam_files)
         return rows, headers.contigs, headers.samples(coverage.samples_of(rows))
@@ -218,11 +246,11 @@ def abundance_table(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """What the mapper's abundance mode says of each contig."""
     if a.bam_files or len(a.reference) != 1 or a.mapper != "strobealign":
         raise ValueError("strobealign-aemb needs reads and one reference, and is done by strobealign")
-    order = [(k, sample_name(a.reference[0], s)) for k, s in enumerate(_sets(a))]
+    names = [(k, sample_name(a.reference[0], s)) for k, s in enumerate(_sets(a))]
     stats = run.abundances(spark, a.reference[0], _sets(a), a.threads, a.mapper_params)
     if a.output_format == "dense":
-        return present.dense(stats, order, a.methods, as_text=True)
-    return present.sparse(stats.drop("sample"), spark.createDataFrame(order, "sample_idx int, sample string"), a.methods, as_text=True)
+        return present.dense(stats, names, a.methods, as_text=True)
+    return present.sparse(stats.drop("sample"), spark.createDataFrame(names, "sample_idx int, sample string"), a.methods, as_text=True)
 
 
 def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -257,9 +285,9 @@ def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         stats = coverage.by_contig(used, contigs, samples, o, trimmed)
     else:
         stats = coverage.by_genome(used, placed, samples, o, mode, trimmed)
-    order = [(r["sample_idx"], r["sample"]) for r in samples.orderBy("sample_idx").collect()]  # a row per input file
+    names = [(r["sample_idx"], r["sample"]) for r in samples.orderBy("sample_idx").collect()]  # a row per input file
     if a.methods == ["metabat"]:
-        return present.metabat(stats, order)
+        return present.metabat(stats, names)
     totals = coverage.totals(stats, samples, a.methods)
     final = normalise.normalised(stats, totals, exact=True, divide_first=a.output_format == "dense")
     if a.no_zeros:
@@ -269,7 +297,7 @@ def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         left = normalise.unmapped(totals, exact=True)
         final = final.unionByName(left.drop("sample").selectExpr("*", "cast(null as bigint) as entry_id" if not a.gff else "null as entry_id"), allowMissingColumns=True)
     if a.output_format == "dense":
-        return present.dense(final, order, a.methods, entry, as_text=True)
+        return present.dense(final, names, a.methods, entry, as_text=True)
     return present.sparse(final, totals, a.methods, entry, as_text=True)
 
 
@@ -291,15 +319,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if a.command in ("contig", "genome"):
         write_rows(table_of(spark, a), a.output_file)
     elif a.command == "filter":
-        t, flags = thresholds(a)
-        rows, headers = alignments(spark, a.bam_files)
-        kept = threshold_filter(rows, t, flags, a.inverse, exact=True)
-        if a.output_file.endswith(".bam"):
-            if len(a.bam_files) > 1:
-                raise ValueError("a BAM folder has one sample; filter one file at a time, or write Parquet")
-            binary.write_bam(kept, headers.contigs, a.output_file)
-        else:
-            kept.write.mode("overwrite").parquet(a.output_file)
+        filtered(spark, a)
     elif a.command == "make":
         keep(*mapped(spark, a), a, a.output_directory)
     else:

@@ -42,10 +42,10 @@ def reference_contigs(spark: SparkSession, references: Sequence[str]) -> DataFra
 
 
 def mapped(
-    spark: SparkSession, mapper: str, references: Sequence[str], sets: Sequence[ReadSet], threads: int = 1, extra: str = "", contigs: DataFrame | None = None
+    spark: SparkSession, mapper: str, references: Sequence[str], sets: Sequence[ReadSet], threads: int = 1, extra: str = "", contigs: DataFrame | None = None, whole: bool = False
 ) -> DataFrame:
     """Alignments of every read set to every reference; the reference is the ``shard``. With one reference a sample is named by it and its
-    reads, with more of them (parts of one reference) by its reads."""
+    reads, ``whole`` keeps the lines, to be written; with more of them (parts of one reference) by its reads."""
     if not sets:
         raise ValueError("no reads")
     jobs = [(i, r, k, s) for i, r in enumerate(references) for k, s in enumerate(sets)]
@@ -54,8 +54,8 @@ def mapped(
         c("")  # wrong combinations are known before anything runs
     names = [(n, i, k, sample_name(r if len(references) == 1 else None, s)) for n, (i, r, k, s) in enumerate(jobs)]
     told = spark.createDataFrame(names, "job int, shard int, sample_idx int, sample string")
-    rows = text.parsed_sam(_lines(spark, commands).join(F.broadcast(told), "job"), reference_contigs(spark, references) if contigs is None else contigs)
-    return written(rows, "mapped")  # without bases and qualities
+    rows = text.parsed_sam(_lines(spark, commands).join(F.broadcast(told), "job"), reference_contigs(spark, references) if contigs is None else contigs, ["line"] if whole else [])
+    return written(rows, "mapped")
 
 
 def abundances(spark: SparkSession, reference: str, sets: Sequence[ReadSet], threads: int = 1, extra: str = "") -> DataFrame:

@@ -217,3 +217,6 @@ chosen AS (SELECT unnest(arg_max(chosen, k)) AS k FROM pass),
 goes AS (SELECT near.k, arg_min(better, (-j, better)) AS target FROM near JOIN chosen c ON c.k = near.better WHERE near.k NOT IN (SELECT k FROM chosen) GROUP BY near.k)
 SELECT coalesce(r.id, sets.id) AS representative, sets.id AS member FROM sets LEFT JOIN rk ON rk.id = sets.id LEFT JOIN goes ON goes.k = rk.k LEFT JOIN rk r ON r.k = goes.target""",
 }
+
+_TAGS = f"WITH {_ALNS} SELECT concat('group', mapq % 5) AS read_group, count(*) AS n, sum(n1 + n2 + ln)::bigint AS sum_xs, sum(nm)::bigint AS sum_nm FROM (SELECT *, seq_len - n1 - n2 AS ln FROM a) WHERE NOT sec AND NOT unm AND {_IDENT} GROUP BY 1"
+SQL |= {"source_sam_tags": _TAGS, "source_bam_tags": _TAGS}

@@ -248,6 +248,31 @@ def headers_genome_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(stats, samples, ["mean", "length"])
 
 
+def _tagged(read: str) -> Query:
+    """Sums of two tags that nothing else reads, of records that pass a filter: by way of SAM, or of BAM files that are written whole, filtered and
+    written again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, names, c = new_folder(spark, "tagged"), testbed.contigs(spark, sf_dir), F.col
+        alns = testbed.alignments(spark, sf_dir).join(names.select("tid", "contig"), "tid")
+        more = [F.concat(F.lit("XS:i:"), c("seq_len")), F.concat(F.lit("RG:Z:group"), c("mapq") % 5)]
+        fields = [c("qname"), c("flag"), c("contig"), c("pos") + 1, c("mapq"), c("cigar"), "=", c("mpos") + 1, c("tlen"), "*", "*", F.concat(F.lit("NM:i:"), c("nm")), F.concat(F.lit("AS:i:"), c("align_score")), *more]
+        path = _as_text(names.orderBy("tid").coalesce(1), ["@SQ", F.concat(F.lit("SN:"), "contig"), F.concat(F.lit("LN:"), "length")], f"{root}/all.sam")
+        _as_text(alns, fields, path, "append")
+        passing = Thresholds(identity=0.95)
+        if read == "sam":
+            rows = threshold_filter(text.sam(spark, path, more=["tags"]), passing)
+        else:
+            whole, headers = text.sam_and_headers(spark, [path], ["line"])
+            binary.write_bam(whole, headers.contigs, f"{root}/all.bam")
+            kept, _ = binary.bam_and_headers(spark, [f"{root}/all.bam"], 1 << 20, "raw")
+            binary.write_bam(threshold_filter(kept, passing), f"{root}/all.bam", f"{root}/kept.bam")
+            rows, _ = binary.bam_and_headers(spark, [f"{root}/kept.bam"], 1 << 20, "tags")
+        return rows.groupBy(c("tags")["RG"].alias("read_group")).agg(F.count("*").alias("n"), F.sum(c("tags")["XS"].cast("long")).alias("sum_xs"), F.sum("nm").alias("sum_nm"))
+
+    return run
+
+
 def source_gff_gene_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``gene_mean`` by way of a GFF file."""
     c = F.col
@@ -395,6 +420,8 @@ QUERIES: dict[str, Query] = {
     "headers_bam_contig_mean": _mixed(_mixed_bam),
     "headers_dense_matrix": headers_dense_matrix,
     "headers_genome_mean": headers_genome_mean,
+    "source_sam_tags": _tagged("sam"),
+    "source_bam_tags": _tagged("bam"),
     "source_gff_gene_mean": source_gff_gene_mean,
     "source_definition_join": source_definition_join,
     "source_bam_contig_mean": source_bam_contig_mean,
