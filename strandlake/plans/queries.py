@@ -256,7 +256,7 @@ def _tagged(read: str) -> Query:
         root, names, c = new_folder(spark, "tagged"), testbed.contigs(spark, sf_dir), F.col
         alns = testbed.alignments(spark, sf_dir).join(names.select("tid", "contig"), "tid")
         more = [F.concat(F.lit("XS:i:"), c("seq_len")), F.concat(F.lit("RG:Z:group"), c("mapq") % 5)]
-        fields = [c("qname"), c("flag"), c("contig"), c("pos") + 1, c("mapq"), c("cigar"), "=", c("mpos") + 1, c("tlen"), "*", "*", F.concat(F.lit("NM:i:"), c("nm")), F.concat(F.lit("AS:i:"), c("align_score")), *more]
+        fields = [c("qname"), c("flag"), c("contig"), c("pos") + 1, c("mapq"), c("cigar"), "=", c("mpos") + 1, c("tlen"), F.expr("repeat('A', seq_len)"), "*", F.concat(F.lit("NM:i:"), c("nm")), F.concat(F.lit("AS:i:"), c("align_score")), *more]
         path = _as_text(names.orderBy("tid").coalesce(1), ["@SQ", F.concat(F.lit("SN:"), "contig"), F.concat(F.lit("LN:"), "length")], f"{root}/all.sam")
         _as_text(alns, fields, path, "append")
         passing = Thresholds(identity=0.95)
