@@ -4,10 +4,10 @@ Two multinomials over hashed byte n-grams are counted, one over the trusted docu
 documents). A document's score is the sum of log(p_trusted / p_raw) over its n-grams, divided by their number. The
 weights are integers (millionths), so the sum and its comparison with the threshold are exact and the same in any
 order. What is gathered are two arrays of ``BUCKETS`` counts, whatever the size of the corpus. Trusted documents are told by a
-join on 64-bit hashes of their ids; up to ``HELD_IDS`` of them are broadcast, beyond that Spark shuffles the texts once.
+join on 64-bit hashes of their ids, in one way at every size: Spark shuffles the texts once, and looks them up in the ids of their partition, without a sort.
 
-Defined cases: a null or empty text has no words and no n-grams, score 0, and fails the base rules; repeated rows are
-each judged; a label without a document or without an id counts nothing; with no trusted document at all every weight is 0,
+Defined cases: a null or empty text has no words and no n-grams, score 0, and fails the base rules; a very long one is
+held by one task, about ten times its bytes; repeated rows are each judged; a label without a document or without an id counts nothing; with no trusted document at all every weight is 0,
 so the base rules alone decide; columns besides id and text are ignored.
 """
 
@@ -28,8 +28,6 @@ ORDER, BUCKETS, SCALE = 3, 1 << 16, 1_000_000
 THRESHOLD = -0.5
 SYMBOLS, SPACE = b"#*$%&|<>", b"\x20\x09\x0a\x0b\x0c\x0d"
 SLICE_BYTES = 8 << 20
-#: So many ids of trusted documents (about 100 bytes each in a broadcast table) may be held by every executor.
-HELD_IDS = 500_000
 
 
 def ngram_buckets(data: bytes, order: int = ORDER) -> np.ndarray:
@@ -112,10 +110,8 @@ def marked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return F.xxhash64(F.col(column).cast("string"))
 
     trusted = labels.where("quality = 1 and doc_id is not null").select(key("doc_id").alias("trusted_key")).distinct()
-    if trusted.count() <= HELD_IDS:
-        trusted = F.broadcast(trusted)
     rows = docs.select(key(id_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("nameless"))
-    named = rows.where("not nameless").join(trusted, F.col("key") == F.col("trusted_key"), "left").select("text", F.col("trusted_key").isNotNull().alias("trusted"))
+    named = rows.where("not nameless").join(trusted.hint("shuffle_hash"), F.col("key") == F.col("trusted_key"), "left").select("text", F.col("trusted_key").isNotNull().alias("trusted"))
     return named.unionByName(rows.where("nameless").select("text", F.lit(False).alias("trusted")))
 
 

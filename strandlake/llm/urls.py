@@ -5,13 +5,14 @@ entries of a pattern become validity intervals [since, until). A pattern is a do
 below it, or a host with the beginning of a path in whole segments. An as-of join looks up all patterns that a
 capture could match, and of those active at its time the longest decides.
 
-Captures are made distinct by (url, time) first, and the intervals of a pattern are one row, so neither a
+Of a url only beginnings are tried that are no deeper than the deepest pattern of the list. Captures are made distinct by (url, time) first, and the intervals of a pattern are one row, so neither a
 frequent address nor a frequent host multiplies rows; where the join shuffles, adaptive execution can split a frequent host,
 as the list has one row for it. The list is held by every task only if Spark finds it below its broadcast limit.
 
 Everything is DataFrame expressions.
 
-Defined cases: a null, empty or unreadable url and a null time match nothing (action null, not blocked); of several
+Defined cases: a very long url costs time in proportion to its length; an empty list matches nothing, and an empty table of captures gives an empty
+one; a null, empty or unreadable url and a null time match nothing (action null, not blocked); of several
 entries for a pattern at one time, "block" goes before "allow" and "allow" before "remove"; entries with nulls count
 nothing; repeated captures each get a row; other columns of the captures are kept unless they clash with the results.
 """
@@ -33,12 +34,15 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that match a url: its host, the domains above, and the host with each beginning of the path."""
-    labels, steps = F.split(host_of(url), r"\."), F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def patterns_of(url: Column, labels_most: int, steps_most: int) -> Column:
+    """The patterns that match a url and are not longer than any of a list: its host, the domains above of at most ``labels_most`` labels, and the host with
+    each beginning of the path of at most ``steps_most`` steps. Work is in proportion to the url, however long it is."""
+    labels, steps = F.split(host_of(url), r"\."), F.slice(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), 1, max(steps_most, 1))
+    first = F.greatest(F.size(labels) - (labels_most - 1), F.lit(1))
+    domains = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     below = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(steps, 1, i), "/"))))
-    return F.when(host_of(url) != "", F.array_distinct(F.concat(domains, F.coalesce(below, F.array().cast("array<string>")))))
+    none = F.array().cast("array<string>")
+    return F.when(host_of(url) != "", F.array_distinct(F.concat(F.array(host_of(url)), domains, F.coalesce(below, none) if steps_most else none)))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -57,8 +61,10 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     """The captures with ``pattern`` and ``action`` of the entry that decided, and ``blocked``."""
     spans = F.sort_array(F.collect_list(F.struct("since", "until", "action"))).alias("spans")
     lists = intervals(entries).groupBy("pattern").agg(spans)
+    host, path = F.substring_index("pattern", "/", 1), F.split("pattern", "/")
+    deepest = lists.agg(F.max(F.size(F.split(host, r"\."))).alias("labels"), F.max(F.size(path) - 1).alias("steps")).first()  # two numbers
     seen = captures.select(F.col(url_col).alias("_url"), F.col(time_col).alias("_time")).where("_url is not null and _time is not null").distinct()
-    tried = seen.select("_url", "_time", F.explode(patterns_of(F.col("_url"))).alias("pattern"))
+    tried = seen.select("_url", "_time", F.explode(patterns_of(F.col("_url"), deepest["labels"] or 1, deepest["steps"] or 0)).alias("pattern"))
     at = F.filter("spans", lambda s: (s["since"] <= F.col("_time")) & (s["until"].isNull() | (F.col("_time") < s["until"])))
     active = tried.join(lists, "pattern").select("_url", "_time", "pattern", F.try_element_at(at, F.lit(1))["action"].alias("action")).where("action is not null")
     best = F.max(F.struct(F.length("pattern").alias("size"), "pattern", "action")).alias("best")
