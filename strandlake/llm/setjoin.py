@@ -11,8 +11,8 @@ sets are one node first. What brings nodes together depends on their size (Deng,
 * **The boundary** between them is the size with the least cost: rows of subsets below it, and above it entries of lists, each counted with
   the mean length of a list. Sizes and lists are counted over all documents; the result is the same with any boundary.
 
-Of heavy sets, only the window of the smallest hashes is sent, about 0.3 of the set: linked sets have a tenth of their size in common
-there. A shingle of one set only can't link anything, and a set with too few others (less than ``shared_least``) has no links; so most
+Of heavy sets, only the window of the smallest hashes is sent, about 0.3 of the set: linked sets have a tenth of their size and
+``MARGIN`` more in common there. A shingle of one set only can't link anything, and a set with too few others (less than ``shared_least``) has no links; so most
 documents are done after one count of shingles. No row is made for a pair of a list or of a subset: members are compared with the smallest
 one, and lists whose members still are apart are cut into tiles, by the machinery of ``neardup``. There, pairs are left out by size and by a
 lower bound of the difference (shingles counted by 256 hash cells), which never leaves out a link, and the rest is confirmed on full sets. So every
@@ -42,6 +42,8 @@ PERCENT = 80
 SUBSET = 2
 #: Sets below this size are sent whole and may be light; those above are heavy and send a window.
 MOST_LIGHT = 64
+#: Shingles that windows of linked sets have in common: a tenth of their size and so many more. Passages that many texts share are seldom that long.
+MARGIN = 12
 #: Cells in which the shingles of a set are counted, up to 255 each.
 CELLS = 256
 
@@ -53,7 +55,7 @@ def overlap(n: int) -> int:
 
 def window(n: int) -> int:
     """How many shingles, those with the smallest hashes, a set of this size sends."""
-    return n if n < MOST_LIGHT else n - overlap(n) + n // 10
+    return n if n < MOST_LIGHT else n - overlap(n) + n // 10 + MARGIN
 
 
 def shared_least(n: int) -> int:
@@ -111,7 +113,7 @@ def _items(nodes: DataFrame) -> DataFrame:
 
 def _least(n: Column) -> Column:
     """``shared_least`` as an expression."""
-    least = lambda m: F.ceil(m * PERCENT / 100) - m + F.when(m < MOST_LIGHT, m).otherwise(m - F.ceil(m * PERCENT / 100) + F.floor(m / 10))
+    least = lambda m: F.ceil(m * PERCENT / 100) - m + F.when(m < MOST_LIGHT, m).otherwise(m - F.ceil(m * PERCENT / 100) + F.floor(m / 10) + MARGIN)
     own, smallest = least(n), F.greatest(F.lit(MOST_LIGHT), F.ceil(n * PERCENT / 100))
     return F.when(n * 100 < PERCENT * MOST_LIGHT, own).otherwise(F.least(own, least(smallest))).cast("int")
 
