@@ -288,6 +288,7 @@ def table_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     names = [(r["sample_idx"], r["sample"]) for r in samples.orderBy("sample_idx").collect()]  # a row per input file
     if a.methods == ["metabat"]:
         return present.metabat(stats, names)
+    stats = written(stats, "stats")
     totals = coverage.totals(stats, samples, a.methods)
     final = normalise.normalised(stats, totals, exact=True, divide_first=a.output_format == "dense")
     if a.no_zeros:

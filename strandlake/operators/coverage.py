@@ -26,6 +26,8 @@ METHODS = {
 }
 #: These have no notion of a least covered fraction.
 _NO_FRACTION = {"count", "length", "reads_per_base", "anir", "strobealign-aemb"}
+#: Rows of a histogram that are made from one at a time.
+_ROWS = 4096
 _ALONE = {"coverage_histogram", "metabat", "strobealign-aemb"}
 
 
@@ -250,13 +252,15 @@ def histogram(used: DataFrame, contigs: DataFrame, samples: DataFrame, o: Option
     every = _every(entries, rows, samples, keys, *_COUNTED["contig"]).where("seen and windowed > 0")
     kept = every.where(ratio(F.col("covered"), F.col("windowed")) >= o.min_covered_fraction)
     zero = F.struct(F.lit(0).cast("bigint").alias("depth"), (F.col("windowed") - F.col("covered")).cast("bigint").alias("n_bases"))
-    if dense:  # each depth that occurs, after those between it and the one before
-        last = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("hist", i - 1)["depth"])
-        filled = F.transform("hist", lambda x, i: F.transform(F.sequence(last(i) + 1, x["depth"]), lambda d: F.struct(d.alias("depth"), F.when(d == x["depth"], x["n"]).otherwise(0).alias("n_bases"))))
-        shown = F.flatten(filled)
-    else:
-        shown = F.transform("hist", lambda x: F.struct(x["depth"].alias("depth"), x["n"].alias("n_bases")))
-    return kept.select(*keys, F.inline(F.concat(F.array(zero), shown)))
+    if not dense:
+        return kept.select(*keys, F.inline(F.concat(F.array(zero), F.transform("hist", lambda x: F.struct(x["depth"].alias("depth"), x["n"].alias("n_bases"))))))
+    # Each depth that occurs is a row with the one before it; those between become rows a block at a time, so a very large depth is no large array.
+    before = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get("hist", i - 1)["depth"])
+    gaps = kept.select(*keys, F.inline(F.concat(F.array(F.struct(zero["depth"].alias("depth"), zero["n_bases"].alias("n_bases"), F.lit(-1).cast("bigint").alias("before"))), F.transform("hist", lambda x, i: F.struct(x["depth"].alias("depth"), x["n"].alias("n_bases"), before(i).alias("before"))))))
+    blocks = gaps.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("depth") - F.col("before") - 1) / _ROWS))).alias("block"))
+    first = F.col("before") + 1 + F.col("block") * _ROWS
+    every = blocks.select(*keys, F.explode(F.sequence(first, F.least("depth", first + _ROWS - 1))).alias("d"), "depth", "n_bases")
+    return every.select(*keys, F.col("d").alias("depth"), F.when(F.col("d") == F.col("depth"), F.col("n_bases")).otherwise(F.lit(0).cast("bigint")).alias("n_bases"))
 
 
 def no_zeros(stats: DataFrame, methods: list[str]) -> DataFrame:
@@ -274,7 +278,8 @@ def _positive(stats: DataFrame, methods: list[str]) -> Column:
 
 def totals(stats: DataFrame, samples: DataFrame, methods: list[str]) -> DataFrame:
     """(sample_idx, sample, num_reads, num_mapped, sum_tpm, sum_mean): mapped reads are those of entries with any metric above
-    0; the sums, over all entries, are what shares of a sample refer to. A row for each sample, held as a local table."""
+    0; the sums, over all entries, are what shares of a sample refer to. A row for each sample, held as a local table. Store ``stats`` first if they
+    are used again, or they are made twice."""
     mapped_reads = F.sum(F.when(_positive(stats, methods), F.col("reads"))).alias("num_mapped")
     found = stats.groupBy("sample_idx").agg(mapped_reads, F.sum("tpm").alias("sum_tpm"), F.sum("relative_abundance").alias("sum_mean"))
     return local(samples.join(found, "sample_idx", "left").fillna(0, ["num_mapped"]))

@@ -1,8 +1,8 @@
-"""Coverage of genes (intervals on contigs) by a binned interval join."""
+"""Coverage of genes (intervals on contigs): depth by a binned interval join, reads by prefix sums."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cigar import identity
@@ -27,21 +27,46 @@ def _bins(start: str, end: str, size: int):
     return F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size)))
 
 
+def reads_within(reads: DataFrame, places: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """(sample_idx, entry_id, reads, identity): reads (sample_idx, tid, pos, same) whose place is within each of ``places`` (sample_idx, entry_id, tid, start, end).
+
+    It is the number of reads before the end less that before the start. Reads are added up by place first. What lies before a point is a running sum within its
+    bin, over places and points, and the sum of the bins before it; so there is no row for a read and a gene, however deep one place
+    or however many genes in one bin.
+    """
+    key = ["sample_idx", "tid", "bin"]
+    bin_of = lambda x: F.floor(F.col(x) / bin_size).alias("bin")
+    heaps = reads.groupBy("sample_idx", "tid", bin_of("pos"), "pos").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
+    two = F.array(F.struct(F.col("start").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("end").alias("pos"), F.lit(1).alias("sign")))
+    points = places.select("sample_idx", "tid", "entry_id", F.inline(two)).select(*key[:2], bin_of("pos"), "pos", "sign", "entry_id")
+    both = heaps.withColumn("point", F.lit(False)).unionByName(points.withColumns({"n": F.lit(0).cast("bigint"), "same": F.lit(0.0), "point": F.lit(True)}), allowMissingColumns=True)
+    # A point comes before the reads at its place.
+    upto = Window.partitionBy(*key).orderBy("pos", F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    at = both.select(*key, "point", "sign", "entry_id", F.sum("n").over(upto).alias("n"), F.sum("same").over(upto).alias("same")).where("point")
+    ahead = Window.partitionBy("sample_idx", "tid").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    before = bins.select(*key, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n_before"), F.coalesce(F.sum("same").over(ahead), F.lit(0.0)).alias("same_before"))
+    whole = at.join(before, key).groupBy("sample_idx", "entry_id")
+    found = whole.agg(F.sum(F.col("sign") * (F.col("n") + F.col("n_before"))).cast("bigint").alias("reads"), F.sum(F.col("sign") * (F.col("same") + F.col("same_before"))).alias("identity"))
+    return found.where("reads > 0")
+
+
 def by_gene(used: DataFrame, genes: DataFrame, contigs: DataFrame, samples: DataFrame, o: Options = Options(), trimmed: bool = True) -> DataFrame:
     """A row per sample and placed gene. Depth counts what overlaps a gene; a read counts for the gene that its leftmost
     place is in, and only primary reads do. Ends of genes are excluded like those of contigs."""
     at = once(genes).select("entry_id", "entry", "tid", "start", "end", "length", _bins("start", "end", BIN).alias("bin"))
-    reads = mapped(used).where(~has(SECONDARY) & ~has(SUPPLEMENTARY)).select("sample_idx", "tid", "pos", identity(F.col("cigar"), F.col("nm")).alias("same"), F.floor(F.col("pos") / BIN).alias("bin"))
-    inside = reads.join(at, ["tid", "bin"]).where("pos >= start and pos < end").groupBy("sample_idx", "entry_id").agg(F.count("*").alias("reads"), F.sum("same").alias("identity"))
+    shown = genes.select("entry_id", "entry", "tid", "start", "end", "length", *(["header"] if "header" in genes.columns else []))
+    grid = grid_of(shown, samples)
+    reads = mapped(used).where(~has(SECONDARY) & ~has(SUPPLEMENTARY)).select("sample_idx", "tid", "pos", identity(F.col("cigar"), F.col("nm")).alias("same"))
+    inside = reads_within(reads, grid.select("sample_idx", "entry_id", "tid", "start", "end"))
     segs = segments(used, contigs).select("sample_idx", "tid", "depth", F.col("start").alias("s"), F.col("end").alias("e"), F.floor(F.col("start") / BIN).alias("bin"))
     e = o.end_exclusion
     both = segs.join(at, ["tid", "bin"]).where("s < end and start < e")  # runs lie within a bin, so a pair meets once
     full = F.least("e", "end") - F.greatest("s", "start")
     window = F.greatest(F.lit(0), F.least(F.col("e"), F.col("end") - e) - F.greatest(F.col("s"), F.col("start") + e))
     rows = both.select("sample_idx", "entry_id", "depth", full.alias("n_full"), window.alias("n_window"))
-    grid = grid_of(genes.select("entry_id", "entry", "length", *(["header"] if "header" in genes.columns else [])), samples)
     key = ["sample_idx", "entry_id"]
-    joined = grid.join(inside, key, "left").join(summary(rows, key, []), key, "left")
+    joined = grid.drop("tid", "start", "end").join(inside, key, "left").join(summary(rows, key, []), key, "left")
     zero = F.lit(0).cast("bigint")
     every = joined.select(
         *key, "entry", F.greatest(F.col("length") - 2 * e, zero).alias("windowed"), F.col("length").alias("bases"), F.coalesce("reads", zero).alias("reads"), F.coalesce("identity", F.lit(0.0)).alias("identity"),

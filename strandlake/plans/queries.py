@@ -41,6 +41,7 @@ def _contig(methods: list[str], o: Options = Options(), t: Thresholds = Threshol
         alns, contigs, samples = _inputs(spark, sf_dir)
         stats = cov.by_contig(usable(alns, t, flags), contigs, samples, o, trimmed="trimmed_mean" in methods)
         if {"rpkm", "tpm"} & {*methods}:
+            stats = written(stats, "stats")
             stats = normalise.normalised(stats, cov.totals(stats, samples, methods))
         return _shown(cov.no_zeros(stats, methods) if drop_zeros else stats, samples, methods)
 
@@ -61,6 +62,7 @@ def _genome(methods: list[str], mode: str, o: Options = Options()) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stats, samples = _genome_stats(spark, sf_dir, mode, o, "trimmed_mean" in methods)
         if {"rpkm", "tpm", "relative_abundance"} & {*methods}:
+            stats = written(stats, "stats")
             stats = normalise.normalised(stats, cov.totals(stats, samples, methods))
         return _shown(stats, samples, methods)
 
