@@ -7,6 +7,7 @@ an array that is as long as there are different depths. Means, moments, trimmed
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,48 @@ class Options:
     exact: bool = False  # 32-bit arithmetic
 
 
+#: Methods that were added: name -> expression over the one row of an entry, given the options.
+_ADDED: dict[str, Callable[[Options], Column]] = {}
+
+
+def add_method(name: str, heading: str, expression: Callable[[Options], Column], fraction: bool = True) -> None:
+    """Make a method known by its name, on the command line too.
+
+    ``expression`` gives a column over what is known of an entry: ``windowed`` and ``bases`` (its bases without and with its ends), ``covered`` and
+    ``covered_full``, ``hist`` (depths above 0 with their bases, ascending), ``s1`` and ``s2`` (sums of depth and its square), ``least``, ``reads``, ``identity``. It is
+    computed with the other methods, on the same row, so it needs no scan of its own. ``fraction``: whether a least covered fraction may be asked for.
+    """
+    if name in METHODS or name in _ALONE:
+        raise ValueError(f"method {name} is known already")
+    METHODS[name] = heading
+    _ADDED[name] = expression
+    if not fraction:
+        _NO_FRACTION.add(name)
+
+
+def remove_method(name: str) -> None:
+    """Undo ``add_method``."""
+    _ADDED.pop(name)
+    METHODS.pop(name)
+    _NO_FRACTION.discard(name)
+
+
+def share_of_depths(share: float) -> Callable[[Options], Column]:
+    """An expression for ``add_method``: the smallest depth that a share of an entry's bases does not exceed (0.5: the median)."""
+
+    def expression(o: Options) -> Column:
+        zero = F.struct(F.lit(0).cast("bigint").alias("depth"), (F.col("windowed") - F.col("covered")).cast("bigint").alias("n"))
+        start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("depth"))
+
+        def step(acc: Column, x: Column) -> Column:
+            upto = acc["upto"] + x["n"]
+            return F.struct(upto.alias("upto"), F.when(acc["depth"].isNull() & (upto >= share * F.col("windowed")), x["depth"]).otherwise(acc["depth"]).alias("depth"))
+
+        return F.coalesce(F.aggregate(F.concat(F.array(zero), F.col("hist")), start, step, lambda acc: acc["depth"]), F.lit(0).cast("bigint")).cast("double")
+
+    return expression
+
+
 def check_methods(methods: list[str], o: Options, genes: bool = False, grain: str = "contig") -> None:
     """Raise ValueError for methods that do not go together."""
     if not methods:
@@ -184,7 +227,7 @@ def metrics(every: DataFrame, key: list[str], o: Options, trimmed: bool = True)
     if trimmed:
         none = (B == 0) | (C == 0) | (ratio(C, B, x) < least)
         shown.append(F.when(none, zero).otherwise(F.coalesce(trimmed_mean(o).cast(kind), zero)).alias("trimmed_mean"))
-    return every.select(*key, "seen", "reads", *shown)
+    return every.select(*key, "seen", "reads", *shown, *(make(o).cast(kind).alias(name) for name, make in _ADDED.items()))
 
 
 def _header(contigs: DataFrame) -> list[str]:

@@ -220,3 +220,8 @@ SELECT coalesce(r.id, sets.id) AS representative, sets.id AS member FROM sets LE
 
 _TAGS = f"WITH {_ALNS} SELECT concat('group', mapq % 5) AS read_group, count(*) AS n, sum(n1 + n2 + ln)::bigint AS sum_xs, sum(nm)::bigint AS sum_nm FROM (SELECT *, seq_len - n1 - n2 AS ln FROM a) WHERE NOT sec AND NOT unm AND {_IDENT} GROUP BY 1"
 SQL |= {"source_sam_tags": _TAGS, "source_bam_tags": _TAGS}
+
+SQL |= {
+    "contig_added_methods": f"{_contig_start()}, q AS (SELECT h1.sample, h1.k, min(depth) FILTER (upto >= 0.5::double * B) AS q5, min(depth) FILTER (upto >= 0.9::double * B) AS q9 FROM h1 JOIN x0 ON x0.sample = h1.sample AND x0.k = h1.k GROUP BY ALL) "
+    "SELECT m.sample, entry, round(mean, 9) AS mean, coalesce(q5, 0)::double AS median_depth, coalesce(q9, 0)::double AS depth_of_ninety FROM m JOIN q ON q.sample = m.sample AND q.k = m.entry",
+}

@@ -330,6 +330,18 @@ def stream_incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.counts().join(samples.select("sample_idx", "sample"), "sample_idx").select("sample", "tid", "n_all", "n_no_sup", "n_primary")
 
 
+def contig_added_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two methods that are not built in, beside one that is."""
+    added = {"median_depth": 0.5, "depth_of_ninety": 0.9}
+    for name, share in added.items():
+        cov.add_method(name, name, cov.share_of_depths(share))
+    try:
+        return _contig(["mean", *added])(spark, sf_dir)
+    finally:
+        for name in added:
+            cov.remove_method(name)
+
+
 #: Least Jaccard index of documents that are candidates, and words of a shingle.
 DOCUMENTS_ALIKE, DOCUMENT_SHINGLE = 0.5, 3
 
@@ -382,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "contig_tpm": _contig(["tpm"]),
     "contig_metabat": contig_metabat,
     "contig_all_methods": _contig(_ALL),
+    "contig_added_methods": contig_added_methods,
     "contig_no_zeros": _contig(["mean", "covered_bases"], drop_zeros=True),
     "contig_min_covered_fraction": _contig(["mean", "covered_fraction", "variance"], Options(min_covered_fraction=0.5)),
     "contig_thresholds": _contig(["mean", "count"], t=Thresholds(identity=0.95, mapq=20)),

@@ -223,6 +223,23 @@ def test_method_rules():
     cov.check_methods(["mean", "rpkm"], Options(min_covered_fraction=0.1))
 
 
+def test_added_methods(spark, sample):
+    alns, contigs = sample
+    cov.add_method("median_depth", "Median", cov.share_of_depths(0.5))
+    try:
+        stats = cov.by_contig(usable(alns, Thresholds(), Flags()), contigs, cov.samples_of(alns), Options())
+        assert stats._jdf.queryExecution().executedPlan().toString().count("FileScan text") == cov.by_contig(alns, contigs, cov.samples_of(alns))._jdf.queryExecution().executedPlan().toString().count("FileScan text")
+        for r in stats.collect():
+            d = sorted(fx.inner(r["entry"], fx.used()))
+            assert r["median_depth"] == (d[(len(d) + 1) // 2 - 1] if d else 0)
+        with pytest.raises(ValueError):
+            cov.add_method("mean", "x", lambda o: F.lit(1))
+    finally:
+        cov.remove_method("median_depth")
+    with pytest.raises(ValueError):
+        cov.check_methods(["median_depth"], Options())
+
+
 def test_bam_in_splits(spark, tmp_path):
     """Records lie across blocks; some are longer than many blocks, and one has more operations than its field holds."""
     contigs = spark.createDataFrame([(0, "c1", 5_000_000), (1, "c2", 700)], schema.CONTIGS)
