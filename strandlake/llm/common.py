@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,33 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a session that runs within one process may do without the setting; it then gets a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="strandlake-"))
-    return f"file://{_LOCAL_ROOT[0]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a new read of the files and no new computation.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/strandlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import written as stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ..operators.components import components
 from .common import in_slices, stored, texts
 
 SHINGLE, PERCENT = 5, 85
@@ -45,8 +46,6 @@ SYMBOLS = CHUNKS * WIDTH
 #: Pairs further apart are not compared on full sets. At the threshold (similarity 0.85) 2 in 10^10 pairs are, closer ones
 #: still fewer; together with those that meet in no bucket that is fewer than one pair in a million.
 FAR = 29
-#: Nodes with more neighbours than this, and than an even part of all, get their smallest neighbour by broadcast.
-HUB = 1024
 #: Members of a tile come from two groups of about this many.
 TILE = 256
 SLICE_BYTES = 8 << 20
@@ -195,34 +194,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node that has an edge (a, b); the component is its smallest node.
-
-    Alternating star contractions: each node passes its neighbours on to the smallest node it knows, first the
-    larger ones, then the smaller ones, until the edges stay the same.
-    """
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u", F.lit(1))).alias("y")).first()
-        if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        before = mark
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
-        # There are fewer hubs than shuffle partitions, as each has more than an even part of the rows.
-        bound = max(HUB, 2 * mark["n"] // int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        hubs = F.broadcast(least.where(F.col("n") > bound).select("u", F.col("m").alias("hub_m")))
-        upward = both.where("v > u").join(hubs, "u", "left")
-        of_hubs = upward.where("hub_m is not null").select(F.col("v").alias("u"), F.col("hub_m").alias("v"))
-        of_others = upward.where("hub_m is null").select("u", "v").join(least.where(F.col("n") <= bound), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = of_hubs.union(of_others).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = down.groupBy("u").agg(F.min("v").alias("m"))
-        linked = down.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        now = stored(linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-
-
 class _Forest:
     """Union of components within a tile; an edge is kept if it joins two."""
 

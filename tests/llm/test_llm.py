@@ -423,11 +423,10 @@ def test_recall_of_near_copies_and_types_of_ids(spark):
         neardup.near_duplicates(spark.createDataFrame([("a", "some text")], "doc_id string, text string"))
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HUB", 4)
+def test_components_with_hubs(spark):
     rng = random.Random(3)
     edges = [(1, i) for i in range(2, 300)] + [(500, i) for i in range(501, 700)] + [(i, i + 1) for i in range(1000, 1040)] + [(299, 500), (rng.randrange(2, 300), 1000)]
-    got = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long"), hub=4).collect()}
     assert got == {x: 1 for e in edges for x in e}
 
 
