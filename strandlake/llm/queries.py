@@ -236,6 +236,21 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _linked_sql(percent: int, kept: str) -> str:
+    """Components of documents whose sets of 5-word shingles are similar; equal sets are one node."""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS sh FROM d),
+g AS (SELECT sh, min(doc_id) AS node, len(sh) AS n FROM s WHERE len(sh) > 0 AND doc_id IS NOT NULL GROUP BY sh),
+it AS (SELECT node, n, unnest(sh) AS item FROM g),
+links AS (SELECT x.node AS a, y.node AS b FROM it x JOIN it y USING (item) WHERE x.node < y.node GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node, node AS m FROM g UNION SELECT b, m FROM reach JOIN both_ways ON a = node),
+comp AS (SELECT node, min(m) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, cast(len(s.sh) AS bigint) AS n_shingles, coalesce(component_id, doc_id) AS component_id{kept} FROM s LEFT JOIN g USING (sh) LEFT JOIN comp USING (node)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op5_chat_formatting": op5_chat_formatting,
@@ -255,7 +270,9 @@ SQL: dict[str, str] = {
     "op1_url_filters": _op1_sql(),
     "op5_chat_formatting": _OP5_SQL,
     "op6_license_scans": _op6_sql(),
+    "op9_minhash_near_dedup": _linked_sql(85, ", coalesce(component_id, doc_id) = doc_id AS kept"),
     "op11_periodic_runs": _OP11_SQL,
+    "op12_ngram_jaccard_join": _linked_sql(80, ""),
     "op7_benchmark_decontamination": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(cast(item_id AS varchar), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
