@@ -189,6 +189,11 @@ SQL |= {
     "stream_incremental_counts": f"WITH {_ALNS},{_depth(_USED, 75)} SELECT sample, cast(tid AS int) AS tid, n_all, n_no_sup, n_primary FROM ct",
 }
 
+SQL |= {
+    "stream_incremental_depth": SQL["depth_segments"],
+    "stream_event_windows": "SELECT cast(floor(epoch(ts) / 3600) AS bigint) * 3600 AS start_s, event_type, count(*) AS n, cast(sum(cast(value AS decimal(28, 6))) AS double) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+}
+
 # Headers that differ: a sample has the contigs whose number, divided by 3, does not leave its own.
 _OWN = "cast(regexp_extract(entry, '(\\d+)$', 1) AS int) % 3 <> CASE sample WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
 _OWN_TID = "tid % 3 <> CASE sample WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"

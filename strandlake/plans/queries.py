@@ -17,7 +17,7 @@ from ..schema import ALIGNMENTS, UNMAPPED
 from ..scratch import new_folder, written
 from ..sources import binary, files, text
 from ..sources.headers import Headers
-from ..streaming.incremental import CoverageState
+from ..streaming.incremental import CoverageState, WindowState
 from . import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -319,15 +319,39 @@ def source_quality_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.good_genomes(genomes, text.quality(spark, path), 60.0, 4.0).select("genome")
 
 
-def stream_incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read counts of contigs, added up by micro-batches of a stream."""
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[CoverageState, DataFrame]:
+    """The state after a stream of alignments whose segments have been merged and whose last batch has been run again, and the samples."""
     alns, contigs, samples = _inputs(spark, sf_dir)
     stored = new_folder(spark, "stream-input")
-    alns.repartition(4).write.parquet(stored)
-    state = CoverageState(new_folder(spark, "stream-state"), contigs, DEFAULT)
+    alns.repartition(10).write.parquet(stored)
+    state = CoverageState(new_folder(spark, "stream-state"), contigs, DEFAULT, fan=2)
     stream = spark.readStream.schema(ALIGNMENTS).option("maxFilesPerTrigger", 2).parquet(stored)
     state.start(stream, new_folder(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return state.counts().join(samples.select("sample_idx", "sample"), "sample_idx").select("sample", "tid", "n_all", "n_no_sup", "n_primary")
+    state.add(alns, state.sums.cover()[-1][1])
+    return state, samples.select("sample_idx", "sample")
+
+
+def stream_incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read counts of contigs, added up by micro-batches of a stream."""
+    state, samples = _streamed(spark, sf_dir)
+    return state.counts().join(samples, "sample_idx").select("sample", "tid", "n_all", "n_no_sup", "n_primary")
+
+
+def stream_incremental_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal depth, from changes of depth added up by micro-batches of a stream."""
+    state, samples = _streamed(spark, sf_dir)
+    return depth.merged_segments(state.segments()).join(samples, "sample_idx").select("sample", "tid", "start", "end", "depth")
+
+
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type in windows of an hour, from a stream whose batches are in no order of time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
+    stored = new_folder(spark, "events-input")
+    events.repartition(6).write.parquet(stored)
+    state = WindowState(spark, new_folder(spark, "events-state"), "1 hour", fan=2)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(stored)
+    state.start(stream, new_folder(spark, "events-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return state.windows().select(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(start AS timestamp_ntz))").alias("start_s"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
 def contig_added_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,4 +467,6 @@ QUERIES: dict[str, Query] = {
     "source_fasta_contigs": source_fasta_contigs,
     "source_quality_genomes": source_quality_genomes,
     "stream_incremental_counts": stream_incremental_counts,
+    "stream_incremental_depth": stream_incremental_depth,
+    "stream_event_windows": stream_event_windows,
 }

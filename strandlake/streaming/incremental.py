@@ -1,46 +1,71 @@
-"""Coverage kept up to date as alignments arrive.
+"""Coverage, and counts by windows of event time, kept up to date as rows arrive.
 
-Changes of depth and read counts add up, so each micro-batch sends its sums by (sample, contig, bin, place) and the state
-is their running total; statistics are computed from it at any time.
+Changes of depth, read counts and counts of windows add up, so each micro-batch sends its sums by key and the state
+is their running total (``state.SummedTables``); statistics are computed from it at any time. Rows that come late are added to where they belong,
+however late they are; only ``windowed_events`` drops what its watermark has passed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coverage import contig_counts
-from ..operators.depth import BIN, deltas, runs_of
+from ..operators.depth import BIN, COUNTS, deltas, runs_of
 from ..operators.filters import Flags, flag_filter
+from .state import Folder, SummedTables
+
+
+def _started(state: SummedTables, add, stream: DataFrame, checkpoint: str):
+    if state.whole() and not Folder(state.spark, checkpoint).exists():
+        raise ValueError(f"{state.folder.path} has batches of another stream: there is no checkpoint {checkpoint}")
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
 
 class CoverageState:
-    """Batches of deltas and counts as tables in a folder, one folder per micro-batch, so that a batch that is run again replaces
-    what it wrote before."""
+    """Depth changes and read counts of all alignments of a stream."""
 
-    def __init__(self, path: str, contigs: DataFrame, flags: Flags = Flags()):
-        self.path, self.contigs, self.flags = path.rstrip("/"), contigs, flags
+    def __init__(self, path: str, contigs: DataFrame, flags: Flags = Flags(), fan: int = 8):
+        self.contigs, self.flags = contigs, flags
+        tables = {"deltas": (["sample_idx", "tid", "length", "bin", "pos"], ["delta"]), "counts": (["sample_idx", "tid"], COUNTS)}
+        self.sums = SummedTables(contigs.sparkSession, path, tables, fan)
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``."""
         used = flag_filter(batch, self.flags)
-        deltas(used, self.contigs, BIN).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
-        contig_counts(used).write.mode("overwrite").parquet(f"{self.path}/counts/batch={batch_id}")
+        self.sums.add(batch_id, {"deltas": deltas(used, self.contigs, BIN), "counts": contig_counts(used)})
 
     def start(self, stream: DataFrame, checkpoint: str):
-        return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint)
+        return _started(self.sums, self.add, stream, checkpoint)
 
     def segments(self) -> DataFrame:
         """As ``depth.segments`` of all alignments so far."""
-        spark = self.contigs.sparkSession
-        key = ["sample_idx", "tid", "length", "bin"]
-        summed = spark.read.parquet(f"{self.path}/deltas").groupBy(*key, "pos").agg(F.sum("delta").alias("delta"))
-        return runs_of(summed)
+        return runs_of(self.sums.table("deltas"))
 
     def counts(self) -> DataFrame:
         """As ``coverage.contig_counts`` of all alignments so far."""
-        rows = self.contigs.sparkSession.read.parquet(f"{self.path}/counts")
-        return rows.groupBy("sample_idx", "tid").agg(*(F.sum(c).alias(c) for c in ("n_all", "n_no_sup", "n_primary", "same_primary", "same_no_sup")))
+        return self.sums.table("counts")
+
+
+class WindowState:
+    """Counts and totals of events (ts, event_type, value) by type in tumbling windows of event time, whole whatever the order of arrival."""
+
+    def __init__(self, spark: SparkSession, path: str, width: str = "5 minutes", fan: int = 8):
+        self.width = width
+        self.sums = SummedTables(spark, path, {"windows": (["start", "event_type"], ["n", "total"])}, fan)
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """For ``foreachBatch``. Events without a time are in no window."""
+        start = F.window("ts", self.width)["start"].alias("start")
+        rows = batch.where("ts is not null").groupBy(start, "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(28, 6)")).alias("total"))
+        self.sums.add(batch_id, {"windows": rows})
+
+    def start(self, stream: DataFrame, checkpoint: str):
+        return _started(self.sums, self.add, stream, checkpoint)
+
+    def windows(self) -> DataFrame:
+        """(start, event_type, n, total) of all events so far."""
+        return self.sums.table("windows")
 
 
 def running_counts(alignments: DataFrame, flags: Flags = Flags()) -> DataFrame:
