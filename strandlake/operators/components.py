@@ -12,22 +12,20 @@ HUB = 1024
 
 
 def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
-    """(node, component) of every node that has an edge (a, b); the component is its smallest node.
+    """(node, component) of every node that has an edge (a, b), as a stored table; the component is its smallest node.
 
-    Each node passes its neighbours on to the smallest node it knows, first the larger ones, then the smaller ones, until the edges stay the
-    same. Only counts reach the driver.
+    Each node passes its neighbours on to the smallest node it knows, first the larger ones, then the smaller ones, until every node is either
+    smaller than all its neighbours or has one neighbour only: its component. Only counts reach the driver.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
     while True:
-        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u", F.lit(1))).alias("y")).first()
-        if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        facts = least.agg(F.sum("n").alias("n"), F.count_if(F.expr("m < u and n > 1")).alias("open")).first()
+        if not facts["open"]:
+            return least.select(F.col("u").alias("node"), F.col("m").alias("component"))
         # There are fewer hubs than shuffle partitions, as each has more than an even part of the rows.
-        bound = max(hub, 2 * mark["n"] // int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        bound = max(hub, facts["n"] // int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         hubs = F.broadcast(least.where(F.col("n") > bound).select("u", F.col("m").alias("hub_m")))
         upward = both.where("v > u").join(hubs, "u", "left")
         of_hubs = upward.where("hub_m is not null").select(F.col("v").alias("u"), F.col("hub_m").alias("v"))
