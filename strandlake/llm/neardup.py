@@ -298,16 +298,16 @@ def classes(rows: DataFrame, nodes: DataFrame, buckets: DataFrame, docs: DataFra
     of_id = named.join(twice, "id").join(nodes.select("set_id", "node"), "set_id").select("id", "node").distinct()
     same_id = of_id.join(of_id.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
     pairs = stored(_likely(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes, rule), "pairs")
-    coarse = stored(components(pairs), "families")
+    coarse = components(pairs)
     apart = stored(_open_edges(buckets, nodes, coarse, rule), "edges")
     if not apart.isEmpty():
-        coarse = stored(components(pairs.union(apart)), "families")
+        coarse = components(coarse.union(apart))
     full = stored(_full_sets(coarse, docs, id_col, text_col), "sets")
     links = stored(_confirmed(pairs, full, rule.percent).union(same_id), "links")
-    comps = stored(components(links), "components")
+    comps = components(links)
     more = stored(_family_links(coarse.withColumnRenamed("component", "family"), comps, full, rule.percent), "links")
     if not more.isEmpty():
-        comps = stored(components(links.union(more)), "components")
+        comps = components(comps.union(more))
     of_set = nodes.hint("merge").join(comps, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     # An empty set has no set_id, and a row without an id no component.
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
