@@ -301,13 +301,13 @@ def classes(rows: DataFrame, nodes: DataFrame, buckets: DataFrame, docs: DataFra
     coarse = components(pairs)
     apart = stored(_open_edges(buckets, nodes, coarse, rule), "edges")
     if not apart.isEmpty():
-        coarse = components(coarse.union(apart))
+        coarse = components(apart.union(coarse))
     full = stored(_full_sets(coarse, docs, id_col, text_col), "sets")
     links = stored(_confirmed(pairs, full, rule.percent).union(same_id), "links")
     comps = components(links)
     more = stored(_family_links(coarse.withColumnRenamed("component", "family"), comps, full, rule.percent), "links")
     if not more.isEmpty():
-        comps = components(comps.union(more))
+        comps = components(more.union(comps))
     of_set = nodes.hint("merge").join(comps, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     # An empty set has no set_id, and a row without an id no component.
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
