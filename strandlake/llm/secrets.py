@@ -52,6 +52,8 @@ _BASE64 = re.compile(rf"[A-Za-z0-9+/_-]++(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)*+
 #: The shortest secret has 14 characters, and in every encoding it is ASCII characters in a row; base64 makes 19 of 14.
 _LEAST_RUN = 19
 _SOME_TEXT = re.compile(rb"[\t\r\n -~]{14}")
+#: The same in UTF-16 of either order of bytes: every other byte is 0.
+_WIDE_TEXT = re.compile(rb"\0?(?:[\t\r\n -~]\0){13,}[\t\r\n -~]?")
 _MAGIC: dict[bytes, Callable[[], object]] = {
     b"\x1f\x8b": lambda: zlib.decompressobj(47),
     b"x\x01": zlib.decompressobj,
@@ -250,6 +252,11 @@ def _base64_layers(text: str) -> Iterator[tuple[str, Up]]:
             if _SOME_TEXT.search(data) or _MAGICS.search(data):
                 plain = _as_text(data)
                 yield plain, lambda s, e, at=_offsets(plain), up=up: up(int(at[s]), int(at[e]))
+            for wide in _WIDE_TEXT.finditer(data) if b"\0" in data else ():
+                # A run that begins with 0 may be of the order that ends with a character; in the other one its zero comes last.
+                first = wide.start() + (data[wide.start()] == 0)
+                plain = data[first : wide.end() if first > wide.start() else wide.end() - (data[wide.end() - 1] != 0) : 2].decode("ascii")
+                yield plain, lambda s, e, first=first, up=up: up(first + 2 * s, first + 2 * e - 1)
 
 
 def _packed_layers(text: str) -> Iterator[tuple[str, Up]]:

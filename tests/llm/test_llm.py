@@ -735,3 +735,18 @@ def test_ids_of_long_runs(text):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+@pytest.mark.parametrize("code", ["utf-16-le", "utf-16-be", "utf-16"])
+@pytest.mark.parametrize("around", [("", ""), ("\u00e9x ", " \u0461 y"), ("\u4e00", "\u4e00"), ("", " \u0461")])
+@pytest.mark.parametrize("lead", ["", "a", "bc", "def"])
+def test_secrets_in_utf16_within_base64(code, around, lead):
+    plain = around[0] + "password=hunter2222" + around[1]
+    data = base64.b64encode(plain.encode(code)).decode()
+    text = f"data: {lead}{data} end"
+    (start, end, kind), *more = secrets.all_spans(text)[1]
+    assert not more and kind == 0
+    # From the byte that is the first letter (the second of its pair where the high one is first) to the one that is the last.
+    at = (len(around[0].encode(code)) if around[0] else 2 * (code == "utf-16")) + (code == "utf-16-be")
+    first = 6 + len(lead) + at * 4 // 3
+    assert abs(start - first) <= 1 and abs(end - (first + 37 * 4 / 3)) <= 2
