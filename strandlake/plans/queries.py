@@ -198,7 +198,7 @@ def source_sam_contig_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _own_header(contigs: DataFrame, k: int) -> DataFrame:
     """Two thirds of the contigs, other ones and in another order for each sample k, with their ``place``."""
-    order = [F.col("tid"), -F.col("tid"), F.pmod(F.col("tid") * 7919, F.lit(1009)) * 1_000_000 + F.col("tid")][k]
+    order = [F.col("tid"), -F.col("tid"), F.pmod(F.col("tid").cast("bigint") * 7919, F.lit(1009)) * (1 << 31) + F.col("tid")][k]
     return files.numbered(contigs.where(F.col("tid") % 3 != k), order, "place").withColumn("place", F.col("place").cast("int"))
 
 

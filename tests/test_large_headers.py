@@ -35,3 +35,8 @@ def test_header_longer_than_a_split(spark, wide_bam, known):
         binary.register(spark)
         rows = spark.read.format("bam").option("split_bytes", 1 << 17).load(wide_bam)
     assert places(rows) == expected
+
+
+def test_large_numbers_of_contigs(spark):
+    contigs = spark.createDataFrame([(1_000_000, "a", 900), (2_000_000_000, "b", 900), (4, "c", 900)], "tid int, contig string, length bigint")
+    assert sorted(r["place"] for r in queries._own_header(contigs, 2).collect()) == list(range(contigs.where("tid % 3 <> 2").count()))
