@@ -37,6 +37,13 @@ def test_header_longer_than_a_split(spark, wide_bam, known):
     assert places(rows) == expected
 
 
+def test_numbers_of_wide_rows_have_no_gaps(spark):
+    """Ranges of wide rows and of their order alone are merged differently."""
+    wide = F.concat(*(F.sha2(F.concat(F.lit(f"{k}-"), "id"), 512) for k in range(4)))
+    got = files.numbered(spark.range(40_000).select(((F.col("id") * 7919) % 40_000).alias("v"), wide.alias("text")), F.col("v"), "n")
+    assert got.agg(F.count("*"), F.countDistinct("n"), F.max("n"), F.max(F.length("text"))).first() == (40_000, 40_000, 39_999, 512)
+
+
 def test_large_numbers_of_contigs(spark):
     contigs = spark.createDataFrame([(1_000_000, "a", 900), (2_000_000_000, "b", 900), (4, "c", 900)], "tid int, contig string, length bigint")
     assert sorted(r["place"] for r in queries._own_header(contigs, 2).collect()) == list(range(contigs.where("tid % 3 <> 2").count()))
