@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.operators import coverage as cov
 from strandlake.plans import queries
 from strandlake.schema import ALIGNMENTS
 from strandlake.sources import binary, files
@@ -47,3 +48,15 @@ def test_numbers_of_wide_rows_have_no_gaps(spark):
 def test_large_numbers_of_contigs(spark):
     contigs = spark.createDataFrame([(1_000_000, "a", 900), (2_000_000_000, "b", 900), (4, "c", 900)], "tid int, contig string, length bigint")
     assert sorted(r["place"] for r in queries._own_header(contigs, 2).collect()) == list(range(contigs.where("tid % 3 <> 2").count()))
+
+
+def test_short_contigs_count_once_whatever_their_records(spark):
+    """A contig that its ends take up counts no bases once it has a record, be they many or in several bins; ends of blocks are shuffled once."""
+    contigs = spark.createDataFrame([(0, "g~a", 70_000, "g", 0), (1, "g~b", 100_000, "g", 0), (2, "g~c", 60_000, "g", 0)], "tid int, contig string, length bigint, genome string, entry_id bigint")
+    rows = [("s", 0, f"r{k}", 0, tid, pos, 60, "90M", None, -1, 0, 90, 0, 90, 0) for k, (tid, pos) in enumerate([(0, 10), (0, 10), (0, 69_000), (1, 50_000), (1, 66_000)])]
+    used = spark.createDataFrame(rows, ALIGNMENTS)
+    o = cov.Options(end_exclusion=40_000)
+    got = cov.by_genome(used, contigs, cov.samples_of(used), o).select("windowed", "reads", "mean").collect()
+    assert [tuple(r) for r in got] == [(80_000, 5, 90 / 80_000)]  # 20,000 bases of b, all of c, which has no record; 90 bases of r3
+    plan = cov.depth_rows(used, contigs.drop("genome"), o, ["entry_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 0 and plan.count("RepartitionByExpression") == 1
