@@ -9,8 +9,9 @@ A bucket is never expanded into its pairs:
 
 1. Equal sets are one node (the smallest id stands for them).
 2. Each member of a bucket is compared by size and signature with the bucket's smallest member. Buckets whose members
-   still are apart are cut into tiles of bounded size, none within one large component, and a tile sends a spanning
-   forest of what sizes and signatures leave possible. The components of this coarse graph are families: only within one can there be links.
+   still are apart are cut into tiles of bounded size, none within one large component, large ones with nearly the same
+   members together; a tile sends a spanning forest of what sizes and signatures leave possible. The components of this
+   coarse graph are families: only within one can there be links.
 3. Pairs of the first step are confirmed on full sets. A family that this leaves in several components is cut into tiles
    of at most about 2 * ``TILE`` members; a tile compares the full sets of all its members that are not connected yet,
    and sends the links it finds between components. Two tiles of one large component are never compared.
@@ -48,6 +49,8 @@ SYMBOLS = CHUNKS * WIDTH
 FAR = 29
 #: Members of a tile come from two groups of about this many.
 TILE = 256
+#: Buckets of more than ``TILE`` members are united if so many smallest hashes of their members are the same.
+ALIKE = 3
 SLICE_BYTES = 8 << 20
 
 
@@ -240,10 +243,14 @@ def _tiles(placed: DataFrame, by: str) -> DataFrame:
 def _open_edges(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) that join members of a bucket in different components where sizes and signatures allow a link."""
     placed = buckets.hint("merge").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    # Buckets with the same members need one look.
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("lo <> hi and size > 2")
-    keys = several.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
-    tiled = _tiles(stored(placed.hint("merge").join(keys, "key"), "open"), "key").hint("merge").join(nodes.select("node", "n", "sign"), "node")
+    # Buckets with the same members need one look, and large ones with nearly the same members are united: a pair that meets in many of them meets once.
+    hashes = lambda seed: F.xxhash64("node", F.lit(seed))
+    least = {f"least_{k}": F.min(hashes(k)) for k in range(2, 2 + ALIKE)}
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_xor(hashes(0)).alias("x"), F.bit_xor(hashes(1)).alias("y"), *(c.alias(k) for k, c in least.items())).where("lo <> hi and size > 2")
+    group = F.when(F.col("size") > TILE, F.xxhash64(*least)).otherwise(F.col("key"))
+    keys = several.groupBy("size", "x", "y", *least).agg(F.min("key").alias("key")).select("key", group.alias("group"))
+    open_ = placed.hint("merge").join(keys, "key").select(F.col("group").alias("key"), "node", "component").distinct()
+    tiled = _tiles(stored(open_, "open"), "key").hint("merge").join(nodes.select("node", "n", "sign"), "node")
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("node", ignore_index=True)

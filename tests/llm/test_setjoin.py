@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import setjoin
+from strandlake.llm import neardup, setjoin
 from strandlake.llm.neardup import shingles
 
 
@@ -103,3 +103,20 @@ def test_empty_and_wrong_ids(spark):
     assert setjoin.similar_sets(spark.createDataFrame([], "doc_id int, text string")).collect() == []
     with pytest.raises(ValueError):
         setjoin.similar_sets(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_buckets_with_nearly_the_same_members_are_one_look(spark, monkeypatch):
+    """Thirty lists of the same 64 sets, each without one or two of them: a pair is compared in few of them, and all possible links are found."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    made, tiles = [], neardup._tiles
+    monkeypatch.setattr(neardup, "_tiles", lambda placed, by: made.append(neardup.stored(tiles(placed, by), "tiles")) or made[-1])
+    cells = lambda i: bytes(100 if k in (i // 2, 100 + i) else 0 for k in range(setjoin.CELLS))
+    nodes = spark.createDataFrame([(i, 200, cells(i)) for i in range(64)], "node long, n long, sign binary")
+    members = {key: [i for i in range(64) if i not in (key, 2 * key % 64)] for key in range(1, 31)}
+    buckets = spark.createDataFrame([(key, i, 0) for key, x in members.items() for i in x], "key long, node long, pivot long")
+    near = lambda x, y, n_x, n_y: (x != y).sum(axis=1) <= 2  # noqa: E731  # the same first cell
+    rule = neardup.Rule(80, setjoin.LINKED.sign, near)
+    comps = spark.createDataFrame([], "node long, component long")
+    got = {(r["a"], r["b"]) for r in neardup._open_edges(buckets, nodes, comps, rule).collect()}
+    assert got == {(i, i + 1) for i in range(0, 64, 2)}
+    assert made[0].count() < sum(len(x) for x in members.values()) * 8 / 3
