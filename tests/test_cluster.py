@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,21 @@ def test_aligned_fraction_changes_clusters(spark, tmp_path, genomes):
     assert run() == {("a", "a"), ("a", "b"), ("a", "c")}
     assert run("--min-aligned-fraction", "80") == {("a", "a"), ("a", "c"), ("b", "b")}
     assert run("--min-aligned-fraction", "80", "--fragment-length", "20000") == {("a", "a"), ("a", "c"), ("b", "b")}
+
+
+def test_items_of_sets_are_shuffled_once(spark):
+    """Sizes that are given are not counted again, and items are not dealt out by themselves more than once."""
+    items = spark.range(0, 1000).selectExpr("id % 50 as id", "20L as n", "id as item")
+    plan = setjoin.prefixes(items, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan
+
+
+def test_shingles_of_a_very_long_text(spark, tmp_path):
+    """Time that grows with the square of a text's words would be minutes here."""
+    from strandlake.plans import queries
+
+    text = " ".join(f"W{i % 90_001}" for i in range(100_000))
+    spark.createDataFrame([(1, text, len(text)), (2, text.lower(), 3), (3, "a b", 3), (4, "a b c", 5), (5, None, 0)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = {r["id"]: (r["n"], r["size"]) for r in queries._document_sets(spark, str(tmp_path)).select("id", F.size("items").alias("n"), "size").collect()}
+    assert got == {1: (90_001, len(text)), 4: (1, 5)} and time.time() - began < 60
