@@ -173,17 +173,21 @@ def _as_text(df: DataFrame, columns: list[Column | str], path: str, mode: str =
     return path
 
 
+def _sam_header(contigs: DataFrame, order: str, path: str) -> str:
+    """The header of a SAM folder, in as many files as sorting makes ranges; the names of files tell their order, which is all that readers go by."""
+    return _as_text(contigs.orderBy(order), ["@SQ", F.concat(F.lit("SN:"), "contig"), F.concat(F.lit("LN:"), "length")], path)
+
+
 def _sam_files(spark: SparkSession, sf_dir: str) -> list[str]:
     """The test-bed alignments as SAM text, a folder per sample."""
     root = new_folder(spark, "sam")
     names = testbed.contigs(spark, sf_dir)
-    header = names.orderBy("tid").coalesce(1)
     alns = testbed.alignments(spark, sf_dir).join(names.select("tid", "contig"), "tid")
     c = F.col
     fields = [c("qname"), c("flag"), c("contig"), c("pos") + 1, c("mapq"), c("cigar"), "=", c("mpos") + 1, c("tlen"), "*", "*", F.concat(F.lit("NM:i:"), c("nm")), F.concat(F.lit("AS:i:"), c("align_score"))]
     out = []
     for sample in ("A", "N", "R"):
-        path = _as_text(header, ["@SQ", F.concat(F.lit("SN:"), "contig"), F.concat(F.lit("LN:"), "length")], f"{root}/{sample}.sam")
+        path = _sam_header(names, "tid", f"{root}/{sample}.sam")
         out.append(_as_text(alns.where(F.col("sample") == sample), fields, path, "append"))
     return out
 
@@ -208,7 +212,7 @@ def _mixed_sam(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Headers]:
     alns, c, paths = testbed.alignments(spark, sf_dir), F.col, []
     for k, sample in enumerate("ANR"):
         own = _own_header(contigs, k)
-        path = _as_text(own.orderBy("place").coalesce(1), ["@SQ", F.concat(F.lit("SN:"), "contig"), F.concat(F.lit("LN:"), "length")], f"{root}/{sample}.sam")
+        path = _sam_header(own, "place", f"{root}/{sample}.sam")
         fields = [c("qname"), c("flag"), c("contig"), c("pos") + 1, c("mapq"), c("cigar"), "=", c("mpos") + 1, c("tlen"), "*", "*", F.concat(F.lit("NM:i:"), c("nm")), F.concat(F.lit("AS:i:"), c("align_score"))]
         paths.append(_as_text(alns.where(c("sample") == sample).join(own.select("tid", "contig"), "tid"), fields, path, "append"))
     return text.sam_and_headers(spark, paths)
@@ -259,7 +263,7 @@ def _tagged(read: str) -> Query:
         alns = testbed.alignments(spark, sf_dir).join(names.select("tid", "contig"), "tid")
         more = [F.concat(F.lit("XS:i:"), c("seq_len")), F.concat(F.lit("RG:Z:group"), c("mapq") % 5)]
         fields = [c("qname"), c("flag"), c("contig"), c("pos") + 1, c("mapq"), c("cigar"), "=", c("mpos") + 1, c("tlen"), F.expr("repeat('A', seq_len)"), "*", F.concat(F.lit("NM:i:"), c("nm")), F.concat(F.lit("AS:i:"), c("align_score")), *more]
-        path = _as_text(names.orderBy("tid").coalesce(1), ["@SQ", F.concat(F.lit("SN:"), "contig"), F.concat(F.lit("LN:"), "length")], f"{root}/all.sam")
+        path = _sam_header(names, "tid", f"{root}/all.sam")
         _as_text(alns, fields, path, "append")
         passing = Thresholds(identity=0.95)
         if read == "sam":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake import cli
 from strandlake.operators import coverage as cov
+from strandlake.plans import queries, testbed
 from strandlake.sources import binary, files, text
 
 
@@ -97,3 +98,18 @@ def test_numbered_in_order(spark):
     rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 37 % 5000).alias("v"))
     got = files.numbered(rows, F.col("v"), "n").collect()
     assert len(got) == 5000 and all(r["v"] == r["n"] for r in got)
+
+
+def test_a_header_is_written_in_parts(spark):
+    """A header is sorted by ranges that are files of their own: no task has all of it, and its order is that of the files."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        paths = queries._sam_files(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lines = files.scan(spark, paths).where(F.col("value").startswith("@SQ\t"))
+    assert min(r["n"] for r in lines.groupBy("source").agg(F.countDistinct("file").alias("n")).collect()) > 1
+    want = [(r["contig"], r["length"]) for r in testbed.contigs(spark, "/root/testdata/sf0.001").orderBy("tid").collect()]
+    got = text.sam_headers(spark, paths).orderBy("sample_idx", "place").collect()
+    assert [(r["contig"], r["length"]) for r in got] == 3 * want
+    assert [r["place"] for r in got] == 3 * [*range(len(want))]
