@@ -115,16 +115,20 @@ def local(small: DataFrame) -> DataFrame:
     return small.sparkSession.createDataFrame(small.toArrow(), small.schema)
 
 
-def contig_counts(used: DataFrame) -> DataFrame:
-    """Read counts and identity sums of each sample and contig that has a record, in the variants that grains count by."""
+def record_counts(used: DataFrame) -> DataFrame:
+    """(sample_idx, tid, *COUNTS): what each record adds to the read counts and identity sums of its contig, in the variants that grains count by."""
     sup, sec = has(SUPPLEMENTARY), has(SECONDARY)
     same = identity(F.col("cigar"), F.col("nm"))
     rows = mapped(used).select("sample_idx", "tid", sup.alias("sup"), sec.alias("sec"), same.alias("same"))
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
-    return rows.groupBy("sample_idx", "tid").agg(
-        F.count("*").alias("n_all"), one(~F.col("sup")).alias("n_no_sup"), one(~F.col("sup") & ~F.col("sec")).alias("n_primary"),
-        F.sum(F.when(~F.col("sup") & ~F.col("sec"), F.col("same")).otherwise(0.0)).alias("same_primary"), F.sum(F.when(~F.col("sup"), F.col("same")).otherwise(0.0)).alias("same_no_sup"),
-    )
+    one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
+    same_of = lambda c: F.when(c, F.col("same")).otherwise(0.0)
+    first = ~F.col("sup") & ~F.col("sec")
+    return rows.select("sample_idx", "tid", F.lit(1).cast("bigint").alias("n_all"), one(~F.col("sup")).alias("n_no_sup"), one(first).alias("n_primary"), same_of(first).alias("same_primary"), same_of(~F.col("sup")).alias("same_no_sup"))
+
+
+def contig_counts(used: DataFrame) -> DataFrame:
+    """Read counts and identity sums of each sample and contig that has a record."""
+    return record_counts(used).groupBy("sample_idx", "tid").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 #: Which reads a grain counts, and of which reads it adds up identities.

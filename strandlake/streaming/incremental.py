@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.coverage import contig_counts
-from ..operators.depth import BIN, COUNTS, deltas, runs_of
+from ..operators.coverage import record_counts
+from ..operators.depth import BIN, COUNTS, changes, runs_of
 from ..operators.filters import Flags, flag_filter
 from .state import Folder, SummedTables
 
@@ -28,19 +28,19 @@ class CoverageState:
     def __init__(self, path: str, contigs: DataFrame, flags: Flags = Flags(), fan: int = 8):
         self.contigs, self.flags = contigs, flags
         tables = {"deltas": (["sample_idx", "tid", "length", "bin", "pos"], ["delta"]), "counts": (["sample_idx", "tid"], COUNTS)}
-        self.sums = SummedTables(contigs.sparkSession, path, tables, fan)
+        self.sums = SummedTables(contigs.sparkSession, path, tables, fan, {"deltas": ["sample_idx", "tid", "bin"]})
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``."""
+        """For ``foreachBatch``. What records change is added up by the state, once."""
         used = flag_filter(batch, self.flags)
-        self.sums.add(batch_id, {"deltas": deltas(used, self.contigs, BIN), "counts": contig_counts(used)})
+        self.sums.add(batch_id, {"deltas": changes(used, self.contigs, BIN), "counts": record_counts(used)})
 
     def start(self, stream: DataFrame, checkpoint: str):
         return _started(self.sums, self.add, stream, checkpoint)
 
     def segments(self) -> DataFrame:
         """As ``depth.segments`` of all alignments so far."""
-        return runs_of(self.sums.table("deltas"))
+        return runs_of(self.sums.parts("deltas"))
 
     def counts(self) -> DataFrame:
         """As ``coverage.contig_counts`` of all alignments so far."""

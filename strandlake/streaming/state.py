@@ -46,12 +46,15 @@ class Folder:
 
 
 class SummedTables:
-    """``tables`` has, by name, the key columns and the columns that are summed."""
+    """``tables`` has, by name, the key columns and the columns that are summed. ``dealt`` names key columns that stored rows of a table are dealt out by before
+    they are added up: for tables in which few rows of a segment or task have a key in common, so that adding up within tasks first would take
+    memory for each row and leave as many."""
 
-    def __init__(self, spark: SparkSession, path: str, tables: Mapping[str, tuple[Sequence[str], Sequence[str]]], fan: int = 8):
+    def __init__(self, spark: SparkSession, path: str, tables: Mapping[str, tuple[Sequence[str], Sequence[str]]], fan: int = 8, dealt: Mapping[str, Sequence[str]] | None = None):
         if fan < 2:
             raise ValueError("fan must be 2 or more")
         self.spark, self.folder, self.tables, self.fan = spark, Folder(spark, path), dict(tables), fan
+        self.dealt = dict(dealt or {})
 
     def _path(self, segment: Segment, *names: str) -> str:
         return "/".join(["segment-%d-%d" % segment, *names])
@@ -92,19 +95,29 @@ class SummedTables:
 
     def table(self, name: str) -> DataFrame:
         """The sums of all batches so far. The segments are those of the moment of the call."""
+        return self._sum_of(name, self._some())
+
+    def parts(self, name: str) -> DataFrame:
+        """The same as sums of segments, for readers that add them up themselves: a key has a row in each segment that it is in."""
+        return self._union_of(name, self._some())
+
+    def _some(self) -> list[Segment]:
         cover = self.cover()
         if not cover:
             raise ValueError(f"{self.folder.path}: no batch has been added yet")
-        return self._sum_of(name, cover)
+        return cover
 
     def _write(self, segment: Segment, tables: Mapping[str, DataFrame]) -> None:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.folder.path}/{self._path(segment, name)}")
         self.folder.mark(self._path(segment, _MARKER))
 
+    def _union_of(self, name: str, segments: Sequence[Segment]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.folder.path}/{self._path(s, name)}") for s in segments])
+
     def _sum_of(self, name: str, segments: Sequence[Segment]) -> DataFrame:
-        each = [self.spark.read.parquet(f"{self.folder.path}/{self._path(s, name)}") for s in segments]
-        return self._summed(name, reduce(DataFrame.unionByName, each))
+        rows = self._union_of(name, segments)
+        return self._summed(name, rows.repartition(*self.dealt[name]) if name in self.dealt else rows)
 
     def _summed(self, name: str, df: DataFrame) -> DataFrame:
         """Rows whose sums are all 0 say nothing and go."""
