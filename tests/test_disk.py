@@ -46,3 +46,13 @@ def test_only_documents_that_share_are_stored(spark, tmp_path):
     got = {r["member"]: r["representative"] for r in queries.cluster_representatives(spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 1, 4: 4, 6: 6, 7: 7}
     assert {(r["a"], r["b"], r["common"]) for r in queries.cluster_candidates(spark, str(tmp_path)).collect()} == {(1, 2, 34), (2, 7, 18)}
+
+
+def test_whole_sets_go_to_tiles_and_not_to_pairs(spark):
+    """Forty sets that are all alike are 780 pairs, which used to hold a whole set each."""
+    rows = spark.range(40).select("id", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("item")).where("item <> 10 + id % 3")
+    pairs = setjoin.similar_pairs(rows, 0.5)
+    got = {(r["a"], r["b"]): r["common"] for r in pairs.collect()}
+    assert got == {(a, b): 30 if a % 3 == b % 3 else 29 for a, b in itertools.combinations(range(40), 2)}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "FlatMapCoGroupsInArrow" in plan
